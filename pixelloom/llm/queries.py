@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, packing, simhash, token_count, url_filter
+from . import decontaminate, line_dedup, media, packing, quality, secrets, simhash, token_count, url_filter
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(quality.is_held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(secrets.of_kind(F.col("base"), k)).cast("long").alias(f"n_{b[0]}") for k, b in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_list(F.col("base")), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,6 +62,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
@@ -65,17 +80,20 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), each AS (
-  SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS at FROM d
+  SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d
 ), keyed AS (
   SELECT *, {_LOWER.replace("coalesce(text, '')", r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key FROM each
 ), owner AS (
   SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key
 ), judged AS (
   SELECT keyed.*, owner.first_doc IS NOT NULL AND owner.first_doc <> keyed.doc_id AS gone FROM keyed LEFT JOIN owner ON keyed.key = owner.key
+), kept AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY pos) AS kept FROM judged WHERE NOT gone GROUP BY r
+), counted AS (
+  SELECT r, max(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped FROM judged GROUP BY r
 )
-SELECT max(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY r
+SELECT counted.doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM counted LEFT JOIN kept ON counted.r = kept.r
 """,
     "op5_decontaminate": rf"""
 WITH d AS (
