@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, packing, quality, secrets, simhash, token_count, url_filter
+from . import decontaminate, html_text, line_dedup, media, packing, quality, secrets, simhash, token_count, url_filter
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
     return packing.pack(table(spark, sf_dir, "documents"), *vocabulary)
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_media": op6_media,
+    "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
