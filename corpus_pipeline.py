@@ -1,12 +1,56 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet before the next reads it."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage works on all that the one before it kept, and is written as Parquet in the shared folder
+before the next one reads it. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pixelloom.llm import decontaminate, line_dedup, packing, quality, simhash
+from pixelloom.llm.common import stored, table
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.7 or more."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that a document of a smaller id holds as well."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    return simhash.remove_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of at most 1024 tokens."""
+    return packing.pack(docs, *(public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontaminate", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier, the fingerprints and the tokenizer are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
