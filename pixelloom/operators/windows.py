@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.loops import cut
+from ..plans.spatial import near_pairs
 from .aggregates import column_extreme
 
 
@@ -76,13 +78,10 @@ def greedy_dedup(peaks: DataFrame, threshold: float, rounds: int = 100) -> DataF
 
     By rounds over the pairs that are close: a point stays once all its earlier neighbours are gone,
     and is gone once one of them stays. Each round decides at least the least undecided point of
-    every group, and is stored in a checkpoint when there is a folder for it.
+    every group, and cuts the lineage where there is a folder for it.
     """
-    from ..plans.spatial import near_pairs
-
     pairs = near_pairs(peaks, peaks, threshold, box=True).filter("peak_id_r < peak_id").select("image_id", "peak_id", F.col("peak_id_r").alias("before")).persist()
     state = peaks.select("image_id", "peak_id").join(pairs.select("image_id", "peak_id").distinct().withColumn("s", F.lit(0)), ["image_id", "peak_id"], "left").select("image_id", "peak_id", F.coalesce("s", F.lit(1)).alias("s")).persist()
-    has_folder = peaks.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
     for _ in range(rounds):
         if state.filter("s = 0").isEmpty():
             break
@@ -91,7 +90,7 @@ def greedy_dedup(peaks: DataFrame, threshold: float, rounds: int = 100) -> DataF
         new = state.join(seen, ["image_id", "peak_id"], "left").select(
             "image_id", "peak_id", F.when(F.col("s") != 0, F.col("s")).when(F.col("lost"), -1).when(F.col("free"), 1).otherwise(0).alias("s")
         )
-        state = new.checkpoint() if has_folder else new.persist()
+        state = cut(new)
     return peaks.join(state.filter("s = 1").select("image_id", "peak_id"), ["image_id", "peak_id"], "left_semi")
 
 
