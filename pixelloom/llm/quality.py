@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     """Model from at most ``sample`` labelled rows that aren't held out.
 
     They are those with the least hash of the id within each label, half of either label where there
-    are enough. Only their features come to the driver. Without labelled rows all scores are 0.5.
+    are enough. Only their features, as half floats, come to the driver. Without labelled rows all scores are 0.5.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"quality": b.quality, "doc_id": b.doc_id, "f": [features(t).tobytes() for t in b.text]})
+            yield pd.DataFrame({"quality": b.quality, "doc_id": b.doc_id, "f": [features(t).astype(np.float16).tobytes() for t in b.text]})
 
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = found.join(picked, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text")
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     prior = counts.get(1, 0) / total if total else 0.5
     if not len(rows):
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), label, label, prior)
-    x = np.frombuffer(b"".join(rows.f), np.float32).reshape(len(rows), WIDTH)
+    x = np.stack([np.frombuffer(f, np.float16) for f in rows.pop("f")]).astype(np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     scaled = x * idf
     scaled /= np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-12)
