@@ -108,18 +108,19 @@ def displacement(spark, d):
 @register(
     "strain_atomic",
     sql(
-        """, m AS (SELECT p.image_id, p.peak_id, p.x, p.y, r.x AS rx, r.y AS ry FROM peaks p JOIN peaks_ref r ON p.image_id = r.image_id AND p.peak_id = r.peak_id),
+        """, m AS (SELECT p.image_id, p.peak_id, p.x, p.y, r.x * 1.013 AS rx, r.y * 0.987 AS ry FROM peaks p JOIN peaks_ref r ON p.image_id = r.image_id AND p.peak_id = r.peak_id),
         e AS (SELECT a.image_id, a.peak_id, b.rx - a.rx AS x0, b.ry - a.ry AS y0, b.x - a.x AS x1, b.y - a.y AS y1 FROM m a JOIN m b ON a.image_id = b.image_id AND a.peak_id <> b.peak_id AND power(a.rx - b.rx, 2) + power(a.ry - b.ry, 2) < 64),
         s AS (SELECT image_id, peak_id, sum(x1 * x0) AS a, sum(x1 * y0) AS b, sum(y1 * x0) AS c, sum(y1 * y0) AS d, sum(x0 * x0) AS p, sum(x0 * y0) AS q, sum(y0 * y0) AS r FROM e GROUP BY 1, 2),
         f AS (SELECT image_id, peak_id, CASE WHEN abs(p * r - q * q) > 1e-9 THEN p * r - q * q END AS det, a, b, c, d, p, q, r FROM s)
-        SELECT k.image_id, k.peak_id, round((a * r - b * q) / det - 1, 12) + 0.0 AS exx, round((d * p - c * q) / det - 1, 12) + 0.0 AS eyy,
-          round(((b * p - a * q) / det + (c * r - d * q) / det) / 2, 12) + 0.0 AS exy, round(((b * p - a * q) / det - (c * r - d * q) / det) / 2, 12) + 0.0 AS omega
+        SELECT k.image_id, k.peak_id, round((a * r - b * q) / det - 1, 6) + 0.0 AS exx, round((d * p - c * q) / det - 1, 6) + 0.0 AS eyy,
+          round(((b * p - a * q) / det + (c * r - d * q) / det) / 2, 6) + 0.0 AS exy, round(((b * p - a * q) / det - (c * r - d * q) / det) / 2, 6) + 0.0 AS omega
         FROM peaks k LEFT JOIN f ON k.image_id = f.image_id AND k.peak_id = f.peak_id""",
         "peaks", "peaks_ref",
     ),
 )
 def strain_atomic(spark, d):
-    return rounded(L.local_strain(peaks(spark, d), peaks_ref(spark, d), 8.0), 12)  # exact ties at six places
+    ref = peaks_ref(spark, d).withColumns({"x": F.col("x") * 1.013, "y": F.col("y") * 0.987})  # a strained reference
+    return rounded(L.local_strain(peaks(spark, d), ref, 8.0))
 
 
 @register(
