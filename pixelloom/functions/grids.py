@@ -43,6 +43,17 @@ def fft2(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(transform, "image_id int, y int, x int, re double, im double")
 
 
+def ifft2(waves: DataFrame) -> DataFrame:
+    """(image_id, y, x, re, im): back from a transform with frequency 0 in the middle; a probe from its transfer function."""
+
+    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(_dense(pdf, "re") + 1j * _dense(pdf, "im"))))
+        y, x = np.indices(f.shape)
+        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": y.ravel(), "x": x.ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
+
+    return waves.select("image_id", "y", "x", "re", "im").groupBy("image_id").applyInPandas(transform, "image_id int, y int, x int, re double, im double")
+
+
 def band_pass(pixels: DataFrame, low: float, high: float) -> DataFrame:
     """Each image with only the frequencies (in cycles a sample) from ``low`` to below ``high``."""
 

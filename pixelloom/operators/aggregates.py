@@ -106,6 +106,18 @@ def histogram(values: DataFrame, bins: int, *keys: str) -> DataFrame:
     return joined.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram2d(values: DataFrame, bins: int, a: str, b: str) -> DataFrame:
+    """Counts of equal bins between the ends of both columns; the last bins are closed."""
+    ends = values.agg(*(f(c).alias(f"__{n}_{c}") for c in (a, b) for n, f in (("lo", F.min), ("hi", F.max))))
+    joined = values.crossJoin(F.broadcast(ends))  # one row
+
+    def at(c: str) -> Column:
+        width = (F.col(f"__hi_{c}") - F.col(f"__lo_{c}")) / bins
+        return F.when(width > 0, F.least(F.floor((F.col(c) - F.col(f"__lo_{c}")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+
+    return joined.groupBy(at(a).alias(f"bin_{a}"), at(b).alias(f"bin_{b}")).agg(F.count("*").alias("n"))
+
+
 def percentiles(values: DataFrame, percents: list[float], *keys: str) -> DataFrame:
     return values.groupBy(*keys).agg(*(F.percentile("v", p / 100).alias(f"p{p:g}".replace(".", "_")) for p in percents))
 

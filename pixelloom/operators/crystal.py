@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grids import fft2
 from ..plans.spatial import near_pairs
+from .windows import local_maxima
 
 Vector = tuple[float, float]
 
@@ -32,6 +36,21 @@ def tile_lattice(atoms: DataFrame, origins: DataFrame, nx: int, ny: int) -> Data
     return out.filter((F.col("x") >= 0) & (F.col("x") < nx) & (F.col("y") >= 0) & (F.col("y") < ny))
 
 
+def fft_peaks(pixels: DataFrame, nx: int, ny: int, k: int = 30, reach: int = 2) -> DataFrame:
+    """The k strongest local maxima of each image's spectrum, under a Hann window: frequencies gx, gy in cycles a pixel.
+
+    The middle (frequency 0) is left out; the log amplitude ranks, ties by place.
+    """
+    hann = lambda c, n: 0.5 - 0.5 * F.cos(2 * math.pi * (F.col(c) + 0.5) / n)
+    mean = pixels.groupBy("image_id").agg(F.avg("v").alias("__mean"))
+    flat = pixels.join(F.broadcast(mean), "image_id").withColumn("v", (F.col("v") - F.col("__mean")) * hann("x", nx) * hann("y", ny)).drop("__mean")
+    power = fft2(flat).withColumn("v", F.log1p(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))))
+    peaks = local_maxima(power.select("image_id", "y", "x", "v"), reach, 0.0, reach, nx, ny).filter((F.col("x") != nx // 2) | (F.col("y") != ny // 2))
+    top = Window.partitionBy("image_id").orderBy(F.desc(F.round("v", 9)), "y", "x")
+    best = peaks.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+    return best.select("image_id", "rank", ((F.col("x") - nx // 2) / nx).alias("gx"), ((F.col("y") - ny // 2) / ny).alias("gy"), "v")
+
+
 def reciprocal_to_real(vectors: DataFrame) -> DataFrame:
     """g / |g|**2."""
     n = F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")

@@ -12,8 +12,16 @@ def hypot(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def nearest_any(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], right_id: str = "peak_id", key: str = "image_id") -> DataFrame:
-    """For each left row the nearest right row of its image, however far; rows meet by image, and minima are combined before the shuffle."""
+def nearest_any(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], right_id: str = "peak_id", key: str = "image_id", reach: float | None = None) -> DataFrame:
+    """For each left row the nearest right row of its image, however far; minima are combined before the shuffle.
+
+    With ``reach`` rows that have a neighbour within it are settled by grid buckets, and only the
+    rest meets all right rows of its image; the result is the same.
+    """
+    if reach is not None:
+        close = nearest(left, right, reach, left_id, right_id, (key,))
+        rest = left.join(close, [key, *left_id], "left_anti")
+        return close.unionByName(nearest_any(rest, right, left_id, right_id, key))
     r = right.select(F.col(key), F.col(right_id).alias("__id"), F.col("x").alias("__x"), F.col("y").alias("__y"))
     dx, dy = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
     best = F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("__id").alias("id")))
@@ -21,14 +29,17 @@ def nearest_any(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], rig
 
 
 def label_pixels(pixels: DataFrame, peaks: DataFrame, radius: float) -> DataFrame:
-    """Pixels with the id of the nearest peak closer than ``radius``, null where there is none."""
+    """Pixels with the id of the nearest peak closer than ``radius``, null where there is none.
+
+    For periodic images give ``periodic_images(peaks, nx, ny)`` as peaks.
+    """
     near = nearest(pixels, peaks, radius, ("y", "x"))
     return pixels.join(near.select("image_id", "y", "x", F.col("peak_id_r").alias("peak_id")), ["image_id", "y", "x"], "left")
 
 
-def nearest_match(left: DataFrame, right: DataFrame, right_columns: list[str], key: str = "image_id") -> DataFrame:
+def nearest_match(left: DataFrame, right: DataFrame, right_columns: list[str], key: str = "image_id", reach: float | None = None) -> DataFrame:
     """Left rows with columns of their nearest right row (many to one)."""
-    found = nearest_any(left, right, ("peak_id",)).drop("d2")
+    found = nearest_any(left, right, ("peak_id",), key=key, reach=reach).drop("d2")
     gathered = right.select(key, F.col("peak_id").alias("peak_id_r"), *(F.col(c).alias(c + "_r") for c in right_columns))
     return left.join(found, [key, "peak_id"], "left").join(gathered, [key, "peak_id_r"], "left")
 

@@ -1,13 +1,15 @@
 """Gaussian mixtures with diagonal covariance, fitted by relational expectation and maximisation.
 
-Data are rows (id, v); a model is a handful of components (k, weight, mean, var). One round is one
-grouped aggregate over the data with the components as literals; only their sums come back.
+Data are rows (id, and one column for each dimension); a model is a handful of components. One round
+is one grouped aggregate over the data with the components as literals; only their sums come back.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,63 +17,90 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Component:
+    """A weight, and a mean and variance for each dimension (plain numbers for one)."""
+
     weight: float
-    mean: float
-    var: float
+    mean: float | tuple[float, ...]
+    var: float | tuple[float, ...]
+
+    @property
+    def means(self) -> tuple[float, ...]:
+        return self.mean if isinstance(self.mean, tuple) else (self.mean,)
+
+    @property
+    def vars(self) -> tuple[float, ...]:
+        return self.var if isinstance(self.var, tuple) else (self.var,)
+
+
+def _component(weight: float, means: Sequence[float], variances: Sequence[float]) -> Component:
+    return Component(weight, means[0], variances[0]) if len(means) == 1 else Component(weight, tuple(means), tuple(variances))
 
 
-def initial(samples: DataFrame, n: int) -> list[Component]:
-    """Equal weights, means in the middle of equal parts of the range, one shared width."""
-    lo, hi = samples.agg(F.min("v"), F.max("v")).first()
-    width = (hi - lo) / (2 * n)
-    return [Component(1 / n, lo + (2 * i + 1) * width, width * width) for i in range(n)]
+def initial(samples: DataFrame, n: int, dims: Sequence[str] = ("v",), means: Sequence[Sequence[float]] | None = None) -> list[Component]:
+    """Equal weights, means in the middle of equal parts of the range (or as given), one shared width for each dimension."""
+    ends = samples.agg(*(f(c) for c in dims for f in (F.min, F.max))).first()
+    lows, widths = ends[::2], [(hi - lo) / (2 * n) for lo, hi in zip(ends[::2], ends[1::2], strict=True)]
+    if means is None:
+        means = [[lo + (2 * i + 1) * w for lo, w in zip(lows, widths, strict=True)] for i in range(n)]
+    return [_component(1 / n, list(m), [w * w for w in widths]) for m in means]
 
 
-def density(v: Column, c: Component) -> Column:
-    return F.lit(c.weight / math.sqrt(2 * math.pi * c.var)) * F.exp(-(v - c.mean) * (v - c.mean) / (2 * c.var))
+def inserted(last: list[Component], samples: DataFrame, dims: Sequence[str] = ("v",)) -> list[list[Component]]:
+    """Starts with one component more: a new mean between each two neighbours of the last model."""
+    means = [list(c.means) for c in last]
+    middles = [[(a + b) / 2 for a, b in zip(p, q, strict=True)] for p, q in zip(means, means[1:], strict=False)]
+    return [initial(samples, len(last) + 1, dims, [*means[: i + 1], m, *means[i + 1 :]]) for i, m in enumerate(middles)]
 
 
-def densities(samples: DataFrame, model: list[Component]) -> DataFrame:
+def density(c: Component, dims: Sequence[str] = ("v",)) -> Column:
+    scale = c.weight / math.sqrt(math.prod(2 * math.pi * v for v in c.vars))
+    parts = ((F.col(d) - m) * (F.col(d) - m) / (2 * v) for d, m, v in zip(dims, c.means, c.vars, strict=True))
+    return F.lit(scale) * F.exp(-reduce(lambda a, b: a + b, parts))
+
+
+def densities(samples: DataFrame, model: list[Component], dims: Sequence[str] = ("v",)) -> DataFrame:
     """Adds ``p``, the array of weighted densities."""
-    return samples.withColumn("p", F.array(*(density(F.col("v"), c) for c in model)))
+    return samples.withColumn("p", F.array(*(density(c, dims) for c in model)))
 
 
-def responsibilities(samples: DataFrame, model: list[Component]) -> DataFrame:
+def responsibilities(samples: DataFrame, model: list[Component], dims: Sequence[str] = ("v",)) -> DataFrame:
     """Adds ``tau``, each component's share of the density, and ``llh``, the log of the whole."""
-    d = densities(samples, model).withColumn("s", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    d = densities(samples, model, dims).withColumn("s", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
     return d.select(*samples.columns, F.transform("p", lambda x: x / F.col("s")).alias("tau"), F.log("s").alias("llh"))
 
 
-def step(samples: DataFrame, model: list[Component], rate: float = 1.0, shared_width: bool = False) -> tuple[list[Component], float]:
+def step(samples: DataFrame, model: list[Component], rate: float = 1.0, shared_width: bool = False, dims: Sequence[str] = ("v",)) -> tuple[list[Component], float]:
     """The model after one round with step size ``rate``, and the log-likelihood before it; variances lie about the new means."""
-    r = responsibilities(samples, model)
-    v = F.col("v")
+    r = responsibilities(samples, model, dims)
     sums = []
     for k, c in enumerate(model):
         t = F.get("tau", F.lit(k))
-        sums += [F.sum(t).alias(f"n{k}"), F.sum(t * (v - c.mean)).alias(f"m{k}"), F.sum(t * (v - c.mean) * (v - c.mean)).alias(f"q{k}")]
+        sums.append(F.sum(t).alias(f"n{k}"))
+        for j, (d, m) in enumerate(zip(dims, c.means, strict=True)):
+            off = F.col(d) - m
+            sums += [F.sum(t * off).alias(f"m{k}_{j}"), F.sum(t * off * off).alias(f"q{k}_{j}")]
     row = r.agg(F.count("*").alias("n"), F.sum("llh").alias("llh"), *sums).first()
-    found = []
+    counts, means, variances = [row[f"n{k}"] for k in range(len(model))], [], []
     for k, c in enumerate(model):
-        n, m, q = row[f"n{k}"], row[f"m{k}"], row[f"q{k}"]
-        move = rate * m / n
-        var = q / n - 2 * move * m / n + move * move
-        found.append((n, c.weight + rate * (n / row["n"] - c.weight), c.mean + move, c.var + rate * (var - c.var)))
-    weights = [w for _, w, _, _ in found[:-1]]
+        moves = [rate * row[f"m{k}_{j}"] / counts[k] for j in range(len(dims))]
+        about = [row[f"q{k}_{j}"] / counts[k] - 2 * u * row[f"m{k}_{j}"] / counts[k] + u * u for j, u in enumerate(moves)]
+        means.append([m + u for m, u in zip(c.means, moves, strict=True)])
+        variances.append([v + rate * (a - v) for v, a in zip(c.vars, about, strict=True)])
+    weights = [c.weight + rate * (n / row["n"] - c.weight) for c, n in zip(model[:-1], counts, strict=False)]
     weights.append(1 - sum(weights))
     if shared_width:
-        pooled = sum(n * var for n, _, _, var in found) / row["n"]
-        found = [(n, w, mean, pooled) for n, w, mean, _ in found]
-    new = [Component(w, mean, max(var, 1e-12)) for w, (_, _, mean, var) in zip(weights, found, strict=True)]
-    return sorted(new, key=lambda c: c.mean), row["llh"]
+        pooled = [sum(n * v[j] for n, v in zip(counts, variances, strict=True)) / row["n"] for j in range(len(dims))]
+        variances = [pooled] * len(model)
+    new = [_component(w, m, [max(x, 1e-12) for x in v]) for w, m, v in zip(weights, means, variances, strict=True)]
+    return sorted(new, key=lambda c: c.means), row["llh"]
 
 
-def fit(samples: DataFrame, n: int, rounds: int = 200, tolerance: float = 1e-5, least_gap: float = 1e-3, **how) -> tuple[list[Component], float]:
+def fit(samples: DataFrame, n: int, rounds: int = 200, tolerance: float = 1e-5, least_gap: float = 1e-3, dims: Sequence[str] = ("v",), start: list[Component] | None = None, **how) -> tuple[list[Component], float]:
     """Rounds until the relative change of the log-likelihood is small or two means coincide."""
-    model, last = initial(samples, n), -math.inf
+    model, last = start or initial(samples, n, dims), -math.inf
     for _ in range(rounds):
-        new, llh = step(samples, model, **how)
-        if any(b.mean - a.mean < least_gap for a, b in zip(new, new[1:], strict=False)):
+        new, llh = step(samples, model, dims=dims, **how)
+        if any(math.dist(a.means, b.means) < least_gap for a, b in zip(new, new[1:], strict=False)):
             return model, llh
         if abs(llh - last) <= tolerance * abs(llh):
             return model, llh
@@ -93,13 +122,23 @@ def scores(llh: float, tau_entropy: float, n_data: int, n: int, dims: int = 1, s
     }
 
 
-def entropy(samples: DataFrame, model: list[Component]) -> tuple[int, float, float]:
+def entropy(samples: DataFrame, model: list[Component], dims: Sequence[str] = ("v",)) -> tuple[int, float, float]:
     """(rows, log-likelihood, entropy of the assignment)."""
     part = F.aggregate("tau", F.lit(0.0), lambda a, t: a - F.when(t > 0, t * F.log(t)).otherwise(F.lit(0.0)))
-    return tuple(responsibilities(samples, model).agg(F.count("*"), F.sum("llh"), F.sum(part)).first())
+    return tuple(responsibilities(samples, model, dims).agg(F.count("*"), F.sum("llh"), F.sum(part)).first())
+
+
+def best_size(samples: DataFrame, sizes: Sequence[int], metric: str = "icl", dims: Sequence[str] = ("v",), **how) -> tuple[int, dict[int, float]]:
+    """The number of components with the least score, the first of equals, and all scores."""
+    found = {}
+    for n in sizes:
+        model, _ = fit(samples, n, dims=dims, **how)
+        rows, llh, en = entropy(samples, model, dims)
+        found[n] = scores(llh, en, rows, n, len(dims))[metric]
+    return min(found, key=lambda n: (found[n], n)), found
 
 
-def assign(samples: DataFrame, model: list[Component]) -> DataFrame:
+def assign(samples: DataFrame, model: list[Component], dims: Sequence[str] = ("v",)) -> DataFrame:
     """(id, component): the likeliest component of each row; the first of equals."""
-    d = densities(samples, model)
+    d = densities(samples, model, dims)
     return d.select("id", (F.array_position("p", F.array_max("p")) - 1).alias("component"))

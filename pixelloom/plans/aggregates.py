@@ -109,6 +109,13 @@ def histogram(spark, d):
     return O.histogram(pixels(spark, d), 32, "image_id")
 
 
+@register("histogram_2d", """WITH e AS (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part)
+  SELECT CAST(least(floor((p_size - a) / ((b - a) / 16.0)), 15) AS INTEGER) AS bin_size, CAST(least(floor((p_retailprice - c) / ((d - c) / 16)), 15) AS INTEGER) AS bin_price, count(*) AS n FROM part, e GROUP BY 1, 2""")
+def histogram_2d(spark, d):
+    part = table(spark, d, "part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return O.histogram2d(part, 16, "size", "price")
+
+
 @register("percentile_stats", sql("SELECT user_id, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.95), 6) AS p95 FROM samples GROUP BY user_id", "samples"))
 def percentile_stats(spark, d):
     return rounded(O.percentiles(samples(spark, d), [5, 95], "user_id"))

@@ -100,6 +100,12 @@ def lattice_vectors_fft(spark, d):
     return rounded(L.reciprocal_to_real(v).select("p_partkey", "ax", "ay"))
 
 
+@register("fft_peaks")
+def fft_peaks(spark, d):
+    """A test finds the vectors of a known lattice."""
+    return rounded(L.fft_peaks(pixels(spark, d), NX, NY))
+
+
 @register("displacement", sql("SELECT p.image_id, p.peak_id, round((p.x - r.x) * 0.1, 6) AS ux, round((p.y - r.y) * 0.1, 6) AS uy FROM peaks p JOIN peaks_ref r ON p.image_id = r.image_id AND p.peak_id = r.peak_id", "peaks", "peaks_ref"))
 def displacement(spark, d):
     return rounded(L.displacement(peaks(spark, d), peaks_ref(spark, d), 0.1).select("image_id", "peak_id", "ux", "uy"))

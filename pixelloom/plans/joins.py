@@ -19,7 +19,7 @@ def _nearest_sql(left: str, right: str, ids: str, where: str = "true") -> str:
 
 @register("join_nearest_bruteforce", sql(f"SELECT image_id, y, x, peak_id_r, round(d2, 6) AS d2 FROM ({_nearest_sql('pixels', 'peaks', 'a.y, a.x')}) n", "pixels", "peaks"))
 def join_nearest_bruteforce(spark, d):
-    return rounded(O.nearest_any(pixels(spark, d), peaks(spark, d), ("y", "x")))
+    return rounded(O.nearest_any(pixels(spark, d), peaks(spark, d), ("y", "x"), reach=3.0))
 
 
 @register(
@@ -32,7 +32,7 @@ def join_nearest_bounded(spark, d):
 
 @register("join_nearest_match", sql(f"SELECT image_id, peak_id, peak_id_r, bx AS x_r, bt AS atom_type_r FROM ({_nearest_sql('peaks', 'peaks_ref', 'a.peak_id')}) n", "peaks", "peaks_ref"))
 def join_nearest_match(spark, d):
-    return O.nearest_match(peaks(spark, d), peaks_ref(spark, d), ["x", "atom_type"]).select("image_id", "peak_id", "peak_id_r", "x_r", "atom_type_r")
+    return O.nearest_match(peaks(spark, d), peaks_ref(spark, d), ["x", "atom_type"], reach=1.0).select("image_id", "peak_id", "peak_id_r", "x_r", "atom_type_r")
 
 
 @register(

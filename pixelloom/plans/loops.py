@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 
 
+def timed(f: Callable) -> Callable:
+    """Logs the wall time of each call on the driver."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        began = time.perf_counter()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            logging.getLogger(__name__).info("%s took %.3f s", f.__name__, time.perf_counter() - began)
+
+    return run
+
+
 def cut(df: DataFrame, k: int = 0, every: int = 1) -> DataFrame:
     """``df`` to go on with in a loop: kept, and on each ``every``-th round checkpointed.
 

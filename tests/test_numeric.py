@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pixelloom.functions import grids, models, optics
-from pixelloom.operators import fitting, mixture, windows
+from pixelloom.operators import crystal, fitting, mixture, windows
 from pixelloom.sources import binary, text
 from pyspark.sql import functions as F
 
@@ -132,6 +132,29 @@ def test_mixture_is_found_and_never_gets_worse(spark):
     assert all(abs(r.t - 1) < 1e-9 for r in shares)
 
 
+def test_mixture_in_two_dimensions(spark):
+    rng = np.random.default_rng(2)
+    pts = np.concatenate([rng.normal((0, 0), (1, 0.5), (500, 2)), rng.normal((8, 3), (0.7, 1), (300, 2))])
+    s = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id long, v double, w double").cache()
+    best, _ = mixture.best_size(s, [1, 2], dims=("v", "w"))
+    model, _ = mixture.fit(s, 2, dims=("v", "w"))
+    assert best == 2 and np.allclose([c.means for c in model], [(0, 0), (8, 3)], atol=0.2) and abs(model[0].weight - 0.625) < 0.02
+    assert len(mixture.inserted(model, s, ("v", "w"))) == 1
+    assert {r.component for r in mixture.assign(s, model, ("v", "w")).filter("id < 400").collect()} == {0}
+
+
+def test_spectrum_of_a_lattice(spark):
+    y, x = np.indices((48, 64))
+    a = np.cos(2 * np.pi * x * 8 / 64) + 0.5 * np.cos(2 * np.pi * y * 6 / 48)
+    got = {(round(r.gx * 64), round(r.gy * 48)) for r in crystal.fft_peaks(image(spark, a), 64, 48, 4).collect()}
+    assert got == {(8, 0), (-8, 0), (0, 6), (0, -6)}
+
+
+def test_inverse_transform(spark):
+    a = np.random.default_rng(4).random((6, 8))
+    assert np.allclose(dense(grids.ifft2(grids.fft2(image(spark, a))), "re"), a)
+
+
 def test_fourier(spark):
     a = np.random.default_rng(0).random((12, 16))
     f = grids.fft2(image(spark, a))
