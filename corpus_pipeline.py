@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id."""
     return simhash.remove_near_duplicates(docs)
 
 

@@ -4,8 +4,11 @@ Fingerprints within the radius agree on at least ``BLOCKS - radius`` of BLOCKS b
 equal values of any such choice of blocks bring every link together in some cell. Within a cell the
 fingerprints are stored vertically, one plane for each bit; one query is held against all lanes of a
 word at once, carry-save counters add up the differing bits, and a block of words is abandoned
-as soon as all its lanes are beyond the radius. Cells hand on a spanning forest of their links, and
-connected components follow by large-star and small-star rounds.
+as soon as all its lanes are beyond the radius. Cells hand on a least spanning forest of their
+links, and connected components follow by large-star and small-star rounds.
+
+Two uses: ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` takes wider links
+of finer fingerprints as candidates, and keeps those whose texts share enough word shingles.
 """
 
 from __future__ import annotations
@@ -70,30 +73,29 @@ def _cell_keys(fp: Column, radius: int, blocks: int) -> Column:
 
 
 class _Counters:
-    """Carry-save counters of 0 to 7 differing bits in each lane, with a mark for more."""
+    """Carry-save counters of differing bits in each lane, one plane for each binary digit, with a mark for overflow."""
 
-    def __init__(self, shape: tuple, dtype: type):
-        self.one, self.two, self.four, self.over = (np.zeros(shape, dtype) for _ in range(4))
+    def __init__(self, shape: tuple, dtype: type, radius: int):
+        self.radius = radius
+        self.digits = [np.zeros(shape, dtype) for _ in range(max(1, radius.bit_length()))]
+        self.over = np.zeros(shape, dtype)
 
-    def add(self, bits: np.ndarray) -> None:
-        carry = self.one & bits
-        self.one ^= bits
-        carry, self.two = self.two & carry, self.two ^ carry
-        carry, self.four = self.four & carry, self.four ^ carry
+    def add(self, carry: np.ndarray) -> None:
+        for i, digit in enumerate(self.digits):
+            self.digits[i], carry = digit ^ carry, digit & carry
         self.over |= carry
 
     def take(self, rows: np.ndarray) -> None:
-        self.one, self.two, self.four, self.over = (x[rows] for x in (self.one, self.two, self.four, self.over))
-
-    def beyond(self, radius: int) -> np.ndarray:
-        """Lanes with more than ``radius`` (0 to 7) bits."""
-        full = ~np.zeros((), self.one.dtype)
-        more, equal = self.over.copy(), full
-        for plane, bit in ((self.four, 4), (self.two, 2), (self.one, 1)):
-            if radius & bit:
-                equal = equal & plane
+        self.digits, self.over = [d[rows] for d in self.digits], self.over[rows]
+
+    def beyond(self) -> np.ndarray:
+        """Lanes with more than ``radius`` bits."""
+        more, equal = self.over.copy(), ~np.zeros((), self.over.dtype)
+        for i in reversed(range(len(self.digits))):
+            if self.radius >> i & 1:
+                equal = equal & self.digits[i]
             else:
-                more |= equal & plane
+                more |= equal & self.digits[i]
         return more
 
 
@@ -122,21 +124,21 @@ def _small_cells(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius:
             for q in range(int(n.max()) - 1):
                 alive = np.flatnonzero(n > q + 1)
                 lane_q = dtype(q)
-                counters = _Counters((len(alive),), dtype)
+                counters = _Counters((len(alive),), dtype, radius)
                 for j in range(BITS):
                     mine = planes[j, alive]
                     query = (dtype(0) - ((mine >> lane_q) & dtype(1))).astype(dtype)
                     counters.add(mine ^ query)
                     if j % LOOK == LOOK - 1:
                         later = member[alive] & dtype((full << (q + 1)) & full)
-                        near = (~counters.beyond(radius) & later) != 0
+                        near = (~counters.beyond() & later) != 0
                         if not near.all():
                             alive = alive[near]
                             counters.take(near)
                         if not len(alive):
                             break
                 if len(alive):
-                    near = ~counters.beyond(radius) & member[alive] & dtype((full << (q + 1)) & full)
+                    near = ~counters.beyond() & member[alive] & dtype((full << (q + 1)) & full)
                     hits = np.unpackbits(near.view(np.uint8).reshape(len(alive), width), axis=1, bitorder="little")
                     row, lane = np.nonzero(hits)
                     yield first[alive[row]] + q, first[alive[row]] + lane
@@ -152,13 +154,13 @@ def _large_cell(fps: np.ndarray, radius: int, queries: int = 64, words: int = 64
         masks = np.uint64(0) - bits  # (queries, 64): all ones where the bit is set
         for w in range(q // 64, planes.shape[1], words):
             block = planes[:, w : w + words]
-            counters = _Counters((len(bits), block.shape[1]), np.uint64)
+            counters = _Counters((len(bits), block.shape[1]), np.uint64, radius)
             for j in range(BITS):
                 counters.add(block[j][None, :] ^ masks[:, j][:, None])
-                if j % LOOK == LOOK - 1 and j < BITS - 1 and not (~counters.beyond(radius)).any():
+                if j % LOOK == LOOK - 1 and j < BITS - 1 and not (~counters.beyond()).any():
                     break
             else:
-                near = ~counters.beyond(radius)
+                near = ~counters.beyond()
                 hits = np.unpackbits(near.view(np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")
                 a, b = np.nonzero(hits)
                 a, b = a + q, b + 64 * w
@@ -166,70 +168,82 @@ def _large_cell(fps: np.ndarray, radius: int, queries: int = 64, words: int = 64
                 yield a[right], b[right]
 
 
-def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Labels (each the least place of its set) after the links a-b; labels are changed in place."""
+def _spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a-b that join sets with different labels (each the least place of its set, changed in place), none too many."""
+    chosen = []
     while len(a):
-        a, b = label[a], label[b]
-        low, high = np.minimum(a, b), np.maximum(a, b)
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
         apart = low != high
-        low, high = low[apart], high[apart]
-        np.minimum.at(label, high, low)
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        if not len(a):
+            break
+        order = np.lexsort((low, high))
+        one = order[np.unique(high[order], return_index=True)[1]]  # each higher set joins its lowest partner
+        chosen.append((a[one], b[one]))
+        label[high[one]] = low[one]
         while (label[label] != label).any():
             label[:] = label[label]
-        a, b = low, high
+    return chosen
 
 
 def _forest(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) of those that link to an earlier one within their cell, straight or by others."""
-    label = np.arange(len(fps))
-    for a, b in _small_cells(fps, starts, sizes, radius):
-        _join(label, a, b)
+    """Links (places in ``fps``) that connect all that is linked within the cells: the closest that do so."""
+    found = list(_small_cells(fps, starts, sizes, radius))
+    label, chosen = np.arange(len(fps)), []
+
+    def settle(label: np.ndarray, found: list, first: int = 0) -> None:
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        d = np.bitwise_count((fps[a + first] ^ fps[b + first]).view(np.uint64))
+        for k in range(radius + 1):
+            chosen.extend((x + first, y + first) for x, y in _spanning(label, a[d == k], b[d == k]))
+
+    settle(label, found)
     for first, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        own = np.arange(n)
-        for a, b in _large_cell(fps[first : first + n], radius):
-            _join(own, a, b)
-        label[first : first + n] = own + first
-    linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[linked], fps[label[linked]]
+        settle(np.arange(n), list(_large_cell(fps[first : first + n], radius)), first)
+    if not chosen:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in chosen]), np.concatenate([y for _, y in chosen])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all those within the radius.
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """(a, b): links between nodes (columns node, fp) that connect all those within the radius.
 
-    In place of all links within a cell, a spanning forest of them. A cell of more than ``part``
-    fingerprints is dealt into parts by hash, and each two parts meet in a cell of their own.
+    In place of all links within a cell, its least spanning forest. A cell of more than ``part`` nodes
+    is dealt into parts by hash, and each two parts meet in a cell of their own.
     """
-    keyed = distinct.select("fp", F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select("fp", "k.choice", "k.bits")
+    keyed = nodes.select("node", "fp", F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select("node", "fp", "k.choice", "k.bits")
     # stored, so that the join below has plain sides, of which Spark can split a skewed one
     large = stored(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "cells")
     sized = keyed.join(large, ["choice", "bits"])
     parts = F.ceil(F.col("n") / part).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(F.least(p, F.col("mine")).alias("low"), F.greatest(p, F.col("mine")).alias("high")),
     )
-    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", "fp", F.explode(pairs).alias("p"))
-    cells = cells.select(F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell"), "fp")
+    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", "node", "fp", F.explode(pairs).alias("p"))
+    cells = cells.select(F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell"), "node", "fp")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def run(cell: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        def run(cell: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             sizes = np.diff(np.append(starts, len(cell)))
             a, b = _forest(fp, starts, sizes, radius)
-            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
 
-        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest = tuple(np.zeros(0, np.int64) for _ in range(3))
         for x in batches:
-            cell, fp = np.concatenate((cell, x.cell.to_numpy())), np.concatenate((fp, x.fp.to_numpy()))
-            last = np.searchsorted(cell, cell[-1]) if len(cell) else 0  # the last cell may go on
+            rest = tuple(np.concatenate((r, x[c].to_numpy())) for r, c in zip(rest, ("cell", "node", "fp"), strict=True))
+            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
             if last:
-                yield run(cell[:last], fp[:last])
-                cell, fp = cell[last:], fp[last:]
-        if len(cell):
-            yield run(cell, fp)
+                yield run(*(r[:last] for r in rest))
+                rest = tuple(r[last:] for r in rest)
+        if len(rest[0]):
+            yield run(*rest)
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(compare, "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -265,18 +279,66 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    tree = components(links(distinct.select("fp"), radius))
+    tree = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius))
     rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def remove_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, that of the least id, with all its columns.
+def _normal(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _shingle_hashes(words: list[bytes], n: int) -> list[int]:
+    """Signed hashes of the distinct shingles; fewer words are one shingle, none are none."""
+    if not words:
+        return []
+    grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+    return np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)).tolist()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10) -> DataFrame:
+    """(doc_id, component_id) of every document row, by similar texts.
+
+    Texts are compared as sequences of lower-cased (A-Z) words. Candidates are links of fingerprints of
+    ``shingle`` words within ``radius``; a link stands if the texts' sets of shingles of ``words`` words
+    have a Jaccard similarity of ``similarity`` or more. Equal sequences are one class, empty and null
+    ones too. component_id is the least doc_id that standing links reach; rows without ids have none.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            node = [xxhash.xxh64_intdigest(b" ".join(_normal(t)), SEED) for t in b.text]
+            fps = [fingerprint(t, shingle) for t in b.text]
+            yield pd.DataFrame({"doc_id": b.doc_id, "node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fps, np.uint64).view(np.int64)})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = stored(rows.mapInPandas(keys, "doc_id long, node long, fp long"), "document-keys")
+    nodes = stored(placed.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    edges = stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [(n, _shingle_hashes(w, words)) for n, w in zip(b.node, map(_normal, b.text), strict=True) if n == np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)]
+            yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
+    texts = rows.join(ends, "doc_id").select("node", "text").mapInPandas(shingles, "node long, s array<long>")
+    sets = stored(texts.groupBy("node").agg(F.first("s").alias("s")), "shingles")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    tree = components(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    rooted = nodes.select("node", "least").join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    return placed.join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def remove_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, **how) -> DataFrame:
+    """One document of each component of similar texts, that of the least id, with all its columns.
 
-    Rows that repeat an id stay together with it. A component without ids keeps all its rows.
+    Rows that repeat an id stay or go together. A component without ids keeps all its rows.
     """
-    found = near_duplicates(docs, radius, shingle)
+    found = similar_documents(docs, similarity, words, **how)
     lost = found.filter("doc_id != component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["__id"]), "left_anti")

@@ -1,3 +1,5 @@
+from collections import Counter, defaultdict
+
 import corpus_pipeline as C
 import public_tokenizers
 from pixelloom.llm import quality
@@ -5,11 +7,24 @@ from tokenizers import Tokenizer
 
 from .test_decontaminate import plain as plain_contamination
 from .test_line_dedup import plain as plain_lines
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import groups
 
 SF = "/root/testdata/sf0.01"
 
 
+def similar_groups(texts):
+    """Classes of documents under a Jaccard similarity of .8 of their five-word shingles, by an inverted index."""
+    sets, index, common = {}, defaultdict(list), Counter()
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+        for g in sets[d]:
+            index[g].append(d)
+    for ds in index.values():
+        common.update((a, b) for i, a in enumerate(ds) for b in ds[i + 1 :])
+    return groups([p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)], list(texts))
+
+
 def test_stages_against_plain_versions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, {r.doc_id: r.text for r in docs.collect()}
@@ -25,11 +40,9 @@ def test_stages_against_plain_versions(spark):
         elif i == 1:
             assert got == {d: t for d, t, _, _ in plain_lines(list(kept.items()))}
         elif i == 2:
-            fps = {d: plain_fingerprint(t) for d, t in kept.items()}
-            root, least = plain_components(list(fps.values())), {}
-            for d, f in fps.items():
-                least[root[f]] = min(least.get(root[f], d), d)
-            assert set(got) == set(least.values())
+            lost, want = set(kept) - set(got), {d for g in similar_groups(kept) for d in g[1:]}
+            print(f"near duplicates: {len(lost)} of {len(want)}")
+            assert lost <= want and len(lost) >= 0.9 * len(want) and len(want) > 20
         else:
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert set(got) == {x[0] for x in plain_contamination(list(kept.items()), items) if not x[4]}

@@ -49,16 +49,33 @@ def test_fingerprints(spark):
     assert spark.sql("SELECT xxhash64('a b c d') AS h").first().h & (2**64 - 1) == S.fingerprint("A b c D")
 
 
-@pytest.mark.parametrize("seed,n,centres,flips", [(0, 40, 3, 6), (1, 300, 2, 5), (2, 500, 60, 7), (3, 9, 1, 8), (4, 64, 1, 4), (5, 65, 1, 4)])
-def test_cells_find_all_links(seed, n, centres, flips):
+def groups(pairs, nodes):
+    """Sorted classes of nodes under the links."""
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return sorted(sorted(x for x in nodes if find(x) == r) for r in {find(x) for x in nodes})
+
+
+def plain_groups(fps, radius):
+    return groups([(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= radius], fps)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 8])
+@pytest.mark.parametrize("seed,n,centres,flips", [(0, 40, 3, 6), (1, 300, 2, 5), (2, 400, 60, 9), (3, 9, 1, 8), (4, 64, 1, 4), (5, 65, 1, 4)])
+def test_cells_find_all_links(seed, n, centres, flips, radius):
     rng = np.random.default_rng(seed)
     fps = np.array(sorted(set(near(rng, n, centres, flips))), np.uint64).view(np.int64)
-    a, b = S._forest(fps, np.array([0]), np.array([len(fps)]), 4)
-    label = {f: f for f in fps.tolist()}
-    label |= dict(zip(a.tolist(), b.tolist(), strict=True))
-    want = plain_components([f & (2**64 - 1) for f in fps.tolist()])
-    groups = lambda d: sorted(sorted(x & (2**64 - 1) for x in d if d[x] == r) for r in set(d.values()))
-    assert groups(label) == groups(want)
+    a, b = S._forest(fps, np.array([0]), np.array([len(fps)]), radius)
+    want = plain_groups(fps.tolist(), radius)
+    assert groups(zip(fps[a].tolist(), fps[b].tolist(), strict=True), fps.tolist()) == want
+    assert len(a) == len(fps) - len(want) and (np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)) <= radius).all()
 
 
 def test_many_cells_at_once():
@@ -68,20 +85,39 @@ def test_many_cells_at_once():
     sizes = np.array([len(c) for c in cells])
     fps, starts = np.concatenate(cells), np.concatenate(([0], np.cumsum(sizes)[:-1]))
     a, b = S._forest(fps, starts, sizes, 4)
-    want = [S._forest(c, np.array([0]), np.array([len(c)]), 4) for c in cells]
-    assert a.tolist() == np.concatenate([x for x, _ in want]).tolist() and b.tolist() == np.concatenate([y for _, y in want]).tolist()
+    for c, first in zip(cells, starts, strict=True):
+        own = (a >= first) & (a < first + len(c))
+        assert groups(zip(fps[a[own]].tolist(), fps[b[own]].tolist(), strict=True), c.tolist()) == plain_groups(c.tolist(), 4)
 
 
-@pytest.mark.parametrize("part", [8, 2048])
-def test_links_and_components(spark, part):
+@pytest.mark.parametrize("radius,blocks,part", [(4, 6, 8), (4, 6, 2048), (8, 10, 2048)])
+def test_links_and_components(spark, radius, blocks, part):
     rng = np.random.default_rng(7)
-    fps = sorted(set(near(rng, 400, 12, 7)) | {0, 1, 2**64 - 1})
-    signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    edges = S.links(spark.createDataFrame([(f,) for f in signed], "fp long"), part=part)
-    label = {f: f for f in signed} | {r.node: r.root for r in S.components(edges).collect()}
-    want = plain_components(fps)
-    groups = lambda d: sorted(sorted(x & (2**64 - 1) for x in d if d[x] == r) for r in set(d.values()))
-    assert groups(label) == groups(want)
+    fps = np.array(sorted(set(near(rng, 400, 12, 9)) | {0, 1, 2**64 - 1}), np.uint64).view(np.int64).tolist()
+    edges = S.links(spark.createDataFrame([(f, f) for f in fps], "node long, fp long"), radius, blocks, part)
+    found = [(r.node, r.root) for r in S.components(edges).collect()]
+    assert groups(found, fps) == plain_groups(fps, radius)
+
+
+def test_similar_documents(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    texts = [" ".join(rng.choice(vocabulary, 200)) for _ in range(12)]
+    docs = list(texts)
+    for t in texts[:6]:
+        for edits in (1, 2, 30):
+            w = t.split()
+            for i in rng.choice(len(w), edits, replace=False):
+                w[i] = f"new{i}"
+            docs.append(" ".join(w))
+    docs += [texts[7].upper() + " \n", "", None, "two words", "Two  words", "tiny"]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in docs]
+    want = groups([(i, j) for i in range(len(docs)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8], list(range(len(docs))))
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id long, text string, node int")
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    assert got == {d: g[0] for g in want for d in g}
+    assert sorted(r.doc_id for r in S.remove_near_duplicates(df).collect()) == [g[0] for g in want]
 
 
 def test_long_chain(spark):
@@ -105,8 +141,9 @@ def test_documents(spark):
     got = [(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in S.near_duplicates(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     kept = S.remove_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted({r.doc_id for r in kept.collect()}) == sorted(set(least.values()))
+    assert kept.columns == docs.columns and {3, 6, 8} <= {r.doc_id for r in kept.collect()} and not any(r.doc_id is None for r in kept.collect())
 
 
 def test_empty_table(spark):
-    assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert S.near_duplicates(none).count() == 0 and S.similar_documents(none).count() == 0
