@@ -8,12 +8,12 @@ as soon as all its lanes are beyond the radius. Cells hand on a least spanning f
 links, and connected components follow by large-star and small-star rounds.
 
 Two uses: ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` takes wider links
-of finer fingerprints as candidates, and keeps those whose texts share enough word shingles.
+of finer fingerprints as candidates, and those stand whose texts share enough word shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -207,13 +207,30 @@ def _forest(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int)
     return np.concatenate([x for x, _ in chosen]), np.concatenate([y for _, y in chosen])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """(a, b): links between nodes (columns node, fp) that connect all those within the radius.
-
-    In place of all links within a cell, its least spanning forest. A cell of more than ``part`` nodes
-    is dealt into parts by hash, and each two parts meet in a cell of their own.
+def _nearest(fps: np.ndarray, label: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, ...]:
+    """Links between different labels: of each place its ``most`` closest ones, and whether it has more."""
+    found = list(_small_cells(fps, starts, sizes, radius))
+    for first, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for a, b in _large_cell(fps[first : first + n], radius):
+            apart = label[a + first] != label[b + first]
+            found.append((a[apart] + first, b[apart] + first))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+    a, b = np.concatenate((a, b)), np.concatenate((b, a))
+    order = np.lexsort((b, np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)), a))
+    a, b = a[order], b[order]
+    _, first, n = np.unique(a, return_index=True, return_counts=True)
+    close = np.arange(len(a)) - np.repeat(first, n) < most
+    return a[close], b[close], np.repeat(n > most, n)[close]
+
+
+def _in_cells(nodes: DataFrame, radius: int, blocks: int, part: int, work: Callable, schema: str) -> DataFrame:
+    """Rows that ``work(starts, sizes, columns)`` makes of whole cells, whose nodes (node, fp, more columns of long) stand in a row.
+
+    A cell of more than ``part`` nodes is dealt into parts by hash, and each two parts meet in a cell of their own.
     """
-    keyed = nodes.select("node", "fp", F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select("node", "fp", "k.choice", "k.bits")
+    own = nodes.columns
+    keyed = nodes.select(*own, F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select(*own, "k.choice", "k.bits")
     # stored, so that the join below has plain sides, of which Spark can split a skewed one
     large = stored(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "cells")
     sized = keyed.join(large, ["choice", "bits"])
@@ -223,19 +240,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: in
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(F.least(p, F.col("mine")).alias("low"), F.greatest(p, F.col("mine")).alias("high")),
     )
-    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", "node", "fp", F.explode(pairs).alias("p"))
-    cells = cells.select(F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell"), "node", "fp")
+    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", *own, F.explode(pairs).alias("p"))
+    cells = cells.select(F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell"), *own)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def run(cell: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        def run(cell: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            sizes = np.diff(np.append(starts, len(cell)))
-            a, b = _forest(fp, starts, sizes, radius)
-            return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
+            return work(starts, np.diff(np.append(starts, len(cell))), dict(zip(own, columns, strict=True))).drop_duplicates()
 
-        rest = tuple(np.zeros(0, np.int64) for _ in range(3))
+        rest = tuple(np.zeros(0, np.int64) for _ in ("cell", *own))
         for x in batches:
-            rest = tuple(np.concatenate((r, x[c].to_numpy())) for r, c in zip(rest, ("cell", "node", "fp"), strict=True))
+            rest = tuple(np.concatenate((r, x[c].to_numpy())) for r, c in zip(rest, ("cell", *own), strict=True))
             last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
             if last:
                 yield run(*(r[:last] for r in rest))
@@ -243,7 +258,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: in
         if len(rest[0]):
             yield run(*rest)
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, schema)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """(a, b): links between nodes (columns node, fp) that connect all those within the radius: in place of all links
+    within a cell, its least spanning forest."""
+
+    def forest(starts: np.ndarray, sizes: np.ndarray, x: dict[str, np.ndarray]) -> pd.DataFrame:
+        a, b = _forest(x["fp"], starts, sizes, radius)
+        return pd.DataFrame({"a": x["node"][a], "b": x["node"][b]})
+
+    return _in_cells(nodes.select("node", "fp"), radius, blocks, part, forest, "a long, b long")
+
+
+def nearest_links(nodes: DataFrame, most: int, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """(a, b, more): links within the radius between nodes (columns node, fp, label) of different labels; of each node
+    the ``most`` closest ones in each cell, and whether the cell has more of them."""
+
+    def nearest(starts: np.ndarray, sizes: np.ndarray, x: dict[str, np.ndarray]) -> pd.DataFrame:
+        a, b, more = _nearest(x["fp"], x["label"], starts, sizes, radius, most)
+        return pd.DataFrame({"a": x["node"][a], "b": x["node"][b], "more": more})
+
+    return _in_cells(nodes.select("node", "fp", "label"), radius, blocks, part, nearest, "a long, b long, more boolean")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -298,13 +335,17 @@ def _shingle_hashes(words: list[bytes], n: int) -> list[int]:
     return np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)).tolist()
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10, most: int = 16) -> DataFrame:
     """(doc_id, component_id) of every document row, by similar texts.
 
-    Texts are compared as sequences of lower-cased (A-Z) words. Candidates are links of fingerprints of
-    ``shingle`` words within ``radius``; a link stands if the texts' sets of shingles of ``words`` words
-    have a Jaccard similarity of ``similarity`` or more. Equal sequences are one class, empty and null
-    ones too. component_id is the least doc_id that standing links reach; rows without ids have none.
+    Texts are compared as sequences of lower-cased (A-Z) words. Two texts are linked if their fingerprints of
+    ``shingle`` words are within ``radius``, and their sets of shingles of ``words`` words (fewer words: the whole
+    sequence) have a Jaccard similarity of ``similarity`` or more. Equal sequences, told by 64-bit hashes, are one
+    class, empty and null ones too. component_id is the least doc_id that links reach; rows without ids have none.
+
+    The sets are first compared along a spanning forest of the fingerprints. Where that leaves a group of near
+    fingerprints in several classes, the ``most`` closest pairs of each text with other classes follow, then 16
+    times as many, until each pair of different classes within the radius has been compared.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,22 +354,46 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
             fps = [fingerprint(t, shingle) for t in b.text]
             yield pd.DataFrame({"doc_id": b.doc_id, "node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fps, np.uint64).view(np.int64)})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = stored(rows.mapInPandas(keys, "doc_id long, node long, fp long"), "document-keys")
-    nodes = stored(placed.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
-    edges = stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [(n, _shingle_hashes(w, words)) for n, w in zip(b.node, map(_normal, b.text), strict=True) if n == np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)]
             yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
 
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = stored(rows.mapInPandas(keys, "doc_id long, node long, fp long"), "document-keys")
+    nodes = stored(placed.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = stored(links(nodes, radius, blocks).select(*pair).distinct(), "candidates")
+    # all that later rounds compare lies in a group of these links, so these are all the sets ever needed
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
     texts = rows.join(ends, "doc_id").select("node", "text").mapInPandas(shingles, "node long, s array<long>")
     sets = stored(texts.groupBy("node").agg(F.first("s").alias("s")), "shingles")
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    tree = components(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
+
+    compared, standing = edges, alike(edges)
+    tree, groups = components(standing), components(edges).select("node", F.col("root").alias("group"))
+    more = True
+    while more:
+        labelled = nodes.select("node", "fp").join(groups, "node").join(tree, "node", "left")
+        labelled = stored(labelled.select("node", "fp", "group", F.coalesce("root", "node").alias("label")), "labelled")
+        mixed = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+        unsettled = stored(labelled.join(stored(mixed.select("group"), "mixed"), "group", "left_semi"), "unsettled")
+        if unsettled.isEmpty():
+            break
+        near = stored(nearest_links(unsettled, most, radius, blocks), "near")
+        fresh = stored(near.select(*pair).distinct().join(compared, ["a", "b"], "left_anti"), "candidates")
+        more, most = not near.filter("more").isEmpty(), 16 * most
+        found = alike(fresh)
+        if not found.isEmpty():
+            standing = standing.union(found)
+            tree = components(standing)
+        compared = compared.union(fresh)
+
     rooted = nodes.select("node", "least").join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     return placed.join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

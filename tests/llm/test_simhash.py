@@ -12,6 +12,12 @@ def plain_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def plain_fingerprint_of(t, n):
+    w = t.lower().split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]), 42) for i in range(len(w) - n + 1)]
+    return sum(1 << k for k in range(64) if sum(h >> k & 1 for h in hashes) > len(hashes) / 2)
+
+
 def plain_components(fps, radius=4):
     root = {f: f for f in fps}
 
@@ -120,6 +126,29 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id for r in S.remove_near_duplicates(df).collect()) == [g[0] for g in want]
 
 
+@pytest.mark.parametrize("most", [1, 16])
+def test_links_beside_the_forest(spark, most):
+    """Similar texts whose fingerprints are farther apart than those of other texts: each pair within the radius counts."""
+    rng = np.random.default_rng(5)
+    parts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 12)) for _ in range(12)]
+    texts = list(dict.fromkeys(" ".join(parts[i] for i in rng.choice(12, 3)) for _ in range(40)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    fps = [plain_fingerprint_of(t, 2) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 26]
+    alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.3 * len(sets[i] | sets[j])]
+    want = groups(alike, list(range(len(texts))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df, 0.3, radius=26, blocks=28, most=most).collect()}
+    assert 1 < len(want) < len(texts) and len(alike) < len(pairs)
+    assert got == {d: g[0] for g in want for d in g}
+
+
+def test_nearest():
+    fps = np.array([0, 1, 3, 7, 0, 1], np.int64)
+    a, b, more = S._nearest(fps, np.array([0, 1, 2, 2, 3, 3]), np.array([0, 4]), np.array([4, 2]), 4, 1)
+    assert list(zip(a.tolist(), b.tolist(), more.tolist(), strict=True)) == [(0, 1, True), (1, 0, True), (2, 1, True), (3, 1, True)]
+
+
 def test_long_chain(spark):
     edges = spark.range(1, 300).selectExpr("id AS a", "id - 1 AS b")
     got = S.components(edges).collect()
