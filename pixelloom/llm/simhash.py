@@ -61,15 +61,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInPandas(compute, "doc_id long, fp long")
 
 
-def _cell_keys(fp: Column, radius: int, blocks: int) -> Column:
-    """One key for each choice of ``blocks - radius`` blocks: the choice and the bits it keeps."""
+def _masks(radius: int, blocks: int) -> list[int]:
+    """The bits, as a signed number, of each choice of ``blocks - radius`` blocks."""
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*keys)
+    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    return [m - ((m >> 63) << 64) for m in masks]
+
+
+def _cell_keys(fp: Column, radius: int, blocks: int) -> Column:
+    """One key for each choice of blocks: the choice and the bits it keeps."""
+    return F.array(*(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("bits")) for n, m in enumerate(_masks(radius, blocks))))
 
 
 class _Counters:
@@ -207,32 +208,62 @@ def _forest(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int)
     return np.concatenate([x for x, _ in chosen]), np.concatenate([y for _, y in chosen])
 
 
-def _nearest(fps: np.ndarray, label: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, ...]:
-    """Links between different labels: of each place its ``most`` closest ones, and whether it has more."""
-    found = list(_small_cells(fps, starts, sizes, radius))
-    for first, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        for a, b in _large_cell(fps[first : first + n], radius):
-            apart = label[a + first] != label[b + first]
-            found.append((a[apart] + first, b[apart] + first))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    a, b = a[label[a] != label[b]], b[label[a] != label[b]]
-    a, b = np.concatenate((a, b)), np.concatenate((b, a))
-    order = np.lexsort((b, np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)), a))
-    a, b = a[order], b[order]
-    _, first, n = np.unique(a, return_index=True, return_counts=True)
-    close = np.arange(len(a)) - np.repeat(first, n) < most
-    return a[close], b[close], np.repeat(n > most, n)[close]
-
-
-def _in_cells(nodes: DataFrame, radius: int, blocks: int, part: int, work: Callable, schema: str) -> DataFrame:
-    """Rows that ``work(starts, sizes, columns)`` makes of whole cells, whose nodes (node, fp, more columns of long) stand in a row.
-
-    A cell of more than ``part`` nodes is dealt into parts by hash, and each two parts meet in a cell of their own.
+def _alike(x: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, radius: int, masks: list[int], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (places) between different labels, no more than join these: fingerprints within the radius and sets of at least the similarity.
+
+    ``x`` has node, fp, label, choice, part and s of each place. A pair of several cells is judged in the first of its choices.
+    """
+    fps, choice, part, sets = x["fp"], x["choice"], x["part"], x["s"]
+    size, held, root, links = np.array([len(s) for s in sets]), {}, {}, ([], [])
+    two = np.repeat(np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts), sizes)
+
+    def find(label: int) -> int:
+        while (up := root.get(label, label)) != label:
+            label = up
+        return label
+
+    def members(place: int) -> frozenset:
+        if place not in held:
+            held[place] = frozenset(sets[place].tolist())
+        return held[place]
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from _small_cells(fps, starts, sizes, radius)
+        for first, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+            held.clear()
+            for a, b in _large_cell(fps[first : first + n], radius):
+                yield a + first, b + first
+
+    for a, b in found():
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        open_ = (x["label"][a] != x["label"][b]) & (low >= similarity * high) & ~(two[a] & (part[a] == part[b]))
+        a, b = a[open_], b[open_]
+        other, first = fps[a] ^ fps[b], np.ones(len(a), bool)
+        for n, mask in enumerate(masks):
+            first &= (n >= choice[a]) | ((other & mask) != 0)
+        for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            one, two_ = find(int(x["label"][i])), find(int(x["label"][j]))
+            if one != two_:
+                common = len(members(i) & members(j))
+                if common >= similarity * (int(size[i] + size[j]) - common):
+                    root[max(one, two_)] = min(one, two_)
+                    links[0].append(i)
+                    links[1].append(j)
+    return links
+
+
+def _in_cells(nodes: DataFrame, radius: int, blocks: int, part: int, work: Callable, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b): the links, as places, that ``work(columns, cell starts, cell sizes)`` finds in whole cells.
+
+    A cell of more than ``part`` nodes is dealt into parts by hash, and each two parts meet in a cell of their
+    own. With ``sets`` (node, s), nodes have labels too; cells of one label are left out, and the columns are
+    node, fp, label, choice, part and s; else node and fp.
     """
     own = nodes.columns
     keyed = nodes.select(*own, F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select(*own, "k.choice", "k.bits")
+    worth = F.count("*") > 1 if sets is None else F.min("label") != F.max("label")
     # stored, so that the join below has plain sides, of which Spark can split a skewed one
-    large = stored(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "cells")
+    large = stored(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), worth.alias("worth")).filter("worth").drop("worth"), "cells")
     sized = keyed.join(large, ["choice", "bits"])
     parts = F.ceil(F.col("n") / part).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -240,17 +271,24 @@ def _in_cells(nodes: DataFrame, radius: int, blocks: int, part: int, work: Calla
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(F.least(p, F.col("mine")).alias("low"), F.greatest(p, F.col("mine")).alias("high")),
     )
-    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", *own, F.explode(pairs).alias("p"))
-    cells = cells.select(F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell"), *own)
+    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", "mine", *own, F.explode(pairs).alias("p"))
+    cell = F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell")
+    if sets is None:
+        cells = cells.select(cell, *own)
+    else:
+        cells = stored(cells.select(cell, *own, F.col("choice").cast("long"), F.col("mine").cast("long").alias("part")), "in-cells").join(sets, "node")
+        own = [*own, "choice", "part", "s"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run(cell: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            return work(starts, np.diff(np.append(starts, len(cell))), dict(zip(own, columns, strict=True))).drop_duplicates()
+            x = dict(zip(own, columns, strict=True))
+            a, b = (x["node"][np.array(places, np.int64)] for places in work(x, starts, np.diff(np.append(starts, len(cell)))))
+            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
         rest = tuple(np.zeros(0, np.int64) for _ in ("cell", *own))
-        for x in batches:
-            rest = tuple(np.concatenate((r, x[c].to_numpy())) for r, c in zip(rest, ("cell", *own), strict=True))
+        for batch in batches:
+            rest = tuple(np.concatenate((r, batch[c].to_numpy())) for r, c in zip(rest, ("cell", *own), strict=True))
             last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
             if last:
                 yield run(*(r[:last] for r in rest))
@@ -258,29 +296,20 @@ def _in_cells(nodes: DataFrame, radius: int, blocks: int, part: int, work: Calla
         if len(rest[0]):
             yield run(*rest)
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, schema)
+    return cells.select("cell", *own).repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
     """(a, b): links between nodes (columns node, fp) that connect all those within the radius: in place of all links
     within a cell, its least spanning forest."""
-
-    def forest(starts: np.ndarray, sizes: np.ndarray, x: dict[str, np.ndarray]) -> pd.DataFrame:
-        a, b = _forest(x["fp"], starts, sizes, radius)
-        return pd.DataFrame({"a": x["node"][a], "b": x["node"][b]})
-
-    return _in_cells(nodes.select("node", "fp"), radius, blocks, part, forest, "a long, b long")
+    return _in_cells(nodes.select("node", "fp"), radius, blocks, part, lambda x, starts, sizes: _forest(x["fp"], starts, sizes, radius))
 
 
-def nearest_links(nodes: DataFrame, most: int, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """(a, b, more): links within the radius between nodes (columns node, fp, label) of different labels; of each node
-    the ``most`` closest ones in each cell, and whether the cell has more of them."""
-
-    def nearest(starts: np.ndarray, sizes: np.ndarray, x: dict[str, np.ndarray]) -> pd.DataFrame:
-        a, b, more = _nearest(x["fp"], x["label"], starts, sizes, radius, most)
-        return pd.DataFrame({"a": x["node"][a], "b": x["node"][b], "more": more})
-
-    return _in_cells(nodes.select("node", "fp", "label"), radius, blocks, part, nearest, "a long, b long, more boolean")
+def alike_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART // 4) -> DataFrame:
+    """(a, b): links between nodes (columns node, fp, label) that connect all labels of which nodes within the radius
+    have sets (columns node, s) of at least the Jaccard similarity; each such pair is compared, in its cell."""
+    masks = _masks(radius, blocks)
+    return _in_cells(nodes.select("node", "fp", "label"), radius, blocks, part, lambda x, starts, sizes: _alike(x, starts, sizes, radius, masks, similarity), sets)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -335,7 +364,7 @@ def _shingle_hashes(words: list[bytes], n: int) -> list[int]:
     return np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)).tolist()
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10, most: int = 16) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10) -> DataFrame:
     """(doc_id, component_id) of every document row, by similar texts.
 
     Texts are compared as sequences of lower-cased (A-Z) words. Two texts are linked if their fingerprints of
@@ -344,8 +373,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     class, empty and null ones too. component_id is the least doc_id that links reach; rows without ids have none.
 
     The sets are first compared along a spanning forest of the fingerprints. Where that leaves a group of near
-    fingerprints in several classes, the ``most`` closest pairs of each text with other classes follow, then 16
-    times as many, until each pair of different classes within the radius has been compared.
+    fingerprints in several classes, sets go to the cells, and each pair of different classes is compared there.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,16 +384,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [(n, _shingle_hashes(w, words)) for n, w in zip(b.node, map(_normal, b.text), strict=True) if n == np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)]
+            texts = zip(b.node, map(_normal, b.text), strict=True)
+            own = [(n, _shingle_hashes(w, words)) for n, w in texts if n == np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)]
             yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     placed = stored(rows.mapInPandas(keys, "doc_id long, node long, fp long"), "document-keys")
     nodes = stored(placed.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
 
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = stored(links(nodes, radius, blocks).select(*pair).distinct(), "candidates")
-    # all that later rounds compare lies in a group of these links, so these are all the sets ever needed
+    edges = stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    # all nodes with a partner within the radius are at the end of such a link, so these are all the sets needed
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
     texts = rows.join(ends, "doc_id").select("node", "text").mapInPandas(shingles, "node long, s array<long>")
     sets = stored(texts.groupBy("node").agg(F.first("s").alias("s")), "shingles")
@@ -375,24 +403,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
         common = F.size(F.array_intersect("sa", "sb"))
         return stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
 
-    compared, standing = edges, alike(edges)
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    standing = stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
     tree, groups = components(standing), components(edges).select("node", F.col("root").alias("group"))
-    more = True
-    while more:
-        labelled = nodes.select("node", "fp").join(groups, "node").join(tree, "node", "left")
-        labelled = stored(labelled.select("node", "fp", "group", F.coalesce("root", "node").alias("label")), "labelled")
-        mixed = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        unsettled = stored(labelled.join(stored(mixed.select("group"), "mixed"), "group", "left_semi"), "unsettled")
-        if unsettled.isEmpty():
-            break
-        near = stored(nearest_links(unsettled, most, radius, blocks), "near")
-        fresh = stored(near.select(*pair).distinct().join(compared, ["a", "b"], "left_anti"), "candidates")
-        more, most = not near.filter("more").isEmpty(), 16 * most
-        found = alike(fresh)
-        if not found.isEmpty():
-            standing = standing.union(found)
-            tree = components(standing)
-        compared = compared.union(fresh)
+    labelled = nodes.select("node", "fp").join(groups, "node").join(tree, "node", "left")
+    labelled = stored(labelled.select("node", "fp", "group", F.coalesce("root", "node").alias("label")), "labelled")
+    mixed = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    unsettled = stored(labelled.join(stored(mixed.select("group"), "mixed"), "group", "left_semi"), "unsettled")
+    beside = stored(alike_links(unsettled, sets, similarity, radius, blocks), "alike")
+    if not beside.isEmpty():
+        tree = components(standing.union(beside))
 
     rooted = nodes.select("node", "least").join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")

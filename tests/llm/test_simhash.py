@@ -126,8 +126,7 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id for r in S.remove_near_duplicates(df).collect()) == [g[0] for g in want]
 
 
-@pytest.mark.parametrize("most", [1, 16])
-def test_links_beside_the_forest(spark, most):
+def test_links_beside_the_forest(spark):
     """Similar texts whose fingerprints are farther apart than those of other texts: each pair within the radius counts."""
     rng = np.random.default_rng(5)
     parts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 12)) for _ in range(12)]
@@ -138,15 +137,24 @@ def test_links_beside_the_forest(spark, most):
     alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.3 * len(sets[i] | sets[j])]
     want = groups(alike, list(range(len(texts))))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in S.similar_documents(df, 0.3, radius=26, blocks=28, most=most).collect()}
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df, 0.3, radius=26, blocks=28).collect()}
     assert 1 < len(want) < len(texts) and len(alike) < len(pairs)
     assert got == {d: g[0] for g in want for d in g}
 
 
-def test_nearest():
-    fps = np.array([0, 1, 3, 7, 0, 1], np.int64)
-    a, b, more = S._nearest(fps, np.array([0, 1, 2, 2, 3, 3]), np.array([0, 4]), np.array([4, 2]), 4, 1)
-    assert list(zip(a.tolist(), b.tolist(), more.tolist(), strict=True)) == [(0, 1, True), (1, 0, True), (2, 1, True), (3, 1, True)]
+@pytest.mark.parametrize("part", [8, 512])
+def test_alike_links(spark, part):
+    rng = np.random.default_rng(3)
+    fps = np.array(near(rng, 200, 3, 5), np.uint64).view(np.int64).tolist()
+    sets = [sorted(rng.choice(13, 11, replace=False).tolist()) for _ in fps]
+    label = [i // 2 * 2 for i in range(len(fps))]
+    rows = spark.createDataFrame([(i, f, x) for i, (f, x) in enumerate(zip(fps, label, strict=True))], "node long, fp long, label long")
+    got = S.alike_links(rows, spark.createDataFrame(list(enumerate(sets)), "node long, s array<long>"), 0.8, 4, 6, part).collect()
+    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})
+    close = [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 4]
+    want, tied = [p for p in close if alike(*p)], [(i, x) for i, x in enumerate(label)]
+    assert 10 < len(want) < len(close) and all(alike(r.a, r.b) for r in got)
+    assert groups([(r.a, r.b) for r in got] + tied, range(len(fps))) == groups(want + tied, range(len(fps)))
 
 
 def test_long_chain(spark):
