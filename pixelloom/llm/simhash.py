@@ -8,11 +8,13 @@ as soon as all its lanes are beyond the radius. Cells hand on a least spanning f
 links, and connected components follow by large-star and small-star rounds.
 
 Two uses: ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` takes wider links
-of finer fingerprints as candidates, and those stand whose texts share enough word shingles.
+of finer fingerprints as candidates, and those stand whose texts share enough word shingles. What lies
+beyond the radius meets by the rarest shingles of each set (prefix filter), so that no similar pair is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -29,6 +31,10 @@ BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 6, 4, 4, 42
 PART = 2048
 #: Planes between two looks at whether a block can be abandoned.
 LOOK = 8
+#: Documents of which frequent shingles are counted, and how many of these are sent to all workers.
+SAMPLE, FREQUENT = 20_000, 100_000
+#: 64-bit words of a set's parity sketch.
+SKETCH = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -364,23 +370,110 @@ def _shingle_hashes(words: list[bytes], n: int) -> list[int]:
     return np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)).tolist()
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10) -> DataFrame:
-    """(doc_id, component_id) of every document row, by similar texts.
+def _prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a set's hashes: sets of at least the similarity have one in common (any one order of all hashes does)."""
+    count = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        count = np.where(frequent[at] == hashes, counts[at], 0)
+    ordered = hashes[np.lexsort((hashes, count))]
+    return ordered[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1] if len(hashes) else ordered
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes by their low bits: two sets differ in at least as many hashes as bits."""
+    odd = np.bincount(hashes & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    Texts are compared as sequences of lower-cased (A-Z) words. Two texts are linked if their fingerprints of
-    ``shingle`` words are within ``radius``, and their sets of shingles of ``words`` words (fewer words: the whole
-    sequence) have a Jaccard similarity of ``similarity`` or more. Equal sequences, told by 64-bit hashes, are one
-    class, empty and null ones too. component_id is the least doc_id that links reach; rows without ids have none.
 
-    The sets are first compared along a spanning forest of the fingerprints. Where that leaves a group of near
-    fingerprints in several classes, sets go to the cells, and each pair of different classes is compared there.
+def _may_be_alike(x: dict[str, np.ndarray], similarity: float) -> pd.DataFrame:
+    """(a, b, d): nodes of one cell and different labels that sizes, places in the order and sketches leave
+    as pairs of at least the similarity; ``d`` is their sketches' difference. Rows are sorted by cell."""
+    cell, size, rest = x["cell"], x["size"], x["size"] - x["place"]
+    i, found = np.arange(len(cell)), []
+    for step in range(1, len(cell)):
+        i = i[i + step < len(cell)]
+        i = i[cell[i] == cell[i + step]]  # a row without a follower so far has none farther on
+        if not len(i):
+            break
+        j = i + step
+        both = size[i] + size[j]
+        least = np.ceil(similarity / (1 + similarity) * both - 1e-9)
+        ok = (x["label"][i] != x["label"][j]) & (np.minimum(rest[i], rest[j]) >= least) & ~((x["across"][i] != 0) & (x["part"][i] == x["part"][j]))
+        a, b, room = i[ok], j[ok], (both - 2 * least)[ok]
+        d = sum(np.bitwise_count((x[f"k{n}"][a] ^ x[f"k{n}"][b]).view(np.uint64)).astype(np.int64) for n in range(SKETCH))
+        near = d <= room
+        one, two = x["node"][a[near]], x["node"][b[near]]
+        found.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "d": d[near]}))
+    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in "abd"})
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """(a, b, d): all pairs of different labels that may have the similarity (columns node, label, size, sketch, prefix).
+
+    One cell for each hash that prefixes of several labels hold; a cell of more than ``part`` nodes is dealt into
+    parts by hash, and each two parts meet in a cell of their own.
     """
+    keyed = nodes.select("node", "label", "size", F.posexplode("prefix").alias("place", "hash"))
+    ends = keyed.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = stored(ends.filter("low != high").select("hash", "n"), "shared-shingles")
+    parts = F.ceil(F.col("n") / part).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda p: F.struct(F.least(p, F.col("mine")).alias("low"), F.greatest(p, F.col("mine")).alias("high")),
+    )
+    sized = keyed.join(shared, "hash").withColumns({"parts": parts, "mine": mine})
+    cells = stored(sized.select("hash", "node", "label", "size", "place", "mine", F.explode(pairs).alias("p")).select(
+        F.xxhash64("hash", "p.low", "p.high").alias("cell"), "node", "label", "size", F.col("place").cast("long"), F.col("mine").cast("long").alias("part"), (F.col("p.low") != F.col("p.high")).cast("long").alias("across")
+    ), "prefix-cells")
+    sketches = nodes.select("node", *(F.get("sketch", F.lit(n)).alias(f"k{n}") for n in range(SKETCH)))
+    own = ["cell", "node", "label", "size", "place", "part", "across", *(f"k{n}" for n in range(SKETCH))]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = {c: np.zeros(0, np.int64) for c in own}
+        for batch in batches:
+            rest = {c: np.concatenate((r, batch[c].to_numpy())) for c, r in rest.items()}
+            last = int(np.searchsorted(rest["cell"], rest["cell"][-1])) if len(rest["cell"]) else 0  # the last cell may go on
+            if last:
+                yield _may_be_alike({c: r[:last] for c, r in rest.items()}, similarity)
+                rest = {c: r[last:] for c, r in rest.items()}
+        if len(rest["cell"]):
+            yield _may_be_alike(rest, similarity)
+
+    sorted_ = cells.join(sketches, "node").select(*own).repartition("cell").sortWithinPartitions("cell", "node")
+    return sorted_.mapInPandas(compare, "a long, b long, d long").distinct()
+
+
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of several texts of a sample, sorted, and their counts. They only order hashes, so no result hangs on them."""
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_shingle_hashes(_normal(t), words) for t in b.text]
+            yield pd.DataFrame({"hash": np.concatenate([np.zeros(0, np.int64), *(np.array(f, np.int64) for f in found)])})
+
+    share = max(1, rows.count() // SAMPLE)
+    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(share)) == 0).select("text").mapInPandas(shingles, "hash long")
+    top = sample.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "hash").limit(FREQUENT).toPandas().sort_values("hash")
+    return top.hash.to_numpy(np.int64), top.n.to_numpy(np.int64)
+
+
+def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10, exact: bool = True) -> DataFrame:
+    """(doc_id, text_hash, component_id, chosen) of every document row, as ``similar_documents``; ``chosen`` marks the
+    class of equal texts and id that stands for the component."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    frequent, counts = _frequent(rows, words) if exact else (np.zeros(0, np.int64),) * 2
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             node = [xxhash.xxh64_intdigest(b" ".join(_normal(t)), SEED) for t in b.text]
             fps = [fingerprint(t, shingle) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fps, np.uint64).view(np.int64)})
+            sets = [np.array(_shingle_hashes(_normal(t), words) if exact else [], np.int64) for t in b.text]
+            yield pd.DataFrame({
+                "doc_id": b.doc_id, "text_hash": b.text_hash, "node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fps, np.uint64).view(np.int64),
+                "size": [len(s) for s in sets], "sketch": [_sketch(s) for s in sets], "prefix": [_prefix(s, frequent, counts, similarity) for s in sets],
+            })
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -388,24 +481,32 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
             own = [(n, _shingle_hashes(w, words)) for n, w in texts if n == np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)]
             yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = stored(rows.mapInPandas(keys, "doc_id long, node long, fp long"), "document-keys")
-    nodes = stored(placed.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    placed = stored(hashed.mapInPandas(keys, "doc_id long, text_hash long, node long, fp long, size long, sketch array<long>, prefix array<long>"), "document-keys")
+    #: a row with an id, if there is one, stands for all of equal texts
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
+    firsts = (F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix"))
+    nodes = stored(placed.groupBy("node").agg(row, *firsts), "nodes")
 
-    edges = stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    # all nodes with a partner within the radius are at the end of such a link, so these are all the sets needed
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
-    texts = rows.join(ends, "doc_id").select("node", "text").mapInPandas(shingles, "node long, s array<long>")
-    sets = stored(texts.groupBy("node").agg(F.first("s").alias("s")), "shingles")
+    def shingle_sets(ends: DataFrame) -> DataFrame:
+        """(node, s) of the nodes."""
+        wanted = ends.join(nodes, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
+        texts = hashed.join(wanted, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        found = texts.select("node", "text").mapInPandas(shingles, "node long, s array<long>")
+        return stored(found.groupBy("node").agg(F.first("s").alias("s")), "shingles")
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
 
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    standing = stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
+    edges = stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    # all nodes with a partner within the radius are at the end of such a link, so these are all the sets needed
+    sets = shingle_sets(ends_of(edges))
+    standing = alike(edges, sets)
     tree, groups = components(standing), components(edges).select("node", F.col("root").alias("group"))
     labelled = nodes.select("node", "fp").join(groups, "node").join(tree, "node", "left")
     labelled = stored(labelled.select("node", "fp", "group", F.coalesce("root", "node").alias("label")), "labelled")
@@ -413,11 +514,53 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     unsettled = stored(labelled.join(stored(mixed.select("group"), "mixed"), "group", "left_semi"), "unsettled")
     beside = stored(alike_links(unsettled, sets, similarity, radius, blocks), "alike")
     if not beside.isEmpty():
-        tree = components(standing.union(beside))
+        standing = standing.union(beside)
+        tree = components(standing)
+
+    if exact:
+        named = nodes.select("node", "size", "sketch", "prefix").join(tree, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        left = stored(prefix_pairs(named, similarity), "prefix-pairs")
+        # the closest pair of each two labels first, then all pairs that are still of different ones
+        for last in (False, True):
+            if left.isEmpty():
+                break
+            for c in ("a", "b"):
+                left = left.join(tree.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+            left = left.filter("ra != rb")
+            if not last:
+                by = [F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")]
+                pairs = left.groupBy(*by).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
+            else:
+                pairs = left.select("a", "b")
+            pairs = stored(pairs, "pairs")
+            more = alike(pairs, shingle_sets(ends_of(pairs)))
+            left = left.select("a", "b", "d").join(pairs, ["a", "b"], "left_anti")
+            if not more.isEmpty():
+                standing = standing.union(more)
+                tree = components(standing)
+
+    rooted = nodes.select("node", "row").join(tree, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.struct("row.none", "row.doc_id", "node")).alias("first")
+    lowest = stored(rooted.groupBy("root").agg(first), "components")
+    named = rooted.join(lowest, "root").select("node", "first")
+    chosen = (F.col("node") == F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    return placed.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), chosen.alias("chosen"))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, **how) -> DataFrame:
+    """(doc_id, component_id) of every document row, by similar texts.
 
-    rooted = nodes.select("node", "least").join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    return placed.join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    Texts are compared as sequences of lower-cased (A-Z) words. Two texts are linked if their sets of shingles of
+    ``words`` words (fewer words: the whole sequence) have a Jaccard similarity of ``similarity`` or more. Equal
+    sequences, told by 64-bit hashes, are one class, empty and null ones too. component_id is the least doc_id that
+    links reach; rows without ids have none.
+
+    Pairs whose fingerprints of ``shingle`` words are within ``radius`` come first: the sets are compared along a
+    spanning forest of the fingerprints. Where that leaves a group of near fingerprints in several classes, sets go
+    to the cells, and each pair of different classes is compared there. All other pairs that are similar have one of
+    the rarest shingles in common; with ``exact=False`` these are left out.
+    """
+    return _similar(docs, similarity, words, **how).select("doc_id", "component_id")
 
 
 def remove_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, **how) -> DataFrame:

@@ -184,3 +184,25 @@ def test_documents(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(none).count() == 0 and S.similar_documents(none).count() == 0
+
+
+def test_similar_beyond_the_radius(spark, monkeypatch):
+    """Passages appended and words changed: pairs of a similarity of 0.8 or more count, however far apart their fingerprints are."""
+    monkeypatch.setattr(S.prefix_pairs, "__defaults__", (8,))
+    rng, weight = np.random.default_rng(2), 1 / np.arange(1, 5001)
+    draw = lambda n: [f"w{x}" for x in rng.choice(5000, n, p=weight / weight.sum())]
+    hot, texts = draw(60), []
+    for i in range(150):
+        base = draw(int(rng.integers(60, 300)))
+        texts.append(" ".join(base))
+        texts.append(" ".join(base + draw(int(len(base) * rng.uniform(0.1, 0.25))) if i % 2 else [f"new{i}" if rng.random() < 0.02 else w for w in base]))
+        if i % 5 == 0:
+            texts += [" ".join(hot + draw(30)), " ".join(draw(3))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    fps = [plain_fingerprint_of(t, 2) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in alike if (fps[i] ^ fps[j]).bit_count() > 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
+    print(f"{len(far)} of {len(alike)} similar pairs are beyond the radius")
+    assert len(far) > 20 and got == {d: g[0] for g in groups(alike, list(range(len(texts)))) for d in g}
