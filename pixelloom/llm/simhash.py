@@ -566,8 +566,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 def remove_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, **how) -> DataFrame:
     """One document of each component of similar texts, that of the least id, with all its columns.
 
-    Rows that repeat an id stay or go together. A component without ids keeps all its rows.
+    Rows are judged by id and text, so that rows of one id (or none) with other texts stay; rows of one id
+    and equal texts stay or go together.
     """
-    found = similar_documents(docs, similarity, words, **how)
-    lost = found.filter("doc_id != component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["__id"]), "left_anti")
+    lost = _similar(docs, similarity, words, **how).filter("NOT chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(lost["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["__hash"])
+    return docs.join(lost, same, "left_anti")

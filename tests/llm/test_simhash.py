@@ -206,3 +206,15 @@ def test_similar_beyond_the_radius(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
     print(f"{len(far)} of {len(alike)} similar pairs are beyond the radius")
     assert len(far) > 20 and got == {d: g[0] for g in groups(alike, list(range(len(texts)))) for d in g}
+
+
+def test_removal_by_id_and_text(spark):
+    """Null and repeated ids: a near copy goes, all other texts of its id stay."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, 120)) for _ in range(8)]
+    close = [t.rsplit(" ", 1)[0] + " other" for t in texts]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, close[0]), (2, texts[2]), (3, close[2]), (3, texts[3]), (4, texts[4]), (4, close[4]), (None, texts[5]), (None, close[5]), (None, texts[6])]
+    got = [(r.doc_id, r.text) for r in S.remove_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sure = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (3, texts[3]), (None, texts[6])]
+    one_of = [{(4, texts[4]), (4, close[4])}, {(None, texts[5]), (None, close[5])}]
+    assert set(sure) <= set(got) and all(len(set(got) & x) == 1 for x in one_of) and len(got) == len(sure) + len(one_of)
