@@ -43,8 +43,14 @@ def covered(pixels: DataFrame, peaks: DataFrame, n: int) -> DataFrame:
     return near_pairs(pixels, at, float(max(n, 1)), box=True, closed=True, how="left_semi").select("image_id", "y", "x") if n else pixels.limit(0).select("image_id", "y", "x")
 
 
-def guess_radius(pixels: DataFrame, peaks: DataFrame, most: int = 20) -> float:
-    """Grows boxes round all peaks until one step adds less than half of the best step; sqrt(area per peak) / pi."""
+def guess_radius(pixels: DataFrame, peaks: DataFrame, most: int | None = None) -> float:
+    """Grows boxes round all peaks until one step adds less than half of the best step; sqrt(area per peak) / pi.
+
+    ``most`` limits the boxes; else they may grow until they cover the images, after which a step adds nothing.
+    """
+    if most is None:
+        ends = pixels.select("x", "y").unionByName(peaks.select("x", "y")).agg(*(F.max(c) - F.min(c) for c in ("x", "y"))).first()
+        most = math.ceil(max(ends[0] or 0, ends[1] or 0)) + 2
     n_peaks, areas, best = peaks.count(), [0], 0
     for n in range(1, most + 1):
         areas.append(covered(pixels, peaks, n).count())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -73,18 +74,21 @@ def cluster_stats(clustered: DataFrame, key: str = "user_id") -> DataFrame:
     return clustered.groupBy(key, "cluster").agg(F.avg("d").alias("d"), F.avg("v").alias("v"), F.stddev_pop("v").alias("std"), half.alias("half_width"), n.alias("n"))
 
 
-def greedy_dedup(peaks: DataFrame, threshold: float, rounds: int = 100) -> DataFrame:
+def greedy_dedup(peaks: DataFrame, threshold: float, rounds: int | None = None) -> DataFrame:
     """In order of id, each point that stays removes all later ones closer than ``threshold`` along both axes.
 
     By rounds over the pairs that are close: a point stays once all its earlier neighbours are gone,
     and is gone once one of them stays. Each round decides at least the least undecided point of
-    every group, and cuts the lineage where there is a folder for it.
+    every group, and cuts the lineage where there is a folder for it. They go on until all points are
+    decided; with ``rounds`` given, it is an error if that many don't do.
     """
     pairs = near_pairs(peaks, peaks, threshold, box=True).filter("peak_id_r < peak_id").select("image_id", "peak_id", F.col("peak_id_r").alias("before")).persist()
     state = peaks.select("image_id", "peak_id").join(pairs.select("image_id", "peak_id").distinct().withColumn("s", F.lit(0)), ["image_id", "peak_id"], "left").select("image_id", "peak_id", F.coalesce("s", F.lit(1)).alias("s")).persist()
-    for _ in range(rounds):
+    for k in count():
         if state.filter("s = 0").isEmpty():
             break
+        if k == rounds:
+            raise RuntimeError(f"greedy_dedup did not decide all points in {rounds} rounds")
         earlier = state.select("image_id", F.col("peak_id").alias("before"), F.col("s").alias("sb"))
         seen = pairs.join(earlier, ["image_id", "before"]).groupBy("image_id", "peak_id").agg(F.max(F.col("sb") == 1).alias("lost"), F.min(F.col("sb") == -1).alias("free"))
         new = state.join(seen, ["image_id", "peak_id"], "left").select(

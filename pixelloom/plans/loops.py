@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import logging
+import shutil
+import tempfile
 import time
 from collections.abc import Callable
 from functools import wraps
@@ -28,8 +31,14 @@ def cut(df: DataFrame, k: int = 0, every: int = 1) -> DataFrame:
     """``df`` to go on with in a loop: kept, and on each ``every``-th round checkpointed.
 
     A checkpoint needs the folder that ``spark.checkpoint.dir`` names (shared by all executors);
-    without one the lineage stays, so that lost partitions are computed again.
+    without one the lineage stays, so that lost partitions are computed again, but a local session,
+    where plans of many rounds would only grow, gets a temporary folder.
     """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir() and context.master.startswith("local["):
+        root = tempfile.mkdtemp(prefix="pixelloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        context.setCheckpointDir(root)
     if df.sparkSession.sparkContext.getCheckpointDir() and k % every == every - 1:
         return df.checkpoint()
     return df.persist()

@@ -257,3 +257,18 @@ def test_cif_file(spark, tmp_path):
     (tmp_path / "s.cif").write_text(_CIF + "\nloop_\n_other\n 1\n")
     cells, atoms = text.read_cif(spark, str(tmp_path / "s.cif"), ["O"])
     assert cells.first().b == 3.905 and atoms.count() == 3
+
+
+def test_greedy_dedup_decides_all(spark):
+    chain = spark.createDataFrame([(1, i, 2.0 * i, 0.0) for i in range(13)], "image_id int, peak_id long, x double, y double")
+    assert sorted(r.peak_id for r in windows.greedy_dedup(chain, 3.0).collect()) == list(range(0, 13, 2))
+    with pytest.raises(RuntimeError):
+        windows.greedy_dedup(chain, 3.0, rounds=2)
+
+
+def test_guess_radius_of_far_peaks(spark):
+    """Boxes grow beyond 20 pixels where peaks are farther apart than twice that."""
+    pixels = spark.range(121 * 61).selectExpr("1 AS image_id", "CAST(id DIV 121 AS INT) AS y", "CAST(id % 121 AS INT) AS x", "1.0D AS v")
+    peaks = spark.createDataFrame([(1, 1, 30.0, 30.0), (1, 2, 90.0, 30.0)], "image_id int, peak_id long, x double, y double")
+    assert fitting.guess_radius(pixels, peaks) == pytest.approx((121 * 61 / 2) ** 0.5 / np.pi)
+    assert fitting.guess_radius(pixels.limit(0), peaks) == 0.0
