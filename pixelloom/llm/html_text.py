@@ -53,8 +53,11 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _OPEN_QUOTE = re.compile(r"\s*=\s*[\"']")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NOT_CSS = re.compile(r"/\*.*?\*/|<!--|-->|\"[^\"\n]*\"|'[^'\n]*'", re.S)
+_CSS_MARK = re.compile(r"[{};]")
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_UNSEEN = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
+_ON_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen))?", re.I)
 _SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|\*)?(?:[.#][\w-]+)?", re.I)
 
 
@@ -160,7 +163,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
                 body = html[at : end.start() if end else n]
                 own.children.append(unescape(body) if tag in ("textarea", "title") else body)
-                if tag == "style":
+                if tag == "style" and _on_screen(attributes.get("media", "")):
                     sheets.append(body)
                 at = n if not end else html.find(">", end.end()) + 1 or n
             elif tag not in VOID:
@@ -172,24 +175,83 @@ def parse(html: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
-def _hiding(sheets: list[str]) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id, tag.class) whose rules hide."""
-    out = set()
-    for sheet in sheets:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _UNSEEN.search(body):
-                out |= {s.strip().lower() for s in selectors.split(",") if s.strip() and _SIMPLE.fullmatch(s.strip())}
-    return frozenset(out)
+def _on_screen(media: str) -> bool:
+    """Whether a list of media holds on a screen of any size."""
+    return any(_ON_SCREEN.fullmatch(m.strip()) for m in media.split(","))
+
+
+def _applies(rule: str) -> bool:
+    """Whether rules within an at-rule count."""
+    name, _, rest = rule[1:].replace("(", " (", 1).partition(" ")
+    name, rest = name.strip().lower(), rest.strip()
+    return _on_screen(rest) if name == "media" else name == "layer" or (name == "supports" and not rest.lower().startswith("not"))
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on any screen; what never ends goes to the end."""
+    sheet = _NOT_CSS.sub(" ", sheet)
+    open_: list[tuple[bool, str | None, list[str]]] = []  # whether it counts, selectors unless it is an at-rule, declarations
+    at = 0
+    while at < len(sheet) or open_:
+        m = _CSS_MARK.search(sheet, at)
+        text, mark, at = (sheet[at : m.start()], m[0], m.end()) if m else (sheet[at:], "}", len(sheet))
+        counts, selectors, body = open_[-1] if open_ else (True, None, [])
+        if mark == "{":
+            rule = " ".join(text.split())
+            if selectors is not None:  # within a rule: for other elements, or at times only
+                open_.append((False, None, []))
+            elif rule.startswith("@"):
+                open_.append((counts and _applies(rule), None, []))
+            else:
+                open_.append((counts, rule, []))
+        else:
+            body.append(text)
+            if mark == "}" and open_:
+                open_.pop()
+                if counts and selectors is not None:
+                    yield selectors, ";".join(body)
+
 
+def _declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """display and visibility: whether the declaration that counts is important, and whether it hides."""
+    found: dict[str, tuple[bool, bool]] = {}
+    for name, value, important in _DECLARATION.findall(body):
+        name = name.lower()
+        if name not in found or bool(important) >= found[name][0]:
+            found[name] = bool(important), value.lower() in _UNSEEN[name]
+    return found
 
-def _visible(x: Node, hiding: frozenset[str]) -> bool:
+
+def _hiding(sheets: list[str]) -> dict[str, list]:
+    """Simple selectors (tag, .class, #id, tag.class) -> (rank, property, whether it hides); none if no rule hides.
+
+    A rank is importance, then what the selector names, then the place.
+    """
+    out: dict[str, list] = {}
+    hides = False
+    for n, (selectors, body) in enumerate(rule for sheet in sheets for rule in _rules(sheet)):
+        for name, (important, unseen) in _declared(body).items():
+            for s in selectors.split(","):
+                if (s := s.strip().lower()) and _SIMPLE.fullmatch(s):
+                    hides |= unseen
+                    rank = (important, ("#" in s, "." in s, s[0] not in ".#*"), n)
+                    out.setdefault(s, []).append((rank, name, unseen))
+    return out if hides else {}
+
+
+def _visible(x: Node, hiding: dict[str, list]) -> bool:
     a = x.attributes
-    if x.tag in HIDDEN or "hidden" in a or (x.tag == "input" and a.get("type", "").lower() == "hidden") or _UNSEEN.search(a.get("style", "")):
+    if x.tag in HIDDEN or "hidden" in a or (x.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
+    # the style of an element itself is above all selectors
+    best = {name: ((important, (2, 0, 0), 0), unseen) for name, (important, unseen) in _declared(a["style"]).items()} if a.get("style") else {}
     if hiding:
         own = [f".{c.lower()}" for c in a.get("class", "").split()] + ([f"#{a['id'].lower()}"] if a.get("id") else [])
-        return not hiding & {x.tag, "*", *own, *(x.tag + s for s in own), *("*" + s for s in own)}
-    return True
+        for s in {x.tag, "*", *own, *(x.tag + s for s in own), *("*" + s for s in own)}:
+            for rank, name, unseen in hiding.get(s, ()):
+                if name not in best or rank > best[name][0]:
+                    best[name] = rank, unseen
+    return not any(unseen for _, unseen in best.values())
 
 
 class _Flow:

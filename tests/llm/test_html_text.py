@@ -89,3 +89,33 @@ def test_columns_nulls_and_empty_table(spark):
     out = extract(df)
     assert out.columns == ["page_id", "url", "text"] and sorted(r.text for r in out.collect()) == ["", "a", "a"]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sheet,seen", [
+    ("@media print {.a {display:none}}", True),
+    ("@media (max-width:600px) {.a {display:none}} .b {color:red}", True),
+    ("@media screen and (max-width:600px) {.a {display:none}}", True),
+    ("@media print {@supports (x:y) {.a {display:none}}}", True),
+    ("@media print {p {color:red}} .a {display:none}", False),
+    ("@media screen {.a {display:none}}", False),
+    ("@media print, all {.a {display:none}}", False),
+    ("@import 'x.css'; @charset 'utf-8'; .a {color:red; display:none}", False),
+    (".a {display:none} .a {display:block}", True),
+    (".a {display:block} .a {display:none}", False),
+    (".a {display:none !important} .a {display:block}", False),
+    (".a {display:none} p {display:block}", False),
+    ("p {display:none} .a {display:block}", True),
+    (".a {display:none} #i {display:block}", True),
+    (".a {display:none} .a {visibility:visible}", False),
+    (".a {display:none; display:block}", True),
+    ("@font-face {font-family:x; src:url(y)} .a {display:none", False),
+    (".a {content:'}'; display:none}", False),
+])
+def test_rules_in_context(sheet, seen):
+    assert render(f"<style>{sheet}</style><p class=a id=i>text</p>end") == ("text\n\nend" if seen else "end")
+
+
+def test_style_of_the_element_and_media_of_the_sheet():
+    assert render("<style>.a{display:none}</style><p class=a style='display:block'>x") == "x"
+    assert render("<style>.a{display:none!important}</style><p class=a style='display:block'>x") == ""
+    assert render("<style media=print>.a{display:none}</style><p class=a>x") == "x"
