@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
+#: Most rows of a table of ids and hashes that is broadcast: some 25 MB in memory.
+BROADCAST_ROWS = 250_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -22,6 +24,13 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it, such that no column has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,3 +58,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, marked for a broadcast if it has no more rows than ``most``
+    (its count comes from the files' footers); a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df

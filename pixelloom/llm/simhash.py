@@ -1,13 +1,13 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints within the radius agree on at least ``BLOCKS - radius`` of BLOCKS blocks of bits, so
-equal values of any such choice of blocks bring every link together in some cell. Within a cell the
-fingerprints are stored vertically, one plane for each bit; one query is held against all lanes of a
-word at once, carry-save counters add up the differing bits, and a block of words is abandoned
-as soon as all its lanes are beyond the radius. Cells hand on a least spanning forest of their
-links, and connected components follow by large-star and small-star rounds.
-
-Two uses: ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` takes wider links
+Fingerprints within the radius agree on at least ``blocks - radius`` blocks of bits, so equal values
+of any such choice of blocks bring every link together in some cell. Within a cell the fingerprints
+are stored vertically, one plane for each bit; one query is held against all lanes of a word at once,
+carry-save counters add up the differing bits, and a block of words is abandoned as soon as all its
+lanes are beyond the radius. Cells hand on a least spanning forest of their links, and connected
+components follow by large-star and small-star rounds.
+
+Two uses: ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` takes such links
 of finer fingerprints as candidates, and those stand whose texts share enough word shingles. What lies
 beyond the radius meets by the rarest shingles of each set (prefix filter), so that no similar pair is lost.
 """
@@ -15,7 +15,7 @@ beyond the radius meets by the rarest shingles of each set (prefix filter), so t
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,17 +24,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_side, stored
 
-BITS, BLOCKS, RADIUS, SHINGLE, SEED = 64, 6, 4, 4, 42
+BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Cells of more fingerprints are split, each part being held against each other one.
 PART = 2048
+#: Likewise for cells of the prefix filter.
+PREFIX_PART = 8192
 #: Planes between two looks at whether a block can be abandoned.
 LOOK = 8
 #: Documents of which frequent shingles are counted, and how many of these are sent to all workers.
 SAMPLE, FREQUENT = 20_000, 100_000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 4
+#: Most entries of a worker's table of word hashes.
+CACHE = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,11 +52,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     stops = (ends[len(words) - n :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, n)
+    return _majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, n))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; 0 without hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -214,108 +222,54 @@ def _forest(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int)
     return np.concatenate([x for x, _ in chosen]), np.concatenate([y for _, y in chosen])
 
 
-def _alike(x: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, radius: int, masks: list[int], similarity: float) -> tuple[list[int], list[int]]:
-    """Links (places) between different labels, no more than join these: fingerprints within the radius and sets of at least the similarity.
+def blocks_for(n: int, radius: int = RADIUS, part: int = PART) -> int:
+    """The least number of blocks whose keys are so long that ``n`` evenly spread fingerprints leave ``part`` in a cell."""
+    blocks = radius + 2
+    while n > part << BITS * (blocks - radius) // blocks and blocks < 2 * radius + 4:
+        blocks += 1
+    return blocks
 
-    ``x`` has node, fp, label, choice, part and s of each place. A pair of several cells is judged in the first of its choices.
-    """
-    fps, choice, part, sets = x["fp"], x["choice"], x["part"], x["s"]
-    size, held, root, links = np.array([len(s) for s in sets]), {}, {}, ([], [])
-    two = np.repeat(np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts), sizes)
-
-    def find(label: int) -> int:
-        while (up := root.get(label, label)) != label:
-            label = up
-        return label
-
-    def members(place: int) -> frozenset:
-        if place not in held:
-            held[place] = frozenset(sets[place].tolist())
-        return held[place]
-
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield from _small_cells(fps, starts, sizes, radius)
-        for first, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            held.clear()
-            for a, b in _large_cell(fps[first : first + n], radius):
-                yield a + first, b + first
-
-    for a, b in found():
-        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        open_ = (x["label"][a] != x["label"][b]) & (low >= similarity * high) & ~(two[a] & (part[a] == part[b]))
-        a, b = a[open_], b[open_]
-        other, first = fps[a] ^ fps[b], np.ones(len(a), bool)
-        for n, mask in enumerate(masks):
-            first &= (n >= choice[a]) | ((other & mask) != 0)
-        for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
-            one, two_ = find(int(x["label"][i])), find(int(x["label"][j]))
-            if one != two_:
-                common = len(members(i) & members(j))
-                if common >= similarity * (int(size[i] + size[j]) - common):
-                    root[max(one, two_)] = min(one, two_)
-                    links[0].append(i)
-                    links[1].append(j)
-    return links
-
-
-def _in_cells(nodes: DataFrame, radius: int, blocks: int, part: int, work: Callable, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b): the links, as places, that ``work(columns, cell starts, cell sizes)`` finds in whole cells.
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, part: int = PART) -> DataFrame:
+    """(a, b): links between nodes (columns node, fp) that connect all those within the radius: in place of all links
+    within a cell, its least spanning forest.
 
     A cell of more than ``part`` nodes is dealt into parts by hash, and each two parts meet in a cell of their
-    own. With ``sets`` (node, s), nodes have labels too; cells of one label are left out, and the columns are
-    node, fp, label, choice, part and s; else node and fp.
+    own. ``blocks`` follows from the number of nodes unless it is given; the links connect the same nodes for any.
     """
-    own = nodes.columns
-    keyed = nodes.select(*own, F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select(*own, "k.choice", "k.bits")
-    worth = F.count("*") > 1 if sets is None else F.min("label") != F.max("label")
+    blocks = blocks or blocks_for(nodes.count(), radius, part)
+    keyed = nodes.select("node", "fp", F.explode(_cell_keys(F.col("fp"), radius, blocks)).alias("k")).select("node", "fp", "k.choice", "k.bits")
     # stored, so that the join below has plain sides, of which Spark can split a skewed one
-    large = stored(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n"), worth.alias("worth")).filter("worth").drop("worth"), "cells")
-    sized = keyed.join(large, ["choice", "bits"])
+    large = stored(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
     parts = F.ceil(F.col("n") / part).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(F.least(p, F.col("mine")).alias("low"), F.greatest(p, F.col("mine")).alias("high")),
     )
-    cells = sized.withColumns({"parts": parts, "mine": mine}).select("choice", "bits", "mine", *own, F.explode(pairs).alias("p"))
-    cell = F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell")
-    if sets is None:
-        cells = cells.select(cell, *own)
-    else:
-        cells = stored(cells.select(cell, *own, F.col("choice").cast("long"), F.col("mine").cast("long").alias("part")), "in-cells").join(sets, "node")
-        own = [*own, "choice", "part", "s"]
+    sized = keyed.join(large, ["choice", "bits"]).withColumns({"parts": parts, "mine": mine})
+    cells = sized.select("choice", "bits", "node", "fp", F.explode(pairs).alias("p")).select(F.xxhash64("choice", "bits", "p.low", "p.high").alias("cell"), "node", "fp")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def run(cell: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
-            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            x = dict(zip(own, columns, strict=True))
-            a, b = (x["node"][np.array(places, np.int64)] for places in work(x, starts, np.diff(np.append(starts, len(cell)))))
-            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-        rest = tuple(np.zeros(0, np.int64) for _ in ("cell", *own))
-        for batch in batches:
-            rest = tuple(np.concatenate((r, batch[c].to_numpy())) for r, c in zip(rest, ("cell", *own), strict=True))
-            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last cell may go on
-            if last:
-                yield run(*(r[:last] for r in rest))
-                rest = tuple(r[last:] for r in rest)
-        if len(rest[0]):
-            yield run(*rest)
-
-    return cells.select("cell", *own).repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long")
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """(a, b): links between nodes (columns node, fp) that connect all those within the radius: in place of all links
-    within a cell, its least spanning forest."""
-    return _in_cells(nodes.select("node", "fp"), radius, blocks, part, lambda x, starts, sizes: _forest(x["fp"], starts, sizes, radius))
+        for x in _whole_cells(batches, ["cell", "node", "fp"]):
+            starts = np.flatnonzero(np.concatenate(([True], x["cell"][1:] != x["cell"][:-1])))
+            a, b = _forest(x["fp"], starts, np.diff(np.append(starts, len(x["cell"]))), radius)
+            yield pd.DataFrame({"a": x["node"][a], "b": x["node"][b]}).drop_duplicates()
 
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long")
 
-def alike_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART // 4) -> DataFrame:
-    """(a, b): links between nodes (columns node, fp, label) that connect all labels of which nodes within the radius
-    have sets (columns node, s) of at least the Jaccard similarity; each such pair is compared, in its cell."""
-    masks = _masks(radius, blocks)
-    return _in_cells(nodes.select("node", "fp", "label"), radius, blocks, part, lambda x, starts, sizes: _alike(x, starts, sizes, radius, masks, similarity), sets)
+
+def _whole_cells(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of a partition, which are sorted by cell, in portions that end where a cell ends."""
+    rest = {c: np.zeros(0, np.int64) for c in columns}
+    for batch in batches:
+        rest = {c: np.concatenate((r, batch[c].to_numpy())) for c, r in rest.items()}
+        last = int(np.searchsorted(rest["cell"], rest["cell"][-1])) if len(rest["cell"]) else 0  # the last cell may go on
+        if last:
+            yield {c: r[:last] for c, r in rest.items()}
+            rest = {c: r[last:] for c, r in rest.items()}
+    if len(rest["cell"]):
+        yield rest
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -342,7 +296,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every document row.
 
     Fingerprints that differ in at most ``radius`` bits are linked; component_id is the least doc_id
@@ -351,23 +305,50 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    tree = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius))
+    tree = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius, blocks))
     rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _normal(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+class _Words(dict):
+    """Word -> 64-bit hash, kept for the next texts and emptied when full."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Hashes of the lower-cased (A-Z) words in order."""
+        words = (text or "").encode().lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the shingles of n words, repeats included; fewer words are one shingle, none are none."""
+    n = min(n, len(words))
+    out = np.full(len(words) - n + 1 if n else 0, n, np.uint64)
+    for k in range(n):
+        out = _mixed(out ^ words[k : len(words) - n + 1 + k]) + np.uint64(k)
+    return out
+
+
+def _set(words: np.ndarray, n: int) -> np.ndarray:
+    """Signed hashes of the distinct shingles, sorted."""
+    return np.unique(_shingles(words, n).view(np.int64))
 
-def _shingle_hashes(words: list[bytes], n: int) -> list[int]:
-    """Signed hashes of the distinct shingles; fewer words are one shingle, none are none."""
-    if not words:
-        return []
-    grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-    return np.sort(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)).tolist()
+
+def _name(words: np.ndarray, seed: int) -> int:
+    """Signed hash of the whole sequence."""
+    return int(np.uint64(xxhash.xxh64_intdigest(words.tobytes(), seed)).view(np.int64))
 
 
 def _prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -386,72 +367,104 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _may_be_alike(x: dict[str, np.ndarray], similarity: float) -> pd.DataFrame:
+def _may_be_alike(x: dict[str, np.ndarray], similarity: float, nearest: bool = False) -> pd.DataFrame:
     """(a, b, d): nodes of one cell and different labels that sizes, places in the order and sketches leave
-    as pairs of at least the similarity; ``d`` is their sketches' difference. Rows are sorted by cell."""
-    cell, size, rest = x["cell"], x["size"], x["size"] - x["place"]
+    as pairs of at least the similarity; ``d`` is their sketches' difference. Rows are sorted by cell.
+
+    ``side`` tells who meets in a cell: 0 meets all, of others only different ones meet. With ``nearest`` each
+    row gives the pair with the least difference alone.
+    """
+    cell, size, rest, side = x["cell"], x["size"], x["size"] - x["place"], x["side"]
     i, found = np.arange(len(cell)), []
+    best, partner = np.full(len(cell), 64 * SKETCH + 1), np.zeros(len(cell), np.int64)
     for step in range(1, len(cell)):
         i = i[i + step < len(cell)]
         i = i[cell[i] == cell[i + step]]  # a row without a follower so far has none farther on
         if not len(i):
             break
         j = i + step
-        both = size[i] + size[j]
+        ok = (x["label"][i] != x["label"][j]) & ((side[i] != side[j]) | (side[i] == 0))
+        a, b = i[ok], j[ok]
+        both = size[a] + size[b]
         least = np.ceil(similarity / (1 + similarity) * both - 1e-9)
-        ok = (x["label"][i] != x["label"][j]) & (np.minimum(rest[i], rest[j]) >= least) & ~((x["across"][i] != 0) & (x["part"][i] == x["part"][j]))
-        a, b, room = i[ok], j[ok], (both - 2 * least)[ok]
+        ok = np.minimum(rest[a], rest[b]) >= least
+        a, b, room = a[ok], b[ok], (both - 2 * least)[ok]
+        if not len(a):
+            continue
         d = sum(np.bitwise_count((x[f"k{n}"][a] ^ x[f"k{n}"][b]).view(np.uint64)).astype(np.int64) for n in range(SKETCH))
         near = d <= room
-        one, two = x["node"][a[near]], x["node"][b[near]]
-        found.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "d": d[near]}))
-    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in "abd"})
-
-
-def prefix_pairs(nodes: DataFrame, similarity: float, part: int = PART) -> DataFrame:
-    """(a, b, d): all pairs of different labels that may have the similarity (columns node, label, size, sketch, prefix).
-
-    One cell for each hash that prefixes of several labels hold; a cell of more than ``part`` nodes is dealt into
-    parts by hash, and each two parts meet in a cell of their own.
+        a, b, d = a[near], b[near], d[near]
+        if nearest:
+            for one, two in ((a, b), (b, a)):  # within a step no row stands twice on one side
+                less = d < best[one]
+                best[one[less]], partner[one[less]] = d[less], two[less]
+        else:
+            found.append((a, b, d))
+    if nearest:
+        a = np.flatnonzero(best <= 64 * SKETCH)
+        found.append((a, partner[a], best[a]))
+    if not found:
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in "abd"})
+    a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    one, two = x["node"][a], x["node"][b]
+    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "d": d}).drop_duplicates()
+
+
+def prefix_cells(nodes: DataFrame) -> DataFrame:
+    """(hash, node, place) of all hashes that prefixes of several labels hold (nodes: node, label, prefix)."""
+    ends = nodes.select("label", F.explode("prefix").alias("hash")).groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = stored(ends.filter("low != high").select("hash"), "shared-shingles")
+    keyed = nodes.select("node", F.posexplode("prefix").alias("place", "hash"))
+    return stored(keyed.join(shared, "hash").select("hash", "node", F.col("place").cast("long").alias("place")), "prefix-cells")
+
+
+def prefix_pairs(cells: DataFrame, nodes: DataFrame, similarity: float, nearest: bool = False, part: int = PREFIX_PART) -> DataFrame:
+    """(a, b, d): all pairs of different labels that may have the similarity (``nodes``: node, label, size, sketch), or with
+    ``nearest`` those that are nearest to one of their ends within a cell.
+
+    A cell is a hash. Of more than ``part`` nodes, those of the label that most have need not meet each other: they
+    and the others are dealt into parts by hash, and each part of them meets each of the others, which meet among
+    themselves. So a large group of one label goes out once for each part of the others, not of its own.
     """
-    keyed = nodes.select("node", "label", "size", F.posexplode("prefix").alias("place", "hash"))
-    ends = keyed.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    shared = stored(ends.filter("low != high").select("hash", "n"), "shared-shingles")
-    parts = F.ceil(F.col("n") / part).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda p: F.struct(F.least(p, F.col("mine")).alias("low"), F.greatest(p, F.col("mine")).alias("high")),
+    sketches = (F.get("sketch", F.lit(n)).alias(f"k{n}") for n in range(SKETCH))
+    own = ["node", "label", "size", "place", *(f"k{n}" for n in range(SKETCH))]
+    labelled = cells.join(nodes.select("node", "label", "size", *sketches), "node").select("hash", *own)
+    sizes = labelled.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    sized = stored(labelled.join(stored(sizes.select("hash", "n"), "cell-sizes"), "hash"), "labelled-cells")
+    small = sized.filter(F.col("n") <= part).select(F.col("hash").alias("cell"), *own, F.lit(0).cast("long").alias("side"))
+    large = sized.filter(F.col("n") > part)
+    most = large.groupBy("hash", "label").agg(F.count("*").alias("m")).groupBy("hash").agg(F.max(F.struct("m", "label")).alias("most"))
+    split = large.join(stored(most, "large-cells"), "hash")
+    split = split.withColumns({"p": F.ceil(F.col("most.m") / part).cast("int"), "q": F.ceil((F.col("n") - F.col("most.m")) / part).cast("int"), "top": F.col("label") == F.col("most.label")})
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("top"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    split = split.withColumn("mine", mine)
+    spot = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.cast("long").alias("side"))
+    tops = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: spot(0, F.col("mine"), k, F.lit(1)))
+    # the others meet each other in the cells of the first part: 0 meets all
+    others = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda k: spot(0, k, F.col("mine"), F.when(k == 0, 0).otherwise(2))),
+        F.filter(
+            F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: spot(1, F.least(k, F.col("mine")), F.greatest(k, F.col("mine")), F.col("mine") + 1)), lambda s: s["low"] < s["high"]
+        ),
     )
-    sized = keyed.join(shared, "hash").withColumns({"parts": parts, "mine": mine})
-    cells = stored(sized.select("hash", "node", "label", "size", "place", "mine", F.explode(pairs).alias("p")).select(
-        F.xxhash64("hash", "p.low", "p.high").alias("cell"), "node", "label", "size", F.col("place").cast("long"), F.col("mine").cast("long").alias("part"), (F.col("p.low") != F.col("p.high")).cast("long").alias("across")
-    ), "prefix-cells")
-    sketches = nodes.select("node", *(F.get("sketch", F.lit(n)).alias(f"k{n}") for n in range(SKETCH)))
-    own = ["cell", "node", "label", "size", "place", "part", "across", *(f"k{n}" for n in range(SKETCH))]
+    dealt = split.select("hash", *own, F.explode(F.when(F.col("top"), tops).otherwise(others)).alias("s"))
+    dealt = dealt.select(F.xxhash64("hash", "s.kind", "s.low", "s.high").alias("cell"), *own, "s.side")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = {c: np.zeros(0, np.int64) for c in own}
-        for batch in batches:
-            rest = {c: np.concatenate((r, batch[c].to_numpy())) for c, r in rest.items()}
-            last = int(np.searchsorted(rest["cell"], rest["cell"][-1])) if len(rest["cell"]) else 0  # the last cell may go on
-            if last:
-                yield _may_be_alike({c: r[:last] for c, r in rest.items()}, similarity)
-                rest = {c: r[last:] for c, r in rest.items()}
-        if len(rest["cell"]):
-            yield _may_be_alike(rest, similarity)
+        for x in _whole_cells(batches, ["cell", *own, "side"]):
+            yield _may_be_alike(x, similarity, nearest)
 
-    sorted_ = cells.join(sketches, "node").select(*own).repartition("cell").sortWithinPartitions("cell", "node")
-    return sorted_.mapInPandas(compare, "a long, b long, d long").distinct()
+    found = small.union(dealt).repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long, d long")
+    return found.distinct()
 
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of several texts of a sample, sorted, and their counts. They only order hashes, so no result hangs on them."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
         for b in batches:
-            found = [_shingle_hashes(_normal(t), words) for t in b.text]
-            yield pd.DataFrame({"hash": np.concatenate([np.zeros(0, np.int64), *(np.array(f, np.int64) for f in found)])})
+            yield pd.DataFrame({"hash": np.concatenate([np.zeros(0, np.int64), *(_set(known.of(t), words) for t in b.text)])})
 
     share = max(1, rows.count() // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(share)) == 0).select("text").mapInPandas(shingles, "hash long")
@@ -459,92 +472,83 @@ def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return top.hash.to_numpy(np.int64), top.n.to_numpy(np.int64)
 
 
-def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = 8, blocks: int = 10, exact: bool = True) -> DataFrame:
-    """(doc_id, text_hash, component_id, chosen) of every document row, as ``similar_documents``; ``chosen`` marks the
-    class of equal texts and id that stands for the component."""
+def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle: int = 2, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(doc_id, h1, h2, component_id, chosen) of every document row, as ``similar_documents``; h1 and h2 are hashes of the
+    text, ``chosen`` marks the class of equal texts and id that stands for the component."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    frequent, counts = _frequent(rows, words) if exact else (np.zeros(0, np.int64),) * 2
+    frequent, counts = _frequent(rows, words)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
         for b in batches:
-            node = [xxhash.xxh64_intdigest(b" ".join(_normal(t)), SEED) for t in b.text]
-            fps = [fingerprint(t, shingle) for t in b.text]
-            sets = [np.array(_shingle_hashes(_normal(t), words) if exact else [], np.int64) for t in b.text]
+            texts = [known.of(t) for t in b.text]
+            sets = [_set(w, words) for w in texts]
             yield pd.DataFrame({
-                "doc_id": b.doc_id, "text_hash": b.text_hash, "node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fps, np.uint64).view(np.int64),
+                "doc_id": b.doc_id, "h1": b.h1, "h2": b.h2, "node": [_name(w, SEED) for w in texts], "twin": [_name(w, SEED + 1) for w in texts],
+                "fp": np.array([_majority(_shingles(w, shingle)) for w in texts], np.uint64).view(np.int64),
                 "size": [len(s) for s in sets], "sketch": [_sketch(s) for s in sets], "prefix": [_prefix(s, frequent, counts, similarity) for s in sets],
             })
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
         for b in batches:
-            texts = zip(b.node, map(_normal, b.text), strict=True)
-            own = [(n, _shingle_hashes(w, words)) for n, w in texts if n == np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)]
+            texts = zip(b.node, map(known.of, b.text), strict=True)
+            own = [(n, _set(w, words)) for n, w in texts if n == _name(w, SEED)]
             yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
 
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    placed = stored(hashed.mapInPandas(keys, "doc_id long, text_hash long, node long, fp long, size long, sketch array<long>, prefix array<long>"), "document-keys")
-    #: a row with an id, if there is one, stands for all of equal texts
-    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
-    firsts = (F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix"))
+    hashed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
+    placed = stored(hashed.mapInPandas(keys, "doc_id long, h1 long, h2 long, node long, twin long, fp long, size long, sketch array<long>, prefix array<long>"), "document-keys")
+    # a row with an id, if there is one, stands for all of equal texts; another text of the same hash (its twin differs) stands alone
+    row = F.min(F.struct("twin", F.col("doc_id").isNull().alias("none"), "doc_id", "h1")).alias("row")
+    firsts = (F.min_by(c, "twin").alias(c) for c in ("fp", "size", "sketch", "prefix"))
     nodes = stored(placed.groupBy("node").agg(row, *firsts), "nodes")
 
     def shingle_sets(ends: DataFrame) -> DataFrame:
         """(node, s) of the nodes."""
-        wanted = ends.join(nodes, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
-        texts = hashed.join(wanted, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        wanted = ends.join(nodes, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.h1").alias("hash"))
+        texts = hashed.join(wanted, (F.col("h1") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
         found = texts.select("node", "text").mapInPandas(shingles, "node long, s array<long>")
         return stored(found.groupBy("node").agg(F.first("s").alias("s")), "shingles")
 
-    def ends_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame) -> DataFrame:
+        sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
 
-    edges = stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    # all nodes with a partner within the radius are at the end of such a link, so these are all the sets needed
-    sets = shingle_sets(ends_of(edges))
-    standing = alike(edges, sets)
-    tree, groups = components(standing), components(edges).select("node", F.col("root").alias("group"))
-    labelled = nodes.select("node", "fp").join(groups, "node").join(tree, "node", "left")
-    labelled = stored(labelled.select("node", "fp", "group", F.coalesce("root", "node").alias("label")), "labelled")
-    mixed = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    unsettled = stored(labelled.join(stored(mixed.select("group"), "mixed"), "group", "left_semi"), "unsettled")
-    beside = stored(alike_links(unsettled, sets, similarity, radius, blocks), "alike")
-    if not beside.isEmpty():
-        standing = standing.union(beside)
-        tree = components(standing)
-
-    if exact:
-        named = nodes.select("node", "size", "sketch", "prefix").join(tree, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        left = stored(prefix_pairs(named, similarity), "prefix-pairs")
-        # the closest pair of each two labels first, then all pairs that are still of different ones
-        for last in (False, True):
-            if left.isEmpty():
-                break
-            for c in ("a", "b"):
-                left = left.join(tree.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-            left = left.filter("ra != rb")
-            if not last:
-                by = [F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")]
-                pairs = left.groupBy(*by).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
-            else:
-                pairs = left.select("a", "b")
-            pairs = stored(pairs, "pairs")
-            more = alike(pairs, shingle_sets(ends_of(pairs)))
-            left = left.select("a", "b", "d").join(pairs, ["a", "b"], "left_anti")
-            if not more.isEmpty():
-                standing = standing.union(more)
-                tree = components(standing)
+    standing = alike(stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"))
+    tree = components(standing)
+
+    def labelled() -> DataFrame:
+        return nodes.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "sketch", "prefix")
+
+    cells = prefix_cells(labelled())
+    # the nearest pairs first, as long as they join much; then all pairs that are still of different labels
+    nearest = True
+    while not cells.isEmpty():
+        left = stored(prefix_pairs(cells, labelled(), similarity, nearest), "prefix-pairs")
+        for c in ("a", "b"):
+            left = left.join(tree.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+        if nearest:
+            left = left.groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
+        pairs = stored(left.select("a", "b"), "pairs")
+        more = alike(pairs)
+        tried, good = pairs.count(), more.count()
+        if good:
+            standing = standing.union(more)
+            tree = components(standing)
+        if not nearest or not tried:
+            break
+        nearest = good >= 0.1 * tried
 
     rooted = nodes.select("node", "row").join(tree, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct("row.none", "row.doc_id", "node")).alias("first")
     lowest = stored(rooted.groupBy("root").agg(first), "components")
-    named = rooted.join(lowest, "root").select("node", "first")
-    chosen = (F.col("node") == F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    return placed.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), chosen.alias("chosen"))
+    named = rooted.join(lowest, "root").select("node", F.col("row.twin").alias("own"), "first")
+    alone = F.col("twin") != F.col("own")
+    chosen = alone | ((F.col("node") == F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return placed.select("doc_id", "h1", "h2", "node", "twin").join(named, "node").select("doc_id", "h1", "h2", component.alias("component_id"), chosen.alias("chosen"))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, **how) -> DataFrame:
@@ -552,13 +556,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     Texts are compared as sequences of lower-cased (A-Z) words. Two texts are linked if their sets of shingles of
     ``words`` words (fewer words: the whole sequence) have a Jaccard similarity of ``similarity`` or more. Equal
-    sequences, told by 64-bit hashes, are one class, empty and null ones too. component_id is the least doc_id that
-    links reach; rows without ids have none.
+    sequences, told by 128 bits of hashes, are one class, empty and null ones too. component_id is the least doc_id
+    that links reach; rows without ids have none.
 
     Pairs whose fingerprints of ``shingle`` words are within ``radius`` come first: the sets are compared along a
-    spanning forest of the fingerprints. Where that leaves a group of near fingerprints in several classes, sets go
-    to the cells, and each pair of different classes is compared there. All other pairs that are similar have one of
-    the rarest shingles in common; with ``exact=False`` these are left out.
+    spanning forest of the fingerprints. All other pairs that are similar have one of their rarest shingles in common.
     """
     return _similar(docs, similarity, words, **how).select("doc_id", "component_id")
 
@@ -569,6 +571,8 @@ def remove_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int
     Rows are judged by id and text, so that rows of one id (or none) with other texts stay; rows of one id
     and equal texts stay or go together.
     """
-    lost = _similar(docs, similarity, words, **how).filter("NOT chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(lost["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["__hash"])
+    lost = _similar(docs, similarity, words, **how).filter("NOT chosen").select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
+    text = F.coalesce(docs["text"], F.lit(""))
+    lost = small_side(stored(lost, "lost"))
+    same = docs["doc_id"].cast("long").eqNullSafe(lost["__id"]) & (F.xxhash64(text) == lost["__h1"]) & (F.xxhash64(F.lit("second"), text) == lost["__h2"])
     return docs.join(lost, same, "left_anti")

@@ -142,19 +142,26 @@ def test_links_beside_the_forest(spark):
     assert got == {d: g[0] for g in want for d in g}
 
 
-@pytest.mark.parametrize("part", [8, 512])
-def test_alike_links(spark, part):
+@pytest.mark.parametrize("part", [8, 64, 8192])
+def test_prefix_pairs(spark, part):
+    """Every pair of different labels of the similarity comes out, and no pair of one label, whatever the parts."""
     rng = np.random.default_rng(3)
-    fps = np.array(near(rng, 200, 3, 5), np.uint64).view(np.int64).tolist()
-    sets = [sorted(rng.choice(13, 11, replace=False).tolist()) for _ in fps]
-    label = [i // 2 * 2 for i in range(len(fps))]
-    rows = spark.createDataFrame([(i, f, x) for i, (f, x) in enumerate(zip(fps, label, strict=True))], "node long, fp long, label long")
-    got = S.alike_links(rows, spark.createDataFrame(list(enumerate(sets)), "node long, s array<long>"), 0.8, 4, 6, part).collect()
-    alike = lambda i, j: len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})
-    close = [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 4]
-    want, tied = [p for p in close if alike(*p)], [(i, x) for i, x in enumerate(label)]
-    assert 10 < len(want) < len(close) and all(alike(r.a, r.b) for r in got)
-    assert groups([(r.a, r.b) for r in got] + tied, range(len(fps))) == groups(want + tied, range(len(fps)))
+    base = rng.integers(-(2**62), 2**62, 40)
+    sets = [np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.integers(-(2**62), 2**62, 4)))) for _ in range(150)]
+    label = [0 if i < 90 else i // 2 * 2 for i in range(len(sets))]
+    rows = [(i, x, len(t), S._sketch(t).tolist(), S._prefix(t, np.zeros(0, np.int64), np.zeros(0, np.int64), 0.7).tolist()) for i, (x, t) in enumerate(zip(label, sets, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, label long, size long, sketch array<long>, prefix array<long>")
+    cells = S.prefix_cells(nodes)
+    got = [(r.a, r.b) for r in S.prefix_pairs(cells, nodes, 0.7, part=part).collect()]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and len({*sets[i]} & {*sets[j]}) >= 0.7 * len({*sets[i]} | {*sets[j]})}
+    assert len(alike) > 100 and alike <= {*got} and len(got) == len({*got}) and all(label[a] != label[b] and a < b for a, b in got)
+    some = [(r.a, r.b) for r in S.prefix_pairs(cells, nodes, 0.7, True, part).collect()]
+    assert 0 < len(some) < len(got) and {*some} <= {*got} and {x for p in alike for x in p} <= {x for p in some for x in p}
+
+
+@pytest.mark.parametrize("n,blocks", [(0, 6), (10**6, 6), (10**9, 6), (5 * 10**9, 7), (10**12, 8)])
+def test_number_of_blocks(n, blocks):
+    assert S.blocks_for(n) == blocks
 
 
 def test_long_chain(spark):
@@ -188,7 +195,7 @@ def test_empty_table(spark):
 
 def test_similar_beyond_the_radius(spark, monkeypatch):
     """Passages appended and words changed: pairs of a similarity of 0.8 or more count, however far apart their fingerprints are."""
-    monkeypatch.setattr(S.prefix_pairs, "__defaults__", (8,))
+    monkeypatch.setattr(S.prefix_pairs, "__defaults__", (False, 8))
     rng, weight = np.random.default_rng(2), 1 / np.arange(1, 5001)
     draw = lambda n: [f"w{x}" for x in rng.choice(5000, n, p=weight / weight.sum())]
     hot, texts = draw(60), []
@@ -201,7 +208,7 @@ def test_similar_beyond_the_radius(spark, monkeypatch):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
     fps = [plain_fingerprint_of(t, 2) for t in texts]
     alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    far = [(i, j) for i, j in alike if (fps[i] ^ fps[j]).bit_count() > 8]
+    far = [(i, j) for i, j in alike if (fps[i] ^ fps[j]).bit_count() > S.RADIUS]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.similar_documents(df).collect()}
     print(f"{len(far)} of {len(alike)} similar pairs are beyond the radius")
