@@ -20,7 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     counts = [F.size(secrets.of_kind(F.col("base"), k)).cast("long").alias(f"n_{b[0]}") for k, b in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(F.col("base")), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"))
 

@@ -1,5 +1,10 @@
+import hashlib
+import importlib.util
 import math
+import random
 import re
+import sys
+from collections import Counter
 
 from pixelloom.llm import secrets as S
 
@@ -25,43 +30,118 @@ def base(t):
 def plain_ratio(labelled):
     n = {True: {}, False: {}}
     for w, kind in labelled:
-        w = re.sub(r"[^A-Za-z0-9+/_=-]", "", w)
         for a, b in zip(["", *w], w, strict=False):
             n[kind][a, b] = n[kind].get((a, b), 0) + 1
+    own = {k: ({b: sum(x for (_, c), x in t.items() if c == b) for b in {c for _, c in t}}, {a: [x for (c, _), x in t.items() if c == a] for a in {c for c, _ in t}}, sum(t.values())) for k, t in n.items()}
+
     def p(k, a, b):
-        own = n[k]
-        alone = (sum(x for (_, c), x in own.items() if c == b) + 0.5) / (sum(own.values()) + 33)
-        after = [x for (c, _), x in own.items() if c == a]
-        return math.log((own.get((a, b), 0) + (len(after) + 1) * alone) / (sum(after) + len(after) + 1))
+        single, after, total = own[k]
+        alone = (single.get(b, 0) + 0.5) / (total + 33)
+        return math.log((n[k].get((a, b), 0) + (len(after.get(a, ())) + 1) * alone) / (sum(after.get(a, ())) + len(after.get(a, ())) + 1))
+
+    return lambda w: sum(p(True, a, b) - p(False, a, b) for a, b in zip(["", *w], w, strict=False)) / len(w)
+
+
+def plain_threshold(ratio, held):
+    bins = {True: [], False: []}
+    for w, kind in held:
+        bins[kind].append(min(max(math.floor(ratio(w) / 0.01), -1000), 999))
+    every = sorted({*bins[True], *bins[False]})
+    found = max(b for b in every if sum(x < b for x in bins[True]) <= S.MISSED * len(bins[True]))
+    quiet = min((b for b in every if sum(x >= b for x in bins[False]) <= S.FALSE * len(bins[False])), default=every[-1] + 1)
+    return max(found, quiet) * 0.01
+
+
+def plain_runs(t):
+    """Parts of runs of key characters outside the pattern spans."""
+    covered = {i for b in base(t) for i in range(b[0], b[2])}
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t or ""):
+        at = m.start()
+        while at < m.end():
+            end = at
+            while end < m.end() and end not in covered:
+                end += 1
+            if end - at >= 12:
+                out.append((at, 3, end, t[at:end]))
+            at = end + 1
+    return out
 
-    return lambda w: sum(p(True, a, b) - p(False, a, b) for a, b in zip(["", *w], w, strict=False))
+
+def prose(spark):
+    return [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
 
 
 def test_against_plain_python(spark):
-    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    texts = TEXTS + prose
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, base int")
-    labelled = [(r.word, r.random) for r in S.samples(S.with_base(docs.drop("base"))).collect()]
-    ratio = plain_ratio(labelled)
-    got = {r.doc_id: r for r in S.scan(docs).collect()}
-    added = 0
+    texts = TEXTS + prose(spark)
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, base int, runs int")
+    found = S.with_runs(S.with_base(docs.drop("base", "runs")))
+    for r in found.collect():
+        assert [tuple(s) for s in r.runs] == plain_runs(texts[r.doc_id]), texts[r.doc_id]
+    held = (S.F.pmod(S.F.xxhash64(S.F.lit("held out"), "word"), S.F.lit(4)) == 0).alias("held")
+    rows = [(re.sub(r"[^A-Za-z0-9+/_=-]", "", r.word), r.random, r.held) for r in S.samples(found, generated=300).select("word", "random", held).collect()]
+    labelled = spark.createDataFrame([(i, w, k, h) for i, (w, k, h) in enumerate(rows)], "n int, word string, random boolean, held boolean")
+    recurring = Counter(v for t in texts if not base(t) for v in {r[3] for r in plain_runs(t)})
+    assert {w for w, n in recurring.items() if n >= S.RECUR} <= {w for w, k, _ in rows if not k}
+    ratio = plain_ratio([(w, k) for w, k, h in rows if not h])
+    least = plain_threshold(ratio, [(w, k) for w, k, h in rows if h and w])
+    model = S.train(labelled.filter("NOT held"))
+    assert abs(S.calibrate(labelled.filter("held"), model).first().threshold - least) < 0.011
+    got = {r.doc_id: r for r in S.scan(docs, S.samples(found, generated=300)).collect()}
+    assert got[0].runs == 2 and S.scan(docs, labelled, keep_text=False).columns == ["doc_id", "runs", "base", "secrets"]
+    least, added = S.fit(S.samples(found, generated=300))[1].first().threshold, 0
     for i, t in enumerate(texts):
-        want = base(t)
-        assert [tuple(s) for s in got[i].base] == want, t
-        for m in re.finditer(S.CANDIDATE, t or ""):
-            ok = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(b[0] < m.end() and b[2] > m.start() for b in base(t))
-            if ok and ratio(m[0]) >= S.LEAST_RATIO:
-                want = sorted([*want, (m.start(), len(S.BASE), m.end(), m[0])])
-                added += 1
-        assert [tuple(s) for s in got[i].secrets] == want, t
-    assert added >= 3 and not got[20].secrets and not any(len(got[i].secrets) > len(got[i].base) for i in range(len(TEXTS), len(texts)))
+        assert [tuple(s) for s in got[i].base] == base(t), t
+        sure = [r for r in plain_runs(t) if ratio(r[3]) > least + 0.02]
+        maybe = [r for r in plain_runs(t) if ratio(r[3]) > least - 0.02]
+        own = [tuple(s) for s in got[i].secrets if s.kind == 3]
+        assert {*sure} <= {*own} <= {*maybe} and [tuple(s) for s in got[i].secrets] == sorted(base(t) + own), t
+        added += len(own)
+    assert added >= 3 and not got[20].secrets
+    clean = [len(got[i].secrets) - len(got[i].base) for i in range(len(TEXTS), len(texts))]
+    assert sum(clean) <= 0.005 * len(clean)
+
+
+def ordinary_strings():
+    """Names and paths of the standard library, which no training sample has, dates, slugs and other odd ones."""
+    names = set()
+    for m in sorted(sys.stdlib_module_names):
+        spec = importlib.util.find_spec(m) if m not in ("antigravity", "this") else None
+        if spec and spec.origin and spec.origin.endswith(".py"):
+            names.add(spec.origin[:-3])
+            with open(spec.origin, encoding="utf-8", errors="ignore") as f:
+                names |= {n for n in re.findall(r"(?:def|class) (\w{12,})", f.read()) if n.isascii()}
+    names = sorted(names, key=lambda n: hashlib.sha1(n.encode()).digest())[:400]
+    rng = random.Random(5)
+    dates = [f"{rng.randint(1980, 2040)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}-{rng.randint(0, 59):02}-00{rng.choice(['', '-report', '-backup'])}" for _ in range(60)]
+    slugs = ["how-to-build-a-house", "ten-things-you-should-know-about-bread", "release-notes-2024", "our-favourite-summer-recipes", "why-we-left-the-city-in-2019", "best-of-the-web-week-42"]
+    odd = "getHttpResponseStatusCode200Value AbstractSingletonProxyFactoryBean2 /usr/local/lib/python3/site-packages/numpy articles/2023/09/how-to-build-a-house ==================1a== 550e8400-e29b-41d4-a716-446655440000 internationalization2020 Donaudampfschifffahrtsgesellschaft CONFIG_MAX_RETRIES_30".split()
+    return names + dates + slugs + odd
+
+
+def random_strings():
+    rng = random.Random(6)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = (lower + lower.upper() + digits, lower + digits, lower.upper() + digits, lower + lower.upper() + digits + "+/", lower + lower.upper() + digits + "-_")
+    keys = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (12, 16, 20, 24, 32, 40) for _ in range(15)]
+    return keys + [p + "".join(rng.choice(kinds[0]) for _ in range(24)) for p in ("ghp_", "sk_live_", "xoxb-", "glpat-") for _ in range(10)]
+
+
+def test_secrets_are_told_from_ordinary_strings(spark):
+    planted, ordinary = random_strings(), ordinary_strings()
+    docs = prose(spark) + [f"here stands {w} within" for w in planted + ordinary]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r.doc_id: len(r.secrets) > 0 for r in S.scan(frame, keep_text=False).collect()}
+    first = len(docs) - len(planted) - len(ordinary)
+    caught = [found[first + i] for i in range(len(planted))]
+    wrong = [w for i, w in enumerate(ordinary) if found[first + len(planted) + i] and not base(w)]
+    print(f"found {sum(caught)} of {len(planted)}, wrong {len(wrong)} of {len(ordinary)}: {wrong}")
+    assert sum(caught) >= 0.95 * len(planted) and len(wrong) <= 0.02 * len(ordinary)
 
 
 def test_span_list_and_redaction(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    ordinary = spark.createDataFrame([("internationalization", False), ("Schifffahrtsgesellschaft", False)] * 50, "word string, random boolean")
-    keys = S.samples(S.with_base(docs.limit(0)))
-    texts = {r.doc_id: r.text for r in S.redact(docs, labelled=ordinary.union(keys)).collect()}
+    texts = {r.doc_id: r.text for r in S.redact(docs).collect()}
     assert texts[14] == "an odd [secret] here" and texts[13] == "[secret] end" and texts[0] is None and texts[2] == TEXTS[2]
     one = S.with_base(docs.filter("doc_id = 13")).select(S.span_list(S.F.col("base")).alias("s")).first().s
     assert one == "assign:0:46,hex:6:46"
