@@ -1,4 +1,4 @@
-"""Grids, vectors and Fourier functions. One image is the unit of a Fourier transform."""
+"""Grids, vectors and Fourier functions. A row or column of an image is the unit of a Fourier transform."""
 
 from __future__ import annotations
 
@@ -26,63 +26,76 @@ def rotate(x: Column, y: Column, z: Column, axis: tuple[float, float, float], an
     return tuple(float(r[0]) * x + float(r[1]) * y + float(r[2]) * z for r in m)
 
 
-def _dense(pdf: pd.DataFrame, value: str = "v") -> np.ndarray:
-    out = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
-    out[pdf.y, pdf.x] = pdf[value]
-    return out
+def _along(df: DataFrame, axis: str, other: str, n: str, made: str, transform) -> DataFrame:
+    """Transforms (re, im) along one axis: a group is one line of an image, its length is in the column ``n``.
 
+    ``transform`` turns the line's numbers (0 where there are none) and gives new ones, counted by ``made``.
+    """
+    kind = dict(df.dtypes)
+    kept = [c for c in df.columns if c not in (axis, other, "image_id", "re", "im")]
 
-def fft2(pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x, re, im): transform of each image with frequency 0 in the middle."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(int(pdf[n].iloc[0]), complex)
+        line[pdf[axis].to_numpy()] = pdf.re.to_numpy() + 1j * pdf.im.to_numpy()
+        out = transform(line)
+        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], other: pdf[other].iloc[0], **{c: pdf[c].iloc[0] for c in kept}, made: np.arange(len(out)), "re": out.real, "im": out.imag})
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(_dense(pdf))))
-        y, x = np.indices(f.shape)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": y.ravel(), "x": x.ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
+    schema = f"image_id {kind['image_id']}, {other} {kind[other]}, " + "".join(f"{c} {kind[c]}, " for c in kept) + f"{made} int, re double, im double"
+    return df.groupBy("image_id", other).applyInPandas(run, schema)
 
-    return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(transform, "image_id int, y int, x int, re double, im double")
 
+def _sized(waves: DataFrame) -> DataFrame:
+    """Adds the width and height (nx, ny) of each image: one row for each, so that the table is broadcast."""
+    ends = waves.groupBy("image_id").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"))
+    return waves.join(F.broadcast(ends), "image_id")
 
-def ifft2(waves: DataFrame) -> DataFrame:
-    """(image_id, y, x, re, im): back from a transform with frequency 0 in the middle; a probe from its transfer function."""
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(_dense(pdf, "re") + 1j * _dense(pdf, "im"))))
-        y, x = np.indices(f.shape)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": y.ravel(), "x": x.ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
+def _transform(waves: DataFrame, f) -> DataFrame:
+    """Both axes, first along the rows and then along the columns."""
+    rows = _along(_sized(waves.select("image_id", "y", "x", "re", "im")), "x", "y", "nx", "u", f)
+    # a row that the image lacks is 0 and stays so; the columns are of full length
+    return _along(rows, "y", "u", "ny", "v", f).select("image_id", F.col("v").alias("y"), F.col("u").alias("x"), "re", "im")
 
-    return waves.select("image_id", "y", "x", "re", "im").groupBy("image_id").applyInPandas(transform, "image_id int, y int, x int, re double, im double")
 
+def _waves(pixels: DataFrame) -> DataFrame:
+    return pixels.select("image_id", "y", "x", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
 
-def band_pass(pixels: DataFrame, low: float, high: float) -> DataFrame:
-    """Each image with only the frequencies (in cycles a sample) from ``low`` to below ``high``."""
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _dense(pdf)
-        fy, fx = np.meshgrid(np.fft.fftfreq(a.shape[0]), np.fft.fftfreq(a.shape[1]), indexing="ij")
-        keep = (np.hypot(fx, fy) >= low) & (np.hypot(fx, fy) < high)
-        out = np.fft.ifft2(np.fft.fft2(a) * keep).real
-        y, x = np.indices(a.shape)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": y.ravel(), "x": x.ravel(), "v": out.ravel()})
+def fft2(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, re, im): transform of each image with frequency 0 in the middle."""
+    return _transform(_waves(pixels), lambda line: np.fft.fftshift(np.fft.fft(np.fft.ifftshift(line))))
 
-    return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(transform, "image_id int, y int, x int, v double")
+
+def ifft2(waves: DataFrame) -> DataFrame:
+    """(image_id, y, x, re, im): back from a transform with frequency 0 in the middle; a probe from its transfer function."""
+    return _transform(waves, lambda line: np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(line))))
+
+
+def band_pass(pixels: DataFrame, low: float, high: float) -> DataFrame:
+    """Each image with only the frequencies (in cycles a sample) from ``low`` to below ``high``."""
+    waves = _sized(fft2(pixels))
+    along = lambda c, n: (F.col(c) - F.floor(F.col(n) / 2)) / F.col(n)
+    f = F.sqrt(along("x", "nx") * along("x", "nx") + along("y", "ny") * along("y", "ny"))
+    kept = (f >= low) & (f < high)
+    cut = {c: F.when(kept, F.col(c)).otherwise(0.0) for c in ("re", "im")}
+    return ifft2(waves.withColumns(cut).drop("nx", "ny")).select("image_id", "y", "x", F.col("re").alias("v"))
 
 
 def fourier_zoom(pixels: DataFrame, center: tuple[float, float], factor: float, shape: tuple[int, int]) -> DataFrame:
-    """Fourier interpolation of each image on a fine grid round a place (x, y), by two matrix products."""
+    """Fourier interpolation of each image on a fine grid round a place (x, y): first along the rows, then along the columns."""
+    ys, xs = (c + (np.arange(n) - n // 2) / factor for c, n in ((center[1], shape[0]), (center[0], shape[1])))
 
-    def basis(n: int, at: np.ndarray) -> np.ndarray:
-        k = np.fft.fftfreq(n) * n
-        return np.exp(2j * np.pi * np.outer(at, k) / n) / n
+    def at(places: np.ndarray):
+        def interpolate(line: np.ndarray) -> np.ndarray:
+            n = len(line)
+            return np.exp(2j * np.pi * np.outer(places, np.fft.fftfreq(n) * n) / n) @ np.fft.fft(line) / n
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _dense(pdf)
-        ys, xs = (c + (np.arange(n) - n // 2) / factor for c, n in ((center[1], shape[0]), (center[0], shape[1])))
-        out = (basis(a.shape[0], ys) @ np.fft.fft2(a) @ basis(a.shape[1], xs).T).real
-        i, j = np.indices(shape)
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "i": i.ravel(), "j": j.ravel(), "y": ys[i.ravel()], "x": xs[j.ravel()], "v": out.ravel()})
+        return interpolate
 
-    return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(transform, "image_id int, i int, j int, y double, x double, v double")
+    rows = _along(_sized(_waves(pixels)), "x", "y", "nx", "j", at(xs))
+    out = _along(rows, "y", "j", "ny", "i", at(ys))
+    place = lambda k, c, n: c + (F.col(k) - n // 2) / factor
+    return out.select("image_id", "i", "j", place("i", center[1], shape[0]).alias("y"), place("j", center[0], shape[1]).alias("x"), F.col("re").alias("v"))
 
 
 def seeds(peaks: DataFrame) -> DataFrame:

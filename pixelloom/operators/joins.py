@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.loops import cut
 from ..plans.spatial import near_pairs, nearest
 
 
@@ -12,20 +15,28 @@ def hypot(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def nearest_any(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], right_id: str = "peak_id", key: str = "image_id", reach: float | None = None) -> DataFrame:
+def nearest_any(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], right_id: str = "peak_id", key: str = "image_id", reach: float = 4.0) -> DataFrame:
     """For each left row the nearest right row of its image, however far; minima are combined before the shuffle.
 
-    With ``reach`` rows that have a neighbour within it are settled by grid buckets, and only the
-    rest meets all right rows of its image; the result is the same.
+    By rounds of grid buckets of a doubled radius, from ``reach`` on: each settles the rows that have a neighbour
+    within it, and only the rest goes on. The last radius covers the images; rows of images without any right
+    row give none.
     """
-    if reach is not None:
-        close = nearest(left, right, reach, left_id, right_id, (key,))
-        rest = left.join(close, [key, *left_id], "left_anti")
-        return close.unionByName(nearest_any(rest, right, left_id, right_id, key))
-    r = right.select(F.col(key), F.col(right_id).alias("__id"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    dx, dy = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
-    best = F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("__id").alias("id")))
-    return left.join(r, key).groupBy(key, *left_id).agg(best.alias("b")).select(key, *left_id, F.col("b.id").alias(right_id + "_r"), F.col("b.d2").alias("d2"))
+    right = cut(right.select(key, right_id, "x", "y"))
+    left = left.join(F.broadcast(right.select(key).distinct()), key, "left_semi").select(key, *left_id, "x", "y")
+    ends = right.select("x", "y").unionByName(left.select("x", "y")).agg(*(F.max(c) - F.min(c) for c in "xy")).first()
+    far, out = math.hypot(ends[0] or 0.0, ends[1] or 0.0) * 1.01 + 1.0, None
+    rest = left
+    while True:
+        reach = min(reach, far)
+        close = cut(nearest(rest, right, reach, left_id, right_id, (key,)))
+        out = close if out is None else out.unionByName(close)
+        if reach >= far:
+            return out
+        rest = cut(rest.join(close, [key, *left_id], "left_anti"))
+        if rest.isEmpty():
+            return out
+        reach *= 2
 
 
 def label_pixels(pixels: DataFrame, peaks: DataFrame, radius: float) -> DataFrame:
@@ -37,7 +48,7 @@ def label_pixels(pixels: DataFrame, peaks: DataFrame, radius: float) -> DataFram
     return pixels.join(near.select("image_id", "y", "x", F.col("peak_id_r").alias("peak_id")), ["image_id", "y", "x"], "left")
 
 
-def nearest_match(left: DataFrame, right: DataFrame, right_columns: list[str], key: str = "image_id", reach: float | None = None) -> DataFrame:
+def nearest_match(left: DataFrame, right: DataFrame, right_columns: list[str], key: str = "image_id", reach: float = 4.0) -> DataFrame:
     """Left rows with columns of their nearest right row (many to one)."""
     found = nearest_any(left, right, ("peak_id",), key=key, reach=reach).drop("d2")
     gathered = right.select(key, F.col("peak_id").alias("peak_id_r"), *(F.col(c).alias(c + "_r") for c in right_columns))

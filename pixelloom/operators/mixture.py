@@ -7,6 +7,7 @@ is one grouped aggregate over the data with the components as literals; only the
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.loops import NotConverged
+
 
 @dataclass(frozen=True)
 class Component:
@@ -96,7 +99,7 @@ def step(samples: DataFrame, model: list[Component], rate: float = 1.0, shared_w
 
 
 def fit(samples: DataFrame, n: int, rounds: int = 200, tolerance: float = 1e-5, least_gap: float = 1e-3, dims: Sequence[str] = ("v",), start: list[Component] | None = None, **how) -> tuple[list[Component], float]:
-    """Rounds until the relative change of the log-likelihood is small or two means coincide."""
+    """Rounds until the relative change of the log-likelihood is small or two means coincide; it warns where they end before."""
     model, last = start or initial(samples, n, dims), -math.inf
     for _ in range(rounds):
         new, llh = step(samples, model, dims=dims, **how)
@@ -105,6 +108,7 @@ def fit(samples: DataFrame, n: int, rounds: int = 200, tolerance: float = 1e-5,
         if abs(llh - last) <= tolerance * abs(llh):
             return model, llh
         model, last = new, llh
+    warnings.warn(f"the likelihood still changes after {rounds} rounds", NotConverged, stacklevel=2)
     return model, last
 
 

@@ -37,17 +37,19 @@ def upsert(rows: DataFrame, changes: DataFrame, keys: list[str], deleted: str |
     return kept.unionByName(new.select(*rows.columns))
 
 
-def region_map(pixels: DataFrame, regions: DataFrame) -> DataFrame:
+def region_map(pixels: DataFrame, regions: DataFrame, edge: float = 16.0) -> DataFrame:
     """Pixels with the last region (by ``ord``) whose polygon holds them, 0 for none.
 
-    Regions are drawn by hand, so the table is broadcast; each pixel meets those whose bounding box holds it.
+    A region goes to all grid buckets that its bounding box touches, and pixels meet it by bucket, so any number
+    of regions will do.
     """
-    boxes = regions.select(
-        "region_id", "ord", "vertices", F.array_min(F.transform("vertices", lambda p: p["x"])).alias("x0"), F.array_max(F.transform("vertices", lambda p: p["x"])).alias("x1"),
-        F.array_min(F.transform("vertices", lambda p: p["y"])).alias("y0"), F.array_max(F.transform("vertices", lambda p: p["y"])).alias("y1"),
-    )
+    ends = lambda c: (f(F.transform("vertices", lambda p: p[c])) for f in (F.array_min, F.array_max))
+    bucket = lambda c: F.floor(c / edge)
+    (x0, x1), (y0, y1) = ends("x"), ends("y")
+    boxes = regions.select("region_id", "ord", "vertices", F.explode(F.sequence(bucket(x0), bucket(x1))).alias("bx"), y0.alias("y0"), y1.alias("y1"))
+    boxes = boxes.select("region_id", "ord", "vertices", "bx", F.explode(F.sequence(bucket(F.col("y0")), bucket(F.col("y1")))).alias("by"))
     x, y = F.col("x"), F.col("y")
-    hit = pixels.join(F.broadcast(boxes), (x >= F.col("x0")) & (x <= F.col("x1")) & (y >= F.col("y0")) & (y <= F.col("y1"))).filter(inside(F.col("vertices"), x, y))
+    hit = pixels.withColumns({"bx": bucket(x), "by": bucket(y)}).join(boxes, ["bx", "by"]).filter(inside(F.col("vertices"), x, y))
     last = hit.groupBy("image_id", "y", "x").agg(F.max(F.struct("ord", "region_id")).alias("r"))
     return pixels.join(last, ["image_id", "y", "x"], "left").withColumn("region_id", F.coalesce("r.region_id", F.lit(0))).drop("r")
 

@@ -57,7 +57,7 @@ def gmm_mstep(spark, d):
 @register("gmm_fit")
 def gmm_fit(spark, d):
     """Iterative to convergence; a test checks that the likelihood never falls and that known mixtures are found."""
-    model, llh = M.fit(samples(spark, d), 3, rounds=25)
+    model, llh = M.fit(samples(spark, d), 3)
     return rounded(spark.createDataFrame([(k, c.weight, c.mean, c.var, llh) for k, c in enumerate(model)], "k int, weight double, mean double, var double, llh double"), 3)
 
 
@@ -175,7 +175,18 @@ def masks(spark, d):
 
 @register("mask_edge", sql(", m AS (SELECT p.image_id, y, x, v > q AS mask FROM pixels p JOIN (SELECT image_id, quantile_cont(v, 0.2) AS q FROM pixels GROUP BY image_id) c ON p.image_id = c.image_id) SELECT m.image_id, m.y, m.x, m.mask AND 4 = (SELECT count(*) FROM m o WHERE o.image_id = m.image_id AND o.mask AND abs(o.x - m.x) + abs(o.y - m.y) = 1) AS mask FROM m", "pixels"))
 def mask_edge(spark, d):
-    return D.edge_mask(D.watershed_mask(pixels(spark, d), 20)).select("image_id", "y", "x", "mask")
+    return D.edge_mask(D.percentile_mask(pixels(spark, d), 20)).select("image_id", "y", "x", "mask")
+
+
+@register("watershed_mask")
+def watershed_mask(spark, d):
+    """A test holds the flooding against a plain one with a heap."""
+    return D.watershed_mask(D.smooth(pixels(spark, d), NX, NY).select("image_id", "y", "x", F.round("blur", 6).alias("v"))).select("image_id", "y", "x", "mask")
+
+
+@register("watershed_cells")
+def watershed_cells(spark, d):
+    return D.watershed_cells(pixels(spark, d), peaks(spark, d)).select("image_id", "y", "x", "peak_id")
 
 
 _LEVELS = "SELECT image_id, avg(v) FILTER (WHERE power(x - 31.5, 2) + power(y - 23.5, 2) < {}) AS det, quantile_cont(v, 0.2) AS bg FROM pixels GROUP BY image_id"

@@ -1,6 +1,7 @@
 """Queries of the fits and of what is computed by callbacks elsewhere.
 
-Iterative results have no SQL; tests hold them against known truth.
+All run with their operators' own rounds and stop rules. Iterative results have no SQL; tests hold them
+against known truth, and single rounds are compared with SQL.
 """
 
 from __future__ import annotations
@@ -28,7 +29,16 @@ def _params(spark, d):
     return peaks(spark, d).select("image_id", "peak_id", "x", "y", "atom_type", (F.col("x") + 5).alias("height"), F.lit(1.5).alias("sigma"), F.lit(1.3).alias("gamma"), F.lit(0.9).alias("ratio"), F.lit(2.0).alias("background"))
 
 
-@register("guess_radius")
+@register(
+    "guess_radius",
+    sql(
+        """, d AS (SELECT p.image_id, p.y, p.x, min(greatest(abs(p.x - round(k.x)), abs(p.y - round(k.y)))) AS d FROM pixels p JOIN peaks k ON p.image_id = k.image_id GROUP BY 1, 2, 3),
+        a AS (SELECT n, count(*) AS area FROM (SELECT unnest(range(1, 130)) AS n) t JOIN d ON d.d <= n GROUP BY n),
+        g AS (SELECT n, area, lag(area, 1, 0) OVER (ORDER BY n) AS before FROM a), w AS (SELECT *, area - before AS gain, max(area - before) OVER (ORDER BY n) AS best FROM g)
+        SELECT round(sqrt((SELECT before FROM w WHERE gain < best / 2.0 ORDER BY n LIMIT 1) * 1.0 / (SELECT count(*) FROM peaks)) / pi(), 6) AS radius""",
+        "pixels", "peaks",
+    ),
+)
 def guess_radius(spark, d):
     return rounded(spark.createDataFrame([(O.guess_radius(pixels(spark, d), peaks(spark, d)),)], "radius double"))
 
@@ -44,7 +54,22 @@ def linear_estimator(spark, d):
 
 @register("linear_heights")
 def linear_heights(spark, d):
-    return rounded(O.linear_heights(pixels(spark, d), _params(spark, d), 4.0, rounds=3))
+    return rounded(O.linear_heights(pixels(spark, d), _params(spark, d), 4.0), 3)
+
+
+@register(
+    "linear_heights_round",
+    sql(_G + """, a AS (SELECT a.image_id, a.i, b.i AS j, sum(a.g * b.g) AS a FROM g a JOIN g b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y GROUP BY 1, 2, 3),
+      w AS (SELECT image_id, i, sum(abs(a)) AS w FROM a GROUP BY 1, 2), b AS (SELECT image_id, i, sum(g * v) AS b FROM g GROUP BY 1, 2)
+      SELECT b.image_id, b.i AS peak_id, round(greatest(0, b / w), 6) + 0.0 AS height FROM b JOIN w ON b.image_id = w.image_id AND b.i = w.i""", "pixels", "peaks"),
+)
+def linear_heights_round(spark, d):
+    """The first of the rounds."""
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", O.NotConverged)
+        return rounded(O.linear_heights(pixels(spark, d), _params(spark, d), 4.0, rounds=1))
 
 
 @register(
@@ -60,24 +85,51 @@ def optimizers(spark, d):
     return rounded(O.gradient(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "gx", "gy", "gh"), 4)
 
 
+_FIRST = (
+    _G + """, r AS (SELECT image_id, y, x, sum(h * g) + 2 - max(v) AS r FROM g GROUP BY 1, 2, 3),
+    d AS (SELECT g.image_id, g.i, sum(r * h * g * (g.x - kx) / 2.25) AS gx, sum(r * h * g * (g.y - ky) / 2.25) AS gy, sum(r * g) AS gh, sum(r * h * g * (power(g.x - kx, 2) + power(g.y - ky, 2)) / 3.375) AS gs
+      FROM g JOIN r ON g.image_id = r.image_id AND g.x = r.x AND g.y = r.y GROUP BY 1, 2)"""
+)
+_MOVE = "round({c} - {rate} * coalesce(d.{g} / (abs(d.{g}) + 1e-8), 0), 4)"
+
+
+@register(
+    "fit_global_round",
+    sql(
+        _FIRST + " SELECT k.image_id, k.peak_id, " + ", ".join(f"{_MOVE.format(c=c, rate=rate, g=g)} AS {n}" for n, c, rate, g in (("x", "k.x", 0.05, "gx"), ("y", "k.y", 0.05, "gy"), ("height", "k.x + 5", 0.05, "gh"), ("sigma", "1.5", 0.02, "gs")))
+        + " FROM peaks k LEFT JOIN d ON k.image_id = d.image_id AND k.peak_id = d.i",
+        "pixels", "peaks",
+    ),
+)
+def fit_global_round(spark, d):
+    """The first round of Adam: each parameter moves by its step size against its derivative."""
+    return rounded(O.adam_round(pixels(spark, d), O.adam_start(_params(spark, d)), 4.0, 1).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
+
+
 @register("fit_global")
 def fit_global(spark, d):
-    return rounded(O.fit_adam(pixels(spark, d), _params(spark, d), 4.0, rounds=4).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
+    return rounded(O.fit_adam(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
 
 
 @register("fit_random_batch")
 def fit_random_batch(spark, d):
-    return rounded(O.fit_random_batches(pixels(spark, d), _params(spark, d), 4.0, batches=2, epochs=2).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
+    return rounded(O.fit_random_batches(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
 
 
 @register("fit_region_patch")
 def fit_region_patch(spark, d):
-    return rounded(O.fit_patches(pixels(spark, d), _params(spark, d), 8, 2, rounds=4), 3)
+    return rounded(O.fit_patches(pixels(spark, d), _params(spark, d), 8, 2), 3)
 
 
 @register("fit_voronoi")
 def fit_voronoi(spark, d):
-    return rounded(O.fit_cells(pixels(spark, d), _params(spark, d), 3.0, rounds=8), 3)
+    return rounded(O.fit_cells(pixels(spark, d), _params(spark, d), 3.0), 3)
+
+
+@register("benchmark_refine")
+def benchmark_refine(spark, d):
+    """Start values, fit, cross-sections and Voronoi sums in one; a test recovers known peaks."""
+    return rounded(O.refine_benchmark(pixels(spark, d), peaks(spark, d), 1.5), 3)
 
 
 @register(

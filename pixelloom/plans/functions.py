@@ -211,9 +211,22 @@ def rotate_vector(spark, d):
     return rounded(peaks(spark, d).select("image_id", "peak_id", *(c.alias(n) for c, n in zip(r, ("rx", "ry", "rz"), strict=True))))
 
 
-@register("fft2")
+_SIZES = """, z AS (SELECT image_id, max(x) + 1 AS nx, max(y) + 1 AS ny FROM pixels GROUP BY image_id)"""
+
+
+@register(
+    "fft2",
+    sql(
+        _SIZES + """, r AS (SELECT p.image_id, p.y, u, sum(v * cos(2 * pi() * ((u - nx // 2) * (x - nx // 2) % nx) / nx)) AS re, -sum(v * sin(2 * pi() * ((u - nx // 2) * (x - nx // 2) % nx) / nx)) AS im
+          FROM pixels p JOIN z ON p.image_id = z.image_id, (SELECT unnest(range(64)) AS u) t WHERE u < nx GROUP BY 1, 2, 3),
+        c AS (SELECT r.image_id, w, u, cos(2 * pi() * ((w - ny // 2) * (y - ny // 2) % ny) / ny) AS c, sin(2 * pi() * ((w - ny // 2) * (y - ny // 2) % ny) / ny) AS s, re, im
+          FROM r JOIN z ON r.image_id = z.image_id, (SELECT unnest(range(48)) AS w) t WHERE w < ny)
+        SELECT image_id, CAST(w AS INTEGER) AS y, CAST(u AS INTEGER) AS x, round(sum(re * c + im * s), 3) + 0.0 AS re, round(sum(im * c - re * s), 3) + 0.0 AS im FROM c GROUP BY 1, 2, 3""",
+        "pixels",
+    ),
+)
 def fft2(spark, d):
-    return rounded(G.fft2(pixels(spark, d)))
+    return rounded(G.fft2(pixels(spark, d)), 3)
 
 
 @register("band_pass")
@@ -221,9 +234,21 @@ def band_pass(spark, d):
     return rounded(G.band_pass(pixels(spark, d), 0.05, 0.3))
 
 
-@register("fourier_zoom")
+@register(
+    "fourier_zoom",
+    sql(
+        _SIZES + """, hx AS (SELECT z.image_id, j, x, sum(cos(2 * pi() * k * (30 + (j - 8) / 4.0 - x) / nx)) / nx AS c, sum(sin(2 * pi() * k * (30 + (j - 8) / 4.0 - x) / nx)) / nx AS s
+          FROM z, (SELECT unnest(range(16)) AS j) a, (SELECT unnest(range(64)) AS x) b, (SELECT unnest(range(-32, 32)) AS k) f WHERE x < nx AND k >= -(nx // 2) AND k < nx - nx // 2 GROUP BY z.image_id, j, x, nx),
+        hy AS (SELECT z.image_id, i, y, sum(cos(2 * pi() * k * (20 + (i - 8) / 4.0 - y) / ny)) / ny AS c, sum(sin(2 * pi() * k * (20 + (i - 8) / 4.0 - y) / ny)) / ny AS s
+          FROM z, (SELECT unnest(range(16)) AS i) a, (SELECT unnest(range(48)) AS y) b, (SELECT unnest(range(-24, 24)) AS k) f WHERE y < ny AND k >= -(ny // 2) AND k < ny - ny // 2 GROUP BY z.image_id, i, y, ny),
+        r AS (SELECT p.image_id, p.y, j, sum(v * c) AS re, sum(v * s) AS im FROM pixels p JOIN hx ON p.image_id = hx.image_id AND p.x = hx.x GROUP BY 1, 2, 3)
+        SELECT r.image_id, CAST(hy.i AS INTEGER) AS i, CAST(r.j AS INTEGER) AS j, 20 + (hy.i - 8) / 4.0::DOUBLE AS y, 30 + (r.j - 8) / 4.0::DOUBLE AS x, round(sum(re * c - im * s), 4) + 0.0 AS v
+        FROM r JOIN hy ON r.image_id = hy.image_id AND r.y = hy.y GROUP BY r.image_id, hy.i, r.j""",
+        "pixels",
+    ),
+)
 def fourier_zoom(spark, d):
-    return rounded(G.fourier_zoom(pixels(spark, d), (30.0, 20.0), 4.0, (16, 16)))
+    return rounded(G.fourier_zoom(pixels(spark, d), (30.0, 20.0), 4.0, (16, 16)), 4)
 
 
 @register("label_seeds", sql("SELECT image_id, CAST(round(y) AS INTEGER) AS y, CAST(round(x) AS INTEGER) AS x, max(peak_id) + 1 AS label FROM peaks GROUP BY 1, 2, 3", "peaks"))

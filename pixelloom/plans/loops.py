@@ -10,7 +10,11 @@ import time
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+class NotConverged(UserWarning):
+    """A loop has ended by its number of rounds; its result isn't settled yet."""
 
 
 def timed(f: Callable) -> Callable:
@@ -27,6 +31,20 @@ def timed(f: Callable) -> Callable:
     return run
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors see; a local session without one gets its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if root := spark.conf.get("spark.checkpoint.dir", None):
+            return root.rstrip("/")
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="pixelloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        context.setCheckpointDir(root)
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame, k: int = 0, every: int = 1) -> DataFrame:
     """``df`` to go on with in a loop: kept, and on each ``every``-th round checkpointed.
 
@@ -36,9 +54,7 @@ def cut(df: DataFrame, k: int = 0, every: int = 1) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir() and context.master.startswith("local["):
-        root = tempfile.mkdtemp(prefix="pixelloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        context.setCheckpointDir(root)
-    if df.sparkSession.sparkContext.getCheckpointDir() and k % every == every - 1:
+        shared_dir(df.sparkSession)
+    if context.getCheckpointDir() and k % every == every - 1:
         return df.checkpoint()
     return df.persist()

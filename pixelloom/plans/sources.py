@@ -1,15 +1,18 @@
 """Queries of the sources that can be shown on the tables: their parsers on lines and samples made from columns.
 
-Binary formats are tested by round trips on files.
+Binary formats are written from the image tables and read back; tests read files made by hand.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.filters import filter_bounds
 from ..sources import binary, text
-from .base import NX, NY, pixels, register, rounded, sql, table
+from .base import NX, NY, peaks, pixels, register, rounded, sql, table
+from .loops import shared_dir
 
 
 @register("scan_text_matrix", "SELECT p_partkey AS row, 0 AS col, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 1, p_retailprice FROM part")
@@ -85,13 +88,66 @@ def load_benchmark(spark, d):
     return rounded(text.load_benchmark(_arrays(spark, d))["scs"])
 
 
+def _read_back(spark, d, files, decode, key=None):
+    """Pixels of one file for each image, where the tables have some."""
+    rows = binary._rows(files.select(F.col("image_id").cast("string").alias("path"), "content"), decode)
+    back = binary.to_pixels(rows if key is None else rows.filter(F.col("key") == key))
+    there = pixels(spark, d).select("image_id", "y", "x")
+    return back.select(F.col("path").cast("int").alias("image_id"), "y", "x", "v").join(there, ["image_id", "y", "x"])
+
+
+@register("scan_dm", sql("SELECT image_id, y, x, v FROM pixels", "pixels"))
+def scan_dm(spark, d):
+    """DM3 files; ``sink_dm`` has DM4."""
+    return _read_back(spark, d, binary.to_dm(pixels(spark, d), 3), lambda raw: binary._Dm(raw).images())
+
+
+@register("scan_mat", sql("SELECT image_id, y, x, v FROM pixels", "pixels"))
+def scan_mat(spark, d):
+    return _read_back(spark, d, binary.to_mat(pixels(spark, d)), lambda raw: binary.decode_mat(raw).items(), "obs")
+
+
+_TAG = "ImageList/0/ImageData/"
+
+
+@register(
+    "dm_codecs",
+    sql(
+        f"""SELECT image_id, key, text FROM (SELECT image_id, max(x) + 1 AS nx, max(y) + 1 AS ny FROM pixels GROUP BY image_id) z,
+          LATERAL (VALUES ('{_TAG}Dimensions/0', CAST(nx AS VARCHAR)), ('{_TAG}Dimensions/1', CAST(ny AS VARCHAR)), ('{_TAG}DataType', '2'), ('{_TAG}PixelDepth', '4'), ('{_TAG}Calibrations/Dimension/1/Scale', '0.25'),
+            ('{_TAG}Calibrations/Dimension/0/Units', 'nm'), ('{_TAG}Calibrations/Dimension/0/Origin', '0.0'), ('{_TAG}Data', 'array of ' || (nx * ny) || ' f4')) t(key, text)""",
+        "pixels",
+    ),
+)
+def dm_codecs(spark, d):
+    """Tags of numbers, strings and arrays, by their paths."""
+    keys = [_TAG + k for k in ("Dimensions/0", "Dimensions/1", "DataType", "PixelDepth", "Calibrations/Dimension/1/Scale", "Calibrations/Dimension/0/Units", "Calibrations/Dimension/0/Origin", "Data")]
+    files = binary.to_dm(pixels(spark, d), 4, 0.25, "nm").select(F.col("image_id").cast("string").alias("path"), "content")
+    tags = binary.dm_tags(files)
+    return tags.filter(F.col("key").isin(keys)).select(F.col("path").cast("int").alias("image_id"), "key", "text")
+
+
+@register("scan_dispatch", "SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS row, 0 AS col, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey - (SELECT min(p_partkey) FROM part), 1, CAST(p_partkey AS DOUBLE) FROM part")
+def scan_dispatch(spark, d):
+    """One .csv file, written by Spark and read by the reader that its name asks for."""
+    path = f"{shared_dir(spark)}/dispatch-{uuid.uuid4().hex}.csv"
+    part = table(spark, d, "part")
+    lines = part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda x: F.format_string("%d, %d", x["p_size"], x["p_partkey"])), "\n").alias("value"))
+    lines.write.text(path)
+    return text.read_any(spark, path).select(F.col("row").cast("long").alias("row"), "col", "value")
+
+
+@register("export_params", sql("SELECT image_id, peak_id, x, y FROM peaks", "peaks"))
+def export_params(spark, d):
+    path = f"{shared_dir(spark)}/params-{uuid.uuid4().hex}"
+    text.export_params(peaks(spark, d).select("image_id", "peak_id", "x", "y"), path)
+    return spark.read.parquet(path)
+
+
 @register("sink_dm", sql("SELECT image_id, y, x, v FROM pixels", "pixels"))
 def sink_dm(spark, d):
     """Written as DM files, one for each image, and read back."""
-    files = binary.to_dm(pixels(spark, d), 4).select(F.col("image_id").cast("string").alias("path"), "content")
-    back = binary.to_pixels(binary._rows(files, lambda raw: binary._Dm(raw).images()))
-    there = pixels(spark, d).select("image_id", "y", "x")
-    return back.select(F.col("path").cast("int").alias("image_id"), "y", "x", "v").join(there, ["image_id", "y", "x"])
+    return _read_back(spark, d, binary.to_dm(pixels(spark, d), 4), lambda raw: binary._Dm(raw).images())
 
 
 @register("npy_import_export", sql("SELECT image_id, y, x, v FROM pixels", "pixels"))
@@ -100,7 +156,4 @@ def npy_import_export(spark, d):
 
     import numpy as np
 
-    files = binary.to_npy(pixels(spark, d)).select(F.col("image_id").cast("string").alias("path"), "content")
-    back = binary.to_pixels(binary._rows(files, lambda raw: [("array", np.load(io.BytesIO(raw)))]))
-    there = pixels(spark, d).select("image_id", "y", "x")
-    return back.select(F.col("path").cast("int").alias("image_id"), "y", "x", "v").join(there, ["image_id", "y", "x"])
+    return _read_back(spark, d, binary.to_npy(pixels(spark, d)), lambda raw: [("array", np.load(io.BytesIO(raw)))])

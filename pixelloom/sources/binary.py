@@ -25,7 +25,7 @@ DM_IMAGES = {1: "i2", 2: "f4", 3: "c8", 6: "u1", 7: "i4", 9: "i1", 10: "u2", 11:
 DM_THUMBNAIL = 23
 #: Fixed values of the MAT format, level 5: data types, and array classes of numbers.
 MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2", 18: "u4"}
-MAT_MATRIX, MAT_PACKED, MAT_CELL, MAT_STRUCT, MAT_CHAR = 14, 15, 1, 2, 4
+MAT_MATRIX, MAT_PACKED, MAT_CELL, MAT_STRUCT, MAT_CHAR, MAT_DOUBLE = 14, 15, 1, 2, 4, 6
 
 
 class _Dm:
@@ -193,6 +193,20 @@ def decode_mat(raw: bytes) -> dict[str, np.ndarray | str]:
     return out
 
 
+def encode_mat(variables: dict[str, np.ndarray]) -> bytes:
+    """A MAT file, level 5, of real matrices."""
+
+    def element(kind: int, body: bytes) -> bytes:
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    for name, a in variables.items():
+        numbers = np.asarray(a, "<f8").tobytes(order="F")
+        body = element(6, struct.pack("<II", MAT_DOUBLE, 0)) + element(5, np.array(a.shape, "<i4").tobytes()) + element(1, name.encode("latin-1")) + element(9, numbers)
+        out += element(MAT_MATRIX, body)
+    return out
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -222,14 +236,18 @@ def read_dm(spark: SparkSession, path: str) -> DataFrame:
     return _rows(_files(spark, path), lambda raw: _Dm(raw).images())
 
 
-def read_dm_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(path, key, text) of all tags; pixel blocks are only named."""
+def dm_tags(files: DataFrame) -> DataFrame:
+    """(path, key, text) of all tags of files (path, content); pixel blocks are only named."""
 
     def decode(raw: bytes):
         dm = _Dm(raw)
         return ((k, dm.text(v)) for k, v in dm.tags.items())
 
-    return _rows(_files(spark, path), decode).select("path", "key", "text")
+    return _rows(files, decode).select("path", "key", "text")
+
+
+def read_dm_tags(spark: SparkSession, path: str) -> DataFrame:
+    return dm_tags(_files(spark, path))
 
 
 def to_pixels(arrays: DataFrame) -> DataFrame:
@@ -255,6 +273,10 @@ def to_dm(pixels: DataFrame, version: int = 3, scale: float = 1.0, units: str =
     return _images(pixels, lambda a: encode_dm(a, version, scale, units))
 
 
+def to_mat(pixels: DataFrame, name: str = "obs") -> DataFrame:
+    return _images(pixels, lambda a: encode_mat({name: a}))
+
+
 def to_npy(pixels: DataFrame) -> DataFrame:
     def encode(a: np.ndarray) -> bytes:
         out = io.BytesIO()

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against known truth or a plain version."""
 
+import heapq
 import io
 import math
 import struct
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pixelloom.functions import grids, models, optics
-from pixelloom.operators import crystal, fitting, mixture, windows
+from pixelloom.operators import crystal, detector, fitting, joins, mixture, sets, windows
 from pixelloom.sources import binary, text
 from pyspark.sql import functions as F
 
@@ -272,3 +273,116 @@ def test_guess_radius_of_far_peaks(spark):
     peaks = spark.createDataFrame([(1, 1, 30.0, 30.0), (1, 2, 90.0, 30.0)], "image_id int, peak_id long, x double, y double")
     assert fitting.guess_radius(pixels, peaks) == pytest.approx((121 * 61 / 2) ** 0.5 / np.pi)
     assert fitting.guess_radius(pixels.limit(0), peaks) == 0.0
+
+
+def plain_watershed(a, markers):
+    label, heap = {}, [(a[p], 0, m, p) for p, m in markers.items()]
+    heapq.heapify(heap)
+    while heap:
+        level, steps, m, p = heapq.heappop(heap)
+        if p in label:
+            continue
+        label[p] = m
+        for q in ((p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)):
+            if q not in label and q not in markers and 0 <= q[0] < a.shape[0] and 0 <= q[1] < a.shape[1]:
+                heapq.heappush(heap, (a[q], 0, m, q) if a[q] > level else (level, steps + 1, m, q))
+    return label
+
+
+def test_watershed_against_a_heap(spark):
+    rng = np.random.default_rng(8)
+    a = np.round(rng.normal(0, 1, (14, 17)).cumsum(0).cumsum(1) / 4).astype(float)  # with plateaus
+    markers = {(2, 3): 5, (9, 12): 2, (12, 2): 9, (3, 14): 7}
+    spots = spark.createDataFrame([(1, y, x, m) for (y, x), m in markers.items()], "image_id int, y int, x int, label int")
+    got = {(r.y, r.x): r.label for r in detector.watershed(image(spark, a), spots).collect()}
+    assert got == plain_watershed(a, markers) and len(set(got.values())) == 4
+
+
+def test_watershed_parts_touching_columns(spark):
+    y, x = np.indices((20, 30))
+    a = np.exp(-((x - 8) ** 2 + (y - 10) ** 2) / 30) + 0.8 * np.exp(-((x - 20) ** 2 + (y - 9) ** 2) / 30)
+    peaks = spark.createDataFrame([(1, 0, 8.2, 9.9), (1, 1, 20.1, 9.2)], "image_id int, peak_id long, x double, y double")
+    got = {(r.y, r.x): r.peak_id for r in detector.watershed_cells(image(spark, a), peaks).collect()}
+    assert all(got[10, i] == 0 for i in range(12)) and all(got[9, i] == 1 for i in range(17, 30)) and None not in got.values()
+    mask = {(r.y, r.x): r["mask"] for r in detector.watershed_mask(image(spark, np.round(a, 2)), 80).collect()}
+    assert mask[10, 8] and mask[9, 20] and not mask[0, 0] and 0.15 < np.mean(list(mask.values())) < 0.25
+
+
+def test_a_long_chain_is_thinned_to_its_half(spark):
+    chain = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(120)], "image_id int, peak_id long, x double, y double")
+    assert sorted(r.peak_id for r in windows.greedy_dedup(chain, 1.5).collect()) == list(range(0, 120, 2))
+
+
+def test_nearest_however_far(spark):
+    rng = np.random.default_rng(4)
+    left = spark.createDataFrame([(i % 3, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1000, (60, 2)))], "image_id int, peak_id long, x double, y double")
+    pts = [(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 30, (8, 2)))]
+    right = spark.createDataFrame(pts, "image_id int, peak_id long, x double, y double")
+    got = {r.peak_id: r.peak_id_r for r in joins.nearest_any(left, right, ("peak_id",), reach=2.0).collect()}
+    want = {r.peak_id: min((math.dist((r.x, r.y), p[2:]), p[1]) for p in pts if p[0] == r.image_id)[1] for r in left.collect() if r.image_id < 2}
+    assert got == want
+
+
+def test_many_regions(spark):
+    regions = [(i, i, [(10.0 * (i % 9), 7.0 * (i // 9)), (10.0 * (i % 9) + 14, 7.0 * (i // 9)), (10.0 * (i % 9) + 14, 7.0 * (i // 9) + 9), (10.0 * (i % 9), 7.0 * (i // 9) + 9)]) for i in range(1, 60)]
+    df = spark.createDataFrame(regions, "region_id int, ord int, vertices array<struct<x:double,y:double>>")
+    spots = [(1, y, x) for y in range(0, 50, 3) for x in range(0, 90, 4)]
+    px = spark.createDataFrame([(i, y + 0.5, x + 0.5) for i, y, x in spots], "image_id int, y double, x double")
+    got = {(r.y, r.x): r.region_id for r in sets.region_map(px, df).collect()}
+    inside = lambda v, x, y: v[0][0] < x < v[1][0] and v[0][1] < y < v[2][1]
+    assert got == {(y + 0.5, x + 0.5): max((i for i, _, v in regions if inside(v, x + 0.5, y + 0.5)), default=0) for _, y, x in spots}
+
+
+def test_poisson_moments(spark):
+    for mean in (0.0, 0.3, 7.0, 55.0, 61.0, 900.0):
+        v = np.array([r.v for r in fitting.poisson_noise(image(spark, np.full((60, 60), mean)), 5).collect()])
+        assert (v >= 0).all() and (v == np.round(v)).all() and abs(v.mean() - mean) < 5 * math.sqrt(mean / v.size) + 1e-9 and abs(v.var() - mean) < 0.15 * mean + 1e-9
+
+
+def test_benchmark_is_refined(spark, four):
+    pixels, params, truth = four
+    with pytest.warns(fitting.NotConverged):
+        fitting.fit_adam(pixels, params, 12.0, rounds=5)
+    starts = params.select("image_id", "peak_id", (F.col("x") * 0.1).alias("x"), (F.col("y") * 0.1).alias("y"), "atom_type")
+    rows = fitting.refine_benchmark(pixels, starts, 0.28, 0.1, batches=2, epochs=15, rates={"x": 0.1, "y": 0.1, "height": 0.02, "sigma": 0.03}, tolerance=0.0).collect()
+    a = dense(pixels)
+    y, x = np.indices(a.shape)
+    d = np.stack([np.hypot(x - r.x, y - r.y) for r in rows])
+    for k, r in enumerate(rows):
+        own = (d.argmin(axis=0) == k) & (d[k] < 14)
+        assert math.hypot(r.x - truth[r.peak_id][0], r.y - truth[r.peak_id][1]) < 0.5 and abs(r.scs / (2 * math.pi * r.sigma**2 * r.height * 0.01) - 1) < 1e-6
+        assert abs(r.scs_voronoi - (a[own] - a.min()).sum() * 0.01) < 1e-6
+    assert len(rows) == 4
+
+
+def dm_by_hand(version):
+    """Bytes of a file of one 3 x 2 image of 16-bit numbers and a note, after the published layout."""
+    long = (lambda n: n.to_bytes(4, "big")) if version == 3 else (lambda n: n.to_bytes(8, "big"))
+    size = lambda body: b"" if version == 3 else len(body).to_bytes(8, "big")
+
+    def directory(name, *tags):
+        body = b"\x01\x00" + long(len(tags)) + b"".join(tags)
+        return b"\x14" + len(name).to_bytes(2, "big") + name + size(body) + body
+
+    def entry(name, info, raw):
+        body = b"%%%%" + long(len(info)) + b"".join(long(i) for i in info) + raw
+        return b"\x15" + len(name).to_bytes(2, "big") + name + size(body) + body
+
+    image_data = directory(
+        b"ImageData", entry(b"Data", [20, 2, 6], bytes([1, 0, 2, 0, 3, 0, 4, 0, 5, 0, 0xFF, 0xFF])), entry(b"DataType", [5], b"\x01\0\0\0"),
+        directory(b"Dimensions", entry(b"", [5], b"\x03\0\0\0"), entry(b"", [5], b"\x02\0\0\0")),
+    )
+    note = entry(b"Note", [20, 4, 2], "ok".encode("utf-16-le"))
+    pair = entry(b"Pair", [15, 0, 2, 0, 2, 0, 2], b"\x07\0\xfe\xff")
+    body = b"\x01\x00" + long(2) + directory(b"ImageList", directory(b"", image_data)) + directory(b"More", note, pair)
+    return version.to_bytes(4, "big") + long(len(body)) + b"\0\0\0\x01" + body + b"\0" * 8
+
+
+@pytest.mark.parametrize("version", [3, 4])
+def test_dm_files_made_by_hand(spark, tmp_path, version):
+    path = tmp_path / f"a.dm{version}"
+    path.write_bytes(dm_by_hand(version))
+    r = text.read_any(spark, str(path)).first()
+    assert list(r.shape) == [2, 3] and list(r["values"]) == [1, 2, 3, 4, 5, -1]
+    tags = {t.key: t.text for t in binary.read_dm_tags(spark, str(path)).collect()}
+    assert tags["More/Note"] == "ok" and tags["More/Pair"] == "[7, -2]" and tags["ImageList/0/ImageData/Dimensions/1"] == "2"
