@@ -51,12 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: cuts the lineage,
-    is computed once, and outlives executors."""
+    is computed once, and outlives executors. A filter on the column ``by`` reads its own files only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,22 +3,25 @@
 Documents come in batches, by ascending id. The store keeps the hashes of all lines seen as sorted
 runs: a batch's own new lines (those that a merge anti-join finds in no run) become a run of level 0,
 and as soon as a level holds ``fanout`` runs they are compacted into one of the next. Runs are
-bucketed and sorted by hash, so that joins with them shuffle only the batch.
+bucketed and sorted by hash, one file a bucket, and read in that order, so that a join with them
+shuffles and sorts only the batch.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, stored
+from .common import BLANKS, ascii_lower, shared_dir, stored
 
 LEAST = 10
 BATCHES = 4
-#: Rows without an id count as one document after all others.
-NO_ID = 2**63 - 1
+#: Lets joins rely on the order of bucketed files.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -30,78 +33,103 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")
 
 
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Within it, scans of runs give their rows in order, as each bucket is one sorted file."""
+    before = spark.conf.get(ORDERED, "false")
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
+
 class LineRuns:
-    """Sorted runs of (h1, h2) in bucketed tables of the warehouse, by level."""
+    """Sorted runs of (h1, h2), by level: bucketed tables whose files lie in the shared folder.
+
+    Use it in a ``with`` statement: at the end, however it comes, no table is left in the catalog.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
 
-    def _write(self, hashes: DataFrame) -> str:
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *how) -> None:
+        self.close()
+
+    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Name of the new run, and its files as a plain table."""
         name = f"line_run_{uuid.uuid4().hex}"
-        hashes.select("h1", "h2").repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
-        return name
+        try:
+            rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self._path(name)).saveAsTable(name)
+        except BaseException:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            raise
+        return name, self.spark.read.schema(rows.schema).parquet(self._path(name))
+
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """The rows whose line is in no run, by one merge anti-join for each run."""
         for name in (n for level in self.levels for n in level):
-            hashes = hashes.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
+            hashes = hashes.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return hashes
 
-    def add(self, hashes: DataFrame) -> None:
-        """Adds a run (of lines not yet held) and compacts full levels."""
-        self.levels[0].append(self._write(hashes))
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Adds a run (of lines not yet held), compacts full levels, and gives the run's rows."""
+        name, own = self._write(rows)
+        self.levels[0].append(name)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
+            full = self.levels[level]
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            merged = self.spark.table(full[0])
-            for name in full[1:]:
-                merged = merged.union(self.spark.table(name))
-            self.levels[level + 1].append(self._write(merged))
-            for name in full:
-                self.spark.sql(f"DROP TABLE {name}")
+            # as plain files: a union of bucketed tables would be written as it lies, in several files a bucket
+            merged = self.spark.read.schema("h1 long, h2 long").parquet(*map(self._path, full))
+            self.levels[level + 1].append(self._write(merged)[0])
+            self.levels[level] = []
+            for other in full:
+                self.spark.sql(f"DROP TABLE {other}")
             level += 1
+        return own
 
     def close(self) -> None:
         for name in (n for level in self.levels for n in level):
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.levels = [[]]
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(id, text_hash, at, h1, h2) of each line with a key of ``least`` code points or more."""
     text = F.coalesce("text", F.lit(""))
-    each = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line")
-    )
+    each = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     keyed = each.select("id", "text_hash", "at", line_key(F.col("line")).alias("key")).filter(F.length("key") >= least)
     return keyed.select("id", "text_hash", "at", *_hashes(F.col("key")))
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fanout: int = 2) -> DataFrame:
-    """(id, text_hash, at): the lines that a document of a smaller id holds as well."""
+    """(id, text_hash, at): the lines that a document of a smaller id holds as well; rows without an id are the last."""
     spark = docs.sparkSession
     cuts = [i / batches for i in range(1, batches)]
     found = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 1000).alias("c")).first()["c"] if cuts else []
     bounds = sorted(set(found or []))
-    batch = sum((F.when(F.col("id") > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
-    lines = stored(_lines(docs, least).withColumn("batch", batch), "lines")
-    runs, lost = LineRuns(spark, fanout), None
-    for b in range(len(bounds) + 1):
-        own = lines.filter(F.col("batch") == b)
-        first = own.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-        new = stored(runs.unseen(first), "first-lines")
-        if b < len(bounds):
-            runs.add(new)
-        # a line stays where its own document is the owner of a line not seen before
-        kept = new.select("h1", "h2", F.col("owner").alias("id"))
-        gone = stored(own.join(kept, ["h1", "h2", "id"], "left_anti").select("id", "text_hash", "at"), "dropped-lines")
-        lost = gone if lost is None else lost.union(gone)
-    runs.close()
-    return lost
+    after = sum((F.when(F.col("id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    batch = F.when(F.col("id").isNull(), len(bounds)).otherwise(after).cast("int")
+    lines = stored(_lines(docs, least).withColumn("batch", batch), "lines", "batch")
+    owners = None
+    with LineRuns(spark, fanout) as runs, ordered_scans(spark):
+        for b in range(len(bounds) + 1):
+            first = lines.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("id").alias("owner"))
+            new = runs.unseen(first)
+            own = runs.add(new) if b < len(bounds) else stored(new, "first-lines")
+            owners = own if owners is None else owners.union(own)
+    # every line has one owner now; plain tables on both sides, so that Spark can split a very frequent line
+    return lines.join(owners, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "text_hash", "at")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fanout: int = 2) -> DataFrame:
@@ -110,13 +138,13 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fan
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at
     least ``least`` code points that two documents hold or more lose their lines except in the
     document of the smallest id, where all stay. Null counts as one empty line. Rows of one id are
-    one document; rows without id are the last. n_chars follows the text if it is there. Columns
+    one document; rows without id are one too, the last. n_chars follows the text if it is there. Columns
     named n_lines and n_dropped are replaced.
     """
     lost = dropped_lines(docs, least, batches, fanout).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("at").alias("__gone"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.drop("n_lines", "n_dropped").withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(text)})
-    joined = keyed.join(lost, ["__id", "__hash"], "left")
+    keyed = docs.drop("n_lines", "n_dropped").withColumns({"__own": F.col("doc_id").cast("long"), "__text": F.xxhash64(text)})
+    joined = keyed.join(lost, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
     lines = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
