@@ -1,8 +1,9 @@
 """Benchmark decontamination: word windows of test items found in training documents.
 
-The items' distinct windows are a broadcast hash table (its size is checked; a larger one is joined
-by a shuffle). Each document's windows stream past it within one stage, are compared as text where
-the hash hits, and only hits and one row for each document go on. DataFrame functions only.
+The items' distinct windows are a broadcast hash table (its size is checked). Each document's windows
+stream past it within one stage, are compared as text where the hash hits, and only hits and one row
+for each document go on. Of a larger table a bit map of its hashes is sent instead, and only the few
+windows whose bits are set meet it by a shuffle. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, small_side, stored
 
 WINDOW = 10
 #: Most windows that are broadcast: about 100 MB with their texts.
 BROADCAST_WINDOWS = 500_000
+#: Bits of the map for a larger table: 16 for each window, within these powers of two (at most 16 MB).
+MAP_BITS = (16, 27)
 #: All characters that are not part of a word, once A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -47,9 +50,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     Null and empty texts have no words. Rows are told apart by their place in the input, so repeated
     ids and rows each keep their own result. An empty benchmark leaves everything clean.
     """
-    grams = item_windows(benchmark, window)
+    grams = stored(item_windows(benchmark, window), "item-windows")
     sizes = {r["n"]: r["count"] for r in grams.groupBy("n").count().collect()}  # one row for each length up to ``window``
-    small = sum(sizes.values()) <= BROADCAST_WINDOWS
     kept = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*kept).alias("doc"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     # place 0 stands for the document itself, so that one without hits isn't lost
@@ -59,11 +61,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     keyed = places.select("doc", "row", F.size("w").cast("long").alias("n_words"), "n", "i", cut.alias("cut")).withColumn(
         "hash", F.when(F.col("i") > 0, F.xxhash64("cut"))
     )
-    g = F.broadcast(grams) if small else grams
-    g = g.select(F.col("n").alias("g_n"), F.col("hash").alias("g_hash"), "gram", "items")
-    found = keyed.join(
-        g, (keyed["hash"] == g["g_hash"]) & (keyed["n"] == g["g_n"]) & (F.array_join("cut", " ") == g["gram"]), "left"
-    ).filter((F.col("i") == 0) | F.col("gram").isNotNull())
+    g = grams.select(F.col("n").alias("g_n"), F.col("hash").alias("g_hash"), "gram", "items")
+
+    def met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, (left["hash"] == right["g_hash"]) & (left["n"] == right["g_n"]) & (F.array_join("cut", " ") == right["gram"]), how)
+
+    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+        found = met(keyed, F.broadcast(g), "left").filter((F.col("i") == 0) | F.col("gram").isNotNull())
+    else:
+        bits = min(max((16 * sum(sizes.values())).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+        mapped = stored(_bit_map(grams, bits), "window-bits")
+        own = keyed.filter("i = 0").withColumns({"gram": F.lit(None).cast("string"), "items": F.lit(None).cast("array<string>")})
+        likely = keyed.filter("i > 0").withColumn("map", mapped.scalar())
+        likely = likely.filter(_is_set(F.col("map"), F.col("hash"), bits, 0) & _is_set(F.col("map"), F.col("hash"), bits, 32)).drop("map")
+        found = own.unionByName(met(likely, g, "inner").drop("g_n", "g_hash"))
     span = F.when(F.col("i") > 0, F.struct((F.col("i") - 1).alias("at"), F.col("n").alias("len")))
     return found.groupBy("row").agg(
         F.first("doc").alias("doc"),
@@ -73,6 +84,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def _bit(hash_: Column, bits: int, shift: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hash_, shift), F.lit(1 << bits)).cast("int")
+
+
+def _is_set(map_: Column, hash_: Column, bits: int, shift: int) -> Column:
+    at = _bit(hash_, bits, shift)
+    return F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.get(map_, F.floor(at / 64).cast("int")), at % 64)) == 1
+
+
+def _bit_map(grams: DataFrame, bits: int) -> DataFrame:
+    """One row: ``map``, an array of longs, with the two bits of each window's hash set."""
+    at = grams.select(F.explode(F.array(_bit(F.col("hash"), bits, 0), _bit(F.col("hash"), bits, 32))).alias("at"))
+    set_ = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), F.col("at") % 64)).alias("b"))
+    every = grams.sparkSession.range(max(1, (1 << bits) // 64)).select(F.col("id").cast("int").alias("k")).join(set_, "k", "left").select("k", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda x: x["b"]).alias("map"))
+
+
 def hit_words(spans: Column) -> Column:
     """Places (from 0) of the words inside any span, in order."""
     return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))))
@@ -95,7 +123,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     Rows are held against hits by id and text, so that rows of one id with other texts stay.
     """
     f = find_hits(docs.select("doc_id", "text", F.xxhash64("text").alias("__text")), benchmark, window)
-    bad = f.filter(F.size("spans") > 0).select(F.col("doc.doc_id").alias("__id"), F.col("doc.__text").alias("__hash")).distinct()
+    bad = small_side(stored(f.filter(F.size("spans") > 0).select(F.col("doc.doc_id").alias("__id"), F.col("doc.__text").alias("__hash")).distinct(), "contaminated"))
     same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"])
     return docs.join(bad, same, "left_anti")
 

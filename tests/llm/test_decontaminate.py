@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pixelloom.llm import decontaminate as D
 
 
@@ -57,6 +58,21 @@ def test_large_benchmarks_are_joined_by_a_shuffle(spark, monkeypatch):
     assert rows(D.contamination(docs, items)) == sorted(plain(DOCS, ITEMS), key=repr)
 
 
+@pytest.mark.parametrize("bits", [(16, 27), (6, 6)])
+def test_the_bit_map_lets_all_windows_through(spark, monkeypatch, bits):
+    """Whatever its size: with 64 bits nearly all others pass too, and the texts decide."""
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(D, "MAP_BITS", bits)
+    docs, items = frames(spark)
+    assert rows(D.contamination(docs, items)) == sorted(plain(DOCS, ITEMS), key=repr)
+    grams = D.item_windows(items)
+    n = bits[0]
+    marked = grams.withColumn("map", D._bit_map(grams, n).scalar()).filter(D._is_set(D.F.col("map"), D.F.col("hash"), n, 0) & D._is_set(D.F.col("map"), D.F.col("hash"), n, 32))
+    assert marked.count() == grams.count() > 20
+    others = spark.range(4000).selectExpr("xxhash64(id) AS hash").withColumn("map", D._bit_map(grams, 16).scalar())
+    assert others.filter(D._is_set(D.F.col("map"), D.F.col("hash"), 16, 0)).count() < 40
+
+
 def test_removal(spark):
     docs, items = frames(spark)
     clean = [(d, t) for (d, t), p in zip(DOCS, plain(DOCS, ITEMS), strict=True) if not p[4]]
