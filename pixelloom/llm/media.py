@@ -1,8 +1,9 @@
 """Media columns: bytes as Netpbm or BMP images, decoded to numpy arrays and area-resized.
 
-Images are grey with 8 bits a sample, or RGB. A thumbnail is made by integral images: every target
-cell is the exact area mean of the source, fractions of pixels included. It is written as an NPY
-tile, with a difference hash (each cell against its right neighbour).
+Decoded images are grey with 8 bits a sample, or RGB; samples of another maximum are scaled, of bit
+maps black is 0 and white 255, and opacity is left out. A thumbnail is made by integral images: every
+target cell is the exact area mean of the source, fractions of pixels included. It is written as an
+NPY tile, with a difference hash (each cell against its right neighbour).
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW = 64
-_PNM = re.compile(rb"P([256])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", re.DOTALL)
+_GAP = rb"(?:\s|#[^\n]*\n)+"
+_COMMENT = re.compile(rb"#[^\n]*")
 
 
 def encode_pgm(a: np.ndarray) -> bytes:
@@ -59,15 +61,39 @@ def decode(media: bytes) -> np.ndarray:
         if (colours[:, 0] == colours[:, 1]).all() and (colours[:, 1] == colours[:, 2]).all():
             return colours[:, 0][rows]
         return colours[:, 2::-1][rows]
-    if not (m := _PNM.match(media)):
-        raise ValueError("neither Netpbm nor BMP")
-    kind, w, h, top = m[1], int(m[2]), int(m[3]), int(m[4])
-    if not 0 < top < 256:
-        raise ValueError("more than 8 bits a sample")
-    shape = (h, w, 3) if kind == b"6" else (h, w)
-    if kind == b"2":
-        return np.array(media[m.end() :].split()[: h * w], np.uint8).reshape(shape)
-    return np.frombuffer(media, np.uint8, int(np.prod(shape)), m.end()).reshape(shape)
+    return _netpbm(media)
+
+
+def _netpbm(media: bytes) -> np.ndarray:
+    kind = media[:2]
+    if kind == b"P7":
+        head, end, _ = media.partition(b"ENDHDR\n")
+        fields = dict(line.split(None, 1) for line in head.splitlines()[1:] if line.strip() and line[:1] != b"#")
+        w, h, depth, top = (int(fields[k]) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+        at, shape = len(head) + len(end), (h, w, depth)
+    else:
+        if not (m := re.match(rb"P[1-6]" + (_GAP + rb"(\d+)") * (2 if kind in (b"P1", b"P4") else 3), media)):
+            raise ValueError("neither Netpbm nor BMP")
+        w, h, top = int(m[1]), int(m[2]), int(m[3]) if m.lastindex == 3 else 1
+        at, shape = m.end() + 1, (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
+    if not 0 < top < 65536:
+        raise ValueError(f"a maximum of {top}")
+    n = int(np.prod(shape))
+    if kind == b"P4":
+        stride = (w + 7) // 8
+        a = 1 - np.unpackbits(np.frombuffer(media, np.uint8, h * stride, at).reshape(h, stride), axis=1)[:, :w]
+    elif kind == b"P1":  # bits need no blanks between them
+        bits = np.frombuffer(re.sub(rb"[^01]", b"", _COMMENT.sub(b"", media[at - 1 :])), np.uint8)
+        a = 1 - (bits[:n].reshape(shape) - ord("0"))
+    elif kind in (b"P2", b"P3"):
+        a = np.array(_COMMENT.sub(b"", media[at - 1 :]).split()[:n], np.int64).reshape(shape)
+    else:
+        a = np.frombuffer(media, ">u2" if top > 255 else np.uint8, n, at).reshape(shape)
+    if a.ndim == 3:
+        a = a[:, :, 0] if shape[2] < 3 else a[:, :, :3]
+    if top != 255:
+        a = ((a.astype(np.int64) * 510 + top) // (2 * top)).clip(0, 255)
+    return a.astype(np.uint8, copy=False)
 
 
 def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -97,7 +123,7 @@ def difference_hash(tile: np.ndarray) -> str:
     return np.packbits(tile[:, :-1] < tile[:, 1:]).tobytes().hex()
 
 
-def text_media(docs: DataFrame, fmt: str = "pgm", height: int = 8, width: int = 8) -> DataFrame:
+def text_media(docs: DataFrame, fmt: str = "pgm") -> DataFrame:
     """(doc_id, n_bytes, media): every whole text as one grey image of 64 samples a row.
 
     The UTF-8 bytes are padded with 0 to a positive multiple of 64; null counts as empty; repeated
@@ -120,23 +146,25 @@ def features(media: DataFrame, height: int = 8, width: int = 8, keep_media: bool
 
     payload_bytes, payload_sha256 and tail_crc32 (last 64 samples) tell that storing lost nothing;
     media_bytes and media_sha256 are those of the stored form; ``tile`` is the NPY form of the
-    resized samples, ``feature`` their difference hash. An image that can't be decoded is an error.
+    resized samples, ``feature`` their difference hash. Null media have nulls in all of these; an image
+    that can't be decoded is an error. Columns of these names are replaced.
     """
-    drop = [] if keep_media else ["media"]
-    add = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
-    kept = [f for f in media.schema.fields if f.name not in drop]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), add])
+    names = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "tile": "binary"}
+    kept = media.drop(*names)
+    fields = [f for f in kept.schema.fields if keep_media or f.name != "media"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} {t}" for n, t in names.items())])
+
+    def one(m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * len(names)
+        a = decode(m)
+        payload = a.tobytes()
+        tile = area_resize(a, height, width + 1).astype(np.float32)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), difference_hash(tile), npy(tile)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = []
-            for m in b.media:
-                a = decode(m)
-                payload = a.tobytes()
-                tile = area_resize(a, height, width + 1).astype(np.float32)
-                made.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), difference_hash(tile), npy(tile)))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
-            out = pd.DataFrame(made, columns=names, index=b.index)
-            yield pd.concat([b.drop(columns=drop), out], axis=1)
-
-    return media.mapInPandas(compute, schema)
+            made = pd.DataFrame([one(m) for m in b.media], columns=list(names), index=b.index, dtype=object)
+            yield pd.concat([b[[f.name for f in fields]], made.astype({n: "Int64" for n, t in names.items() if t == "long"})], axis=1)
+
+    return kept.mapInPandas(compute, schema)
