@@ -46,7 +46,7 @@ IMPLIED = {
 }
 #: An end tag doesn't reach out of these.
 WALLS = frozenset("table td th caption button object template".split())
-#: Columns wider than this aren't filled up with blanks, so that layout tables don't blow up.
+#: Lines of a cell are broken between words at this width, so that columns stay aligned and layout tables don't blow up.
 WIDEST = 120
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
@@ -58,6 +58,7 @@ _CSS_MARK = re.compile(r"[{};]")
 _DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
 _UNSEEN = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _ON_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen))?", re.I)
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|\*)?(?:[.#][\w-]+)?", re.I)
 
 
@@ -328,12 +329,31 @@ def _span(x: Node, name: str) -> int:
     return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
 
 
-def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table from rows of (lines, columns, rows) cells, two blanks between columns."""
+def _broken(line: str, widest: int) -> list[str]:
+    """The line in parts of at most ``widest`` characters, broken at single blanks; a longer word stays whole."""
+    parts, rest = [], line
+    while len(rest) > widest:
+        at = max((m.start() for m in _SINGLE.finditer(rest, 0, widest + 2) if m.start() <= widest), default=-1)
+        if at < 0:
+            m = _SINGLE.search(rest, widest)
+            at = m.start() if m else -1
+        if at < 0:
+            break
+        parts.append(rest[:at])
+        rest = rest[at + 1 :]
+    return [*parts, rest]
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]], widest: int) -> list[str]:
+    """Lines of a table from rows of (lines, columns, rows) cells, two blanks between columns.
+
+    A line with a word beyond ``widest`` doesn't count for its column's width and moves what follows in it.
+    """
     placed, taken = [], {}
     for r, row in enumerate(rows):
         c = 0
         for lines, across, down in row:
+            lines = [part for line in lines for part in _broken(line, widest)]
             while taken.get(c, 0) > r:
                 c += 1
             placed.append((r, c, across, lines))
@@ -342,11 +362,10 @@ def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             c += across
     widths: dict[int, int] = {}
     for _, c, across, lines in sorted(placed, key=lambda p: p[2]):
-        need = max(map(len, lines), default=0)
-        if need <= WIDEST:
-            have = sum(widths.get(k, 0) for k in range(c, c + across)) + 2 * (across - 1)
-            last = c + across - 1
-            widths[last] = widths.get(last, 0) + max(0, need - have)
+        need = max((len(line) for line in lines if len(line) <= widest), default=0)
+        have = sum(widths.get(k, 0) for k in range(c, c + across)) + 2 * (across - 1)
+        last = c + across - 1
+        widths[last] = widths.get(last, 0) + max(0, need - have)
     starts, at = {}, 0
     for c in range(max((p[1] + p[2] for p in placed), default=0)):
         starts[c] = at
@@ -366,7 +385,7 @@ def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def render(html: str) -> str:
+def render(html: str, widest: int = WIDEST) -> str:
     """All visible text of a page. Walks the tree with a stack of its own, so depth is no matter."""
     root, sheets = parse(html)
     hiding = _hiding(sheets)
@@ -431,7 +450,7 @@ def render(html: str) -> str:
                 tables[-1].append([])
             tables[-1][-1].append((lines, _span(x, "colspan"), _span(x, "rowspan")))
         elif tag == "table":
-            lines = _table(tables.pop())
+            lines = _table(tables.pop(), widest)
             if lines:
                 flow.block(2)
                 for line in lines:
@@ -453,10 +472,10 @@ def render(html: str) -> str:
     return "\n".join(flows[0].result())
 
 
-def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", text: str = "text", widest: int = WIDEST) -> DataFrame:
     """All rows and other columns of ``pages``, with the visible text in place of the HTML.
 
-    Null and empty pages give an empty text; a column named like the result is replaced; repeated
+    Cells of tables are broken at ``widest`` characters. Null and empty pages give an empty text; a column named like the result is replaced; repeated
     rows each give a row.
     """
     kept = [f for f in pages.schema.fields if f.name not in (html, text)]
@@ -464,6 +483,6 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.drop(columns=html).assign(**{text: [render(h or "") for h in b[html]]})
+            yield b.drop(columns=html).assign(**{text: [render(h or "", widest) for h in b[html]]})
 
     return pages.select(*(f.name for f in kept), F.col(html).alias(html)).mapInPandas(compute, schema)

@@ -119,3 +119,14 @@ def test_style_of_the_element_and_media_of_the_sheet():
     assert render("<style>.a{display:none}</style><p class=a style='display:block'>x") == "x"
     assert render("<style>.a{display:none!important}</style><p class=a style='display:block'>x") == ""
     assert render("<style media=print>.a{display:none}</style><p class=a>x") == "x"
+
+
+def test_wide_cells_are_broken_and_stay_aligned():
+    words = " ".join(f"word{i}" for i in range(200))
+    lines = render(f"<table><tr><td>{words}<td>right</tr><tr><td>a<td>b</table>").split("\n")
+    start = lines[0].index("right")
+    assert start <= 122 and lines[-1].index("b") == start and max(map(len, lines)) < 130
+    assert " ".join(" ".join(x[:start] for x in lines[:-1]).split()) == words
+    narrow = render("<table><tr><td>one two three<td>x</table>", widest=7)
+    assert narrow == "one two  x\nthree"
+    assert render("<table><tr><td>" + "x" * 300 + " tail<td>y<tr><td>a<td>b</table>") == "x" * 300 + "  y\ntail\na" + " " * 5 + "b"
