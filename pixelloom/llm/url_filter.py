@@ -4,7 +4,8 @@ The models are Markov models over a folded URL alphabet, blended from the orders
 Witten-Bell weights (a context that has been seen often and with few successors speaks for itself,
 any other hands on to the shorter one). One model is fitted on URLs that the rules accept, one on
 those they reject, always over every page. The score is the log-likelihood difference per
-character; its threshold is calibrated on the labelled URLs. DataFrame functions only.
+character; its threshold is calibrated on a quarter of the labelled URLs, by models of the others.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -65,19 +66,21 @@ def _cells(symbols: Column) -> Column:
     )
 
 
+def cell_counts(labelled: DataFrame, *by: str) -> DataFrame:
+    """(accepted, by, cell, n): counts over all rows of ``labelled`` (url, accepted), combined before the shuffle, so
+    that at most 2 * SIZE**3 rows for each value of ``by`` leave a task."""
+    cells = labelled.select("accepted", *by, F.explode(_cells(_symbols(F.col("url")))).alias("cell"))
+    return cells.groupBy("accepted", *by, "cell").agg(F.count("*").alias("n"))
+
+
 def train(labelled: DataFrame) -> DataFrame:
-    """One row: ``model``, the log ratio accepted / rejected of every cell.
+    """One row: ``model``, the log ratio accepted / rejected of every cell, from all rows of ``labelled``."""
+    return model_of(cell_counts(labelled))
 
-    ``labelled`` has url and accepted (boolean). Counts cover all of its rows and are combined
-    before the shuffle, so that at most 2 * SIZE**3 rows leave a task. With no rows of a class its
-    model is uniform.
-    """
-    counts = (
-        labelled.select("accepted", F.explode(_cells(_symbols(F.col("url")))).alias("cell"))
-        .groupBy("accepted", "cell")
-        .agg(F.count("*").alias("n"))
-    )
-    grid = labelled.sparkSession.range(2 * SIZE**3, numPartitions=4).select(
+
+def model_of(counts: DataFrame) -> DataFrame:
+    """One row: ``model``. With no counts of a class its model is uniform."""
+    grid = counts.sparkSession.range(2 * SIZE**3, numPartitions=4).select(
         (F.col("id") >= SIZE**3).alias("accepted"), (F.col("id") % SIZE**3).cast("int").alias("cell")
     )
     t = grid.join(counts, ["accepted", "cell"], "left").select(
@@ -154,10 +157,11 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     parts = with_parts(pages.drop("host", "path", "rule", "verdict", "score"), url)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "__verdict": verdict})
-    labelled = ruled.filter("__verdict IS NOT NULL").select(
-        F.col(url).alias("url"), (F.col("__verdict") == "allow").alias("accepted")
-    )
-    model = stored(train(labelled), "url-model")
-    threshold = stored(calibrate(with_score(labelled, model)), "url-threshold")
+    held = (F.pmod(F.xxhash64(F.lit("held out"), F.col(url)), F.lit(4)) == 0).alias("held")
+    labelled = ruled.filter("__verdict IS NOT NULL").select(F.col(url).alias("url"), (F.col("__verdict") == "allow").alias("accepted"), held)
+    counts = stored(cell_counts(labelled, "held"), "url-counts")
+    model = stored(model_of(counts.groupBy("accepted", "cell").agg(F.sum("n").alias("n"))), "url-model")
+    others = stored(model_of(counts.filter("NOT held").drop("held")), "url-model")
+    threshold = stored(calibrate(with_score(labelled.filter("held"), others)), "url-threshold")
     by_score = F.when(F.col("score") >= threshold.scalar(), "allow").otherwise("block")
     return with_score(ruled, model, url).withColumn("verdict", F.coalesce("__verdict", by_score)).drop("__verdict")
