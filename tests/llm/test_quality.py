@@ -21,19 +21,44 @@ def test_fixed_cases(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(80)) and not {r.doc_id for r in kept.collect()} & set(range(100, 130))
 
 
+def plain_features(text):
+    """The counts by dictionaries and plain integers."""
+    raw = f" {text} ".encode()
+    cls = [ord("a") if b >= 128 or 97 <= b <= 122 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in raw]
+    out = np.zeros(Q.WIDTH)
+    for i in range(len(raw) - 2):
+        out[((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 21] += 1
+    for i in range(len(cls) - 3):
+        out[Q.HALF + (((cls[i] << 24 ^ cls[i + 1] << 16 ^ cls[i + 2] << 8 ^ cls[i + 3]) * 2654435761 & 0xFFFFFFFF) >> 21)] += 1
+    out[:-1] = np.log1p(out[:-1])
+    w = text.split()
+    out[-1] = 1.5 * sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(1, len(w) - 1) * np.linalg.norm(out[:-1])
+    return out
+
+
+def test_features_against_plain_python():
+    for t in ["", "a", "ab", "The river the river runs 12 miles", "Äpfel und Öl\n\t!!", "x" * 3000, "word word " * 50]:
+        assert np.allclose(Q.features(t), plain_features(t), rtol=1e-5, atol=1e-5), t
+
+
 def test_blocked_products_are_exact():
-    texts = [f"{w} {i} {w * (i % 7)}" for i in range(120) for w in ("alpha", "beta!!", "x y z")]
+    """Each row's votes against products and a full sort in double precision; rows with a tie at the rim are told and left out."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij!0 "), 6)) for _ in range(int(n))) for n in rng.integers(3, 40, 300)]
     x = np.stack([Q.features(t) for t in texts])
     labels = (np.arange(len(x)) % 3 == 0).astype(np.float32)
     model = Q.Model(np.ones(Q.WIDTH, np.float32), Q._basis(x, 16), np.zeros((0, 1)), labels, np.ones(len(x), np.float32), 0.5)
     model.neighbours = model.vectors(x)
-    fast = model.scores(x)
-    v = model.vectors(x)
-    for i in range(0, len(x), 37):
-        c = np.array([float(a @ v[i]) for a in v])
-        near = np.argsort(-c, kind="stable")[: Q.NEIGHBOURS]
-        w = np.maximum(c[near], 0) ** 8
-        assert abs(fast[i] - (w * labels[near]).sum() / w.sum()) < 0.05  # ties at the rim may differ
+    fast, v, compared = model.scores(x), model.vectors(x).astype(np.float64), 0
+    for i in range(len(x)):
+        c = v @ v[i]
+        order = np.argsort(-c, kind="stable")
+        if c[order[Q.NEIGHBOURS - 1]] - c[order[Q.NEIGHBOURS]] > 1e-6:
+            near = order[: Q.NEIGHBOURS]
+            w = np.maximum(c[near], 0) ** 8
+            assert abs(fast[i] - (w * labels[near]).sum() / w.sum()) < 1e-4
+            compared += 1
+    assert compared > 280
 
 
 def test_held_out_accuracy(spark):
