@@ -1,5 +1,6 @@
 import html as H
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pytest
@@ -130,3 +131,51 @@ def test_wide_cells_are_broken_and_stay_aligned():
     narrow = render("<table><tr><td>one two three<td>x</table>", widest=7)
     assert narrow == "one two  x\nthree"
     assert render("<table><tr><td>" + "x" * 300 + " tail<td>y<tr><td>a<td>b</table>") == "x" * 300 + "  y\ntail\na" + " " * 5 + "b"
+
+
+def plain_text(html):
+    """A walk over the tags of pages without tables: marks of lists, line breaks, and what stands apart."""
+    body = re.sub(r"(?is)<!--.*?-->|<head\b.*?</head>|<(script|style)\b.*?</\1>|<!doctype[^>]*>", "", html)
+    lines, line, breaks, mark = [], "", 0, ""
+
+    def open_line():
+        nonlocal breaks, mark, line
+        if lines and breaks > 1:
+            lines.append("")
+        breaks, line, mark = 0, mark or ("  " if inside else ""), ""
+
+    inside = paragraph = False  # a paragraph ends with the next block at the latest
+    for part in re.findall(r"<[^>]*>|[^<]+", body):
+        tag = re.match(r"</?([a-z0-9]+)", part.lower())
+        if not tag:
+            words = unescape(part)
+            if words.split():
+                if not line:
+                    open_line()
+                elif words[0].isspace() and not line.endswith(" "):
+                    line += " "
+                line += " ".join(words.split()) + (" " if words[-1].isspace() else "")
+            elif line and not line.endswith(" "):
+                line += " "
+        elif tag[1] == "br":
+            if not line:
+                open_line()
+            lines.append(line.rstrip())
+            line = ""
+        elif tag[1] not in ("a", "b"):
+            if line:
+                lines.append(line.rstrip())
+                line = ""
+            breaks = max(breaks, 2 if tag[1] in ("p", "h1", "ul") or paragraph else 1)
+            paragraph = part.lower().startswith("<p")
+            if tag[1] == "li":
+                inside = part[1] != "/"
+                mark = "- " if inside else ""
+    return "\n".join([*lines, line.rstrip()]).strip("\n")
+
+
+def test_table_of_pages_against_a_plain_walk(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    rows = pages.select("page_id", "html").collect()
+    assert len(rows) > 100 and all(got[r.page_id] == plain_text(r.html) for r in rows)
