@@ -132,24 +132,26 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, f
     return lines.join(owners, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "text_hash", "at")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fanout: int = 2) -> DataFrame:
-    """All documents with ``text`` cut to the lines that stay, and n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fanout: int = 2, counts: bool = True) -> DataFrame:
+    """All documents with ``text`` cut to the lines that stay, and with ``counts`` n_lines, n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at
     least ``least`` code points that two documents hold or more lose their lines except in the
     document of the smallest id, where all stay. Null counts as one empty line. Rows of one id are
     one document; rows without id are one too, the last. n_chars follows the text if it is there. Columns
-    named n_lines and n_dropped are replaced.
+    named n_lines and n_dropped are replaced by the counts.
     """
     lost = dropped_lines(docs, least, batches, fanout).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("at").alias("__gone"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.drop("n_lines", "n_dropped").withColumns({"__own": F.col("doc_id").cast("long"), "__text": F.xxhash64(text)})
+    keyed = (docs.drop("n_lines", "n_dropped") if counts else docs).withColumns({"__own": F.col("doc_id").cast("long"), "__text": F.xxhash64(text)})
     joined = keyed.join(lost, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
     lines = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": kept})
+    new = {"text": kept}
+    if counts:
+        new |= {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    out = joined.withColumns(new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*names, "n_lines", "n_dropped")
+    return out.select(*[c for c in docs.columns if c not in new or c == "text"], *[c for c in new if c != "text"])

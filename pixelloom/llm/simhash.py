@@ -34,7 +34,7 @@ PREFIX_PART = 8192
 #: Planes between two looks at whether a block can be abandoned.
 LOOK = 8
 #: Documents of which frequent shingles are counted, and how many of these are sent to all workers.
-SAMPLE, FREQUENT = 20_000, 100_000
+SAMPLE, FREQUENT = 5000, 100_000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 4
 #: Most entries of a worker's table of word hashes.
@@ -272,14 +272,23 @@ def _whole_cells(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterato
         yield rest
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down to a node that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("n"), F.min("e.up").alias("low"))
+    return nodes.filter((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("low") == 0))).isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each one with an edge reaches.
+    """(node, root): the least node that each one with an edge reaches; roots aren't listed.
 
-    Alternating large-star and small-star rounds, each stored, until nothing changes; minima are
+    Alternating large-star and small-star rounds, each stored, until all edges lead to roots; minima are
     combined before the shuffle, and no node's neighbours are gathered.
     """
     edges = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
+        if _are_stars(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # large star: neighbours above a node are tied to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
@@ -288,14 +297,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = stored(large.distinct(), "large-star")
         least = stored(low.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = low.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        new = stored(small.select("e.a", "e.b").filter("a != b").distinct(), "edges")
-        done = new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty()
-        edges = new
-        if done:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = stored(small.select("e.a", "e.b").filter("a != b").distinct(), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def joined_components(tree: DataFrame, more: DataFrame) -> DataFrame:
+    """``tree`` (node, root) with further links (a, b): only the roots of their ends are joined anew."""
+    ends = more
+    for c in ("a", "b"):
+        ends = ends.join(tree.select(F.col("node").alias(c), F.col("root").alias("r")), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
+    new = components(ends.select("a", "b"))
+    moved = tree.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return stored(moved.select("node", F.coalesce("to", "root").alias("root")).union(new), "tree")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every document row.
 
@@ -362,9 +377,21 @@ def _prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, simila
 
 
 def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of hashes by their low bits: two sets differ in at least as many hashes as bits."""
-    odd = np.bincount(hashes & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parities of the numbers of hashes by their low bits, about as many as hashes (a power of two, 64 * SKETCH at least):
+    two sets differ in at least as many hashes as bits."""
+    bits = max(64 * SKETCH, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount(hashes & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _folded(sketch: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """The sketch of fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def _difference(a: np.ndarray, b: np.ndarray) -> int:
+    words = min(len(a), len(b))
+    return int(np.bitwise_count((_folded(a, words) ^ _folded(b, words)).view(np.uint64)).sum())
 
 
 def _may_be_alike(x: dict[str, np.ndarray], similarity: float, nearest: bool = False) -> pd.DataFrame:
@@ -419,19 +446,30 @@ def prefix_cells(nodes: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(cells: DataFrame, nodes: DataFrame, similarity: float, nearest: bool = False, part: int = PREFIX_PART) -> DataFrame:
-    """(a, b, d): all pairs of different labels that may have the similarity (``nodes``: node, label, size, sketch), or with
+    """(a, b, d): all pairs of different labels that may have the similarity (``nodes``: node, label, size, short), or with
     ``nearest`` those that are nearest to one of their ends within a cell.
 
     A cell is a hash. Of more than ``part`` nodes, those of the label that most have need not meet each other: they
     and the others are dealt into parts by hash, and each part of them meets each of the others, which meet among
     themselves. So a large group of one label goes out once for each part of the others, not of its own.
     """
-    sketches = (F.get("sketch", F.lit(n)).alias(f"k{n}") for n in range(SKETCH))
+    sketches = (F.get("short", F.lit(n)).alias(f"k{n}") for n in range(SKETCH))
     own = ["node", "label", "size", "place", *(f"k{n}" for n in range(SKETCH))]
     labelled = cells.join(nodes.select("node", "label", "size", *sketches), "node").select("hash", *own)
     sizes = labelled.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    sized = stored(labelled.join(stored(sizes.select("hash", "n"), "cell-sizes"), "hash"), "labelled-cells")
+    sizes = stored(sizes.select("hash", "n"), "cell-sizes")
+    sized = stored(labelled.join(sizes, "hash"), "labelled-cells")
     small = sized.filter(F.col("n") <= part).select(F.col("hash").alias("cell"), *own, F.lit(0).cast("long").alias("side"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in _whole_cells(batches, ["cell", *own, "side"]):
+            yield _may_be_alike(x, similarity, nearest)
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long, d long").distinct()
+
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= part:
+        return compared(small)
     large = sized.filter(F.col("n") > part)
     most = large.groupBy("hash", "label").agg(F.count("*").alias("m")).groupBy("hash").agg(F.max(F.struct("m", "label")).alias("most"))
     split = large.join(stored(most, "large-cells"), "hash")
@@ -449,13 +487,7 @@ def prefix_pairs(cells: DataFrame, nodes: DataFrame, similarity: float, nearest:
     )
     dealt = split.select("hash", *own, F.explode(F.when(F.col("top"), tops).otherwise(others)).alias("s"))
     dealt = dealt.select(F.xxhash64("hash", "s.kind", "s.low", "s.high").alias("cell"), *own, "s.side")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in _whole_cells(batches, ["cell", *own, "side"]):
-            yield _may_be_alike(x, similarity, nearest)
-
-    found = small.union(dealt).repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(compare, "a long, b long, d long")
-    return found.distinct()
+    return compared(small.union(dealt))
 
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -486,7 +518,8 @@ def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle:
             yield pd.DataFrame({
                 "doc_id": b.doc_id, "h1": b.h1, "h2": b.h2, "node": [_name(w, SEED) for w in texts], "twin": [_name(w, SEED + 1) for w in texts],
                 "fp": np.array([_majority(_shingles(w, shingle)) for w in texts], np.uint64).view(np.int64),
-                "size": [len(s) for s in sets], "sketch": [_sketch(s) for s in sets], "prefix": [_prefix(s, frequent, counts, similarity) for s in sets],
+                "size": [len(s) for s in sets], "sketch": (sketches := [_sketch(s) for s in sets]), "short": list(map(_folded, sketches)),
+                "prefix": [_prefix(s, frequent, counts, similarity) for s in sets],
             })
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -497,12 +530,19 @@ def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle:
             yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
 
     hashed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
-    placed = stored(hashed.mapInPandas(keys, "doc_id long, h1 long, h2 long, node long, twin long, fp long, size long, sketch array<long>, prefix array<long>"), "document-keys")
+    placed = stored(hashed.mapInPandas(keys, "doc_id long, h1 long, h2 long, node long, twin long, fp long, size long, sketch array<long>, short array<long>, prefix array<long>"), "document-keys")
     # a row with an id, if there is one, stands for all of equal texts; another text of the same hash (its twin differs) stands alone
     row = F.min(F.struct("twin", F.col("doc_id").isNull().alias("none"), "doc_id", "h1")).alias("row")
-    firsts = (F.min_by(c, "twin").alias(c) for c in ("fp", "size", "sketch", "prefix"))
+    firsts = (F.min_by(c, "twin").alias(c) for c in ("fp", "size", "sketch", "short", "prefix"))
     nodes = stored(placed.groupBy("node").agg(row, *firsts), "nodes")
 
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            both = x.na + x.nb
+            room = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9)
+            near = [_difference(a, b) <= r for a, b, r in zip(x.ka, x.kb, room, strict=True)]
+            yield x.loc[near, ["a", "b"]]
+
     def shingle_sets(ends: DataFrame) -> DataFrame:
         """(node, s) of the nodes."""
         wanted = ends.join(nodes, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.h1").alias("hash"))
@@ -511,16 +551,19 @@ def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle:
         return stored(found.groupBy("node").agg(F.first("s").alias("s")), "shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those of the similarity: their long sketches leave few others, and these are compared by their sets."""
+        for c in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")), c)
+        pairs = stored(pairs.mapInPandas(likely, "a long, b long"), "likely")
         sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return stored(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "alike")
 
-    standing = alike(stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"))
-    tree = components(standing)
+    tree = components(alike(stored(links(nodes, radius, blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")))
 
     def labelled() -> DataFrame:
-        return nodes.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "sketch", "prefix")
+        return nodes.join(tree, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "short", "prefix")
 
     cells = prefix_cells(labelled())
     # the nearest pairs first, as long as they join much; then all pairs that are still of different labels
@@ -535,8 +578,7 @@ def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle:
         more = alike(pairs)
         tried, good = pairs.count(), more.count()
         if good:
-            standing = standing.union(more)
-            tree = components(standing)
+            tree = joined_components(tree, more)
         if not nearest or not tried:
             break
         nearest = good >= 0.1 * tried

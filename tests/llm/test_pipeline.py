@@ -54,3 +54,22 @@ def test_stages_against_plain_versions(spark):
 
 def test_run(spark):
     assert C.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+CLASHES = {"score": "double", "n_lines": "int", "n_dropped": "string", "node": "int", "label": "int", "row": "int", "w": "string", "h1": "int", "fp": "int", "hash": "int", "size": "int", "component_id": "int", "items": "int", "start": "int", "length": "int", "rank": "int"}
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").limit(12).select("text").collect()]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(None, prose[0]), (None, None), (3, prose[3]), (50, ""), (51, None), (52, prose[4] + " more"), (None, "a text of its own, without an id")]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{k} {v}" for k, v in CLASHES.items())
+    more = [str(k) if v == "string" else float(k) if v == "double" else k for k, v in enumerate(CLASHES.values())]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), *more) for i, t in rows], kinds)
+    for part in (docs, docs.limit(0)):
+        for name, stage in C.STAGES[:-1]:
+            before, part = part.count(), C.stored(stage(spark, part, "/root/testdata/sf0.001"), name)
+            assert part.columns == names and part.count() <= before
+            got = part.select(*CLASHES).distinct().collect()
+            assert len(got) <= 1 and all(list(r) == more for r in got), name
+        assert C.STAGES[-1][1](spark, part, "/root/testdata/sf0.001").columns[0] == "doc_id"

@@ -149,8 +149,8 @@ def test_prefix_pairs(spark, part):
     base = rng.integers(-(2**62), 2**62, 40)
     sets = [np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.integers(-(2**62), 2**62, 4)))) for _ in range(150)]
     label = [0 if i < 90 else i // 2 * 2 for i in range(len(sets))]
-    rows = [(i, x, len(t), S._sketch(t).tolist(), S._prefix(t, np.zeros(0, np.int64), np.zeros(0, np.int64), 0.7).tolist()) for i, (x, t) in enumerate(zip(label, sets, strict=True))]
-    nodes = spark.createDataFrame(rows, "node long, label long, size long, sketch array<long>, prefix array<long>")
+    rows = [(i, x, len(t), S._folded(S._sketch(t)).tolist(), S._prefix(t, np.zeros(0, np.int64), np.zeros(0, np.int64), 0.7).tolist()) for i, (x, t) in enumerate(zip(label, sets, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, label long, size long, short array<long>, prefix array<long>")
     cells = S.prefix_cells(nodes)
     got = [(r.a, r.b) for r in S.prefix_pairs(cells, nodes, 0.7, part=part).collect()]
     alike = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and len({*sets[i]} & {*sets[j]}) >= 0.7 * len({*sets[i]} | {*sets[j]})}
@@ -159,6 +159,15 @@ def test_prefix_pairs(spark, part):
     assert 0 < len(some) < len(got) and {*some} <= {*got} and {x for p in alike for x in p} <= {x for p in some for x in p}
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n, m, common in ((0, 0, 0), (1, 1, 1), (300, 280, 250), (5000, 200, 100), (4000, 4000, 0), (4096, 4097, 4000)):
+        all_ = rng.integers(-(2**62), 2**62, n + m - common)
+        a, b = np.unique(all_[:n]), np.unique(all_[n - common :])
+        assert S._difference(S._sketch(a), S._sketch(b)) <= len(np.setxor1d(a, b)) and (S._folded(S._sketch(a)) == S._folded(S._folded(S._sketch(a), min(8, len(S._sketch(a)))))).all()
+    assert S._difference(S._sketch(a[:2000]), S._sketch(b[2000:4000])) > 0.222 * 2000 * 1.1  # enough to tell unrelated sets
+
+
 @pytest.mark.parametrize("n,blocks", [(0, 6), (10**6, 6), (10**9, 6), (5 * 10**9, 7), (10**12, 8)])
 def test_number_of_blocks(n, blocks):
     assert S.blocks_for(n) == blocks
@@ -168,6 +177,10 @@ def test_long_chain(spark):
     edges = spark.range(1, 300).selectExpr("id AS a", "id - 1 AS b")
     got = S.components(edges).collect()
     assert len(got) == 299 and {r.root for r in got} == {0}
+    pairs = spark.range(0, 40, 2).selectExpr("id AS a", "id + 1 AS b")
+    tree = S.joined_components(S.components(pairs), spark.createDataFrame([(1, 7), (6, 13), (30, 35), (100, 30), (100, 101)], "a long, b long"))
+    want = groups([(i, i + 1) for i in range(0, 40, 2)] + [(1, 7), (6, 13), (30, 35), (100, 30), (100, 101)], [*range(40), 100, 101])
+    assert sorted((r.node, r.root) for r in tree.collect()) == sorted((x, g[0]) for g in want for x in g[1:])
 
 
 def test_documents(spark):
