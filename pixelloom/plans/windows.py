@@ -49,7 +49,7 @@ def anchored_clusters(spark, d):
     "WITH RECURSIVE" + sql(
         """, o AS (SELECT image_id, peak_id, x, y, row_number() OVER (PARTITION BY image_id ORDER BY peak_id) AS n FROM peaks),
         walk AS (SELECT image_id, n, [{'id': peak_id, 'x': x, 'y': y}] AS kept FROM o WHERE n = 1
-          UNION ALL SELECT o.image_id, o.n, CASE WHEN len(list_filter(w.kept, k -> abs(k.x - o.x) < 4 AND abs(k.y - o.y) < 4)) = 0 THEN list_append(w.kept, {'id': o.peak_id, 'x': o.x, 'y': o.y}) ELSE w.kept END
+          UNION ALL SELECT o.image_id, o.n, CASE WHEN len(list_filter(w.kept, lambda k: abs(k.x - o.x) < 4 AND abs(k.y - o.y) < 4)) = 0 THEN list_append(w.kept, {'id': o.peak_id, 'x': o.x, 'y': o.y}) ELSE w.kept END
           FROM walk w JOIN o ON o.image_id = w.image_id AND o.n = w.n + 1),
         last AS (SELECT image_id, arg_max(kept, n) AS kept FROM walk GROUP BY image_id)
       SELECT image_id, k.id AS peak_id FROM (SELECT image_id, unnest(kept) AS k FROM last) t""", "peaks").removeprefix("WITH"),
