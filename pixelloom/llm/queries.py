@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, media, packing, quality, secrets, simhash, token_count, url_filter
-from .common import table
+from . import decontaminate, html_text, lexical_search, line_dedup, media, packing, periodic_runs, quality, secrets, sentence_pieces, simhash, token_count, url_filter
+from .common import BLANKS, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where each tenth document, by a hash of its id, goes on from some word with a period of some words."""
+    trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))
+    words = F.split(trimmed, r"[\x20\x09-\x0D]+")
+    n = F.size(words)
+    g = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.concat(F.slice(words, 1, a), F.slice(again, F.lit(1), n - a)), " ")
+    chosen = (F.crc32(F.col("doc_id").cast("string")) % 10 == 0) & (trimmed != "")
+    return docs.select("doc_id", F.when(chosen, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -76,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,5 +163,24 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(word.n_hit,
   CAST(coalesce(held.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(held.items, '')) AS items_sha256,
   word.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN word ON d.r = word.r LEFT JOIN held ON d.r = held.r
+""",
+    "op13_lexical_search": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d
+), held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) t GROUP BY r, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * c.docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM held, c GROUP BY term, c.docs
+), scored AS (
+  SELECT q.item_id, held.r, d.doc_id, CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * c.docs) // c.terms)))) AS BIGINT) AS score
+  FROM q JOIN held ON q.term = held.term JOIN weight ON q.term = weight.term JOIN d ON held.r = d.r, c GROUP BY q.item_id, held.r, d.doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) t WHERE rank <= 50
 """,
 }

@@ -27,14 +27,14 @@ SAMPLE, FREQUENT = 4000, 100_000
 
 
 @lru_cache(maxsize=2)
-def _library(path: str):
+def library(path: str):
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _check(path: str) -> None:
-    lib = _library(path)
+def check_vocabulary(path: str) -> None:
+    lib = library(path)
     pieces = [lib.id_to_piece(i) for i in range(lib.vocab_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
     if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
         raise ValueError("pieces of this vocabulary run across words; pre-tokens can't be counted one by one")
@@ -45,25 +45,25 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE, most: int
 
     Only the sample's pre-tokens are counted in Spark, so what is shuffled and sent here is bounded by it.
     """
-    _check(path)
+    check_vocabulary(path)
     share = max(1, docs.count() // sample)
     picked = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(share)) == 0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = Counter(u for t in b.text for u in _units(t) if len(u) <= LONGEST)
+            found = Counter(u for t in b.text for u in marked_words(t) if len(u) <= LONGEST)
             yield pd.DataFrame({"unit": list(found.keys()), "n": list(found.values())})
 
     counts = picked.mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter("n > 1")
     units = [r["unit"] for r in counts.orderBy(F.desc("n"), "unit").limit(most).collect()]
-    return {u: _length(_library(path), u) for u in units}
+    return {u: _length(library(path), u) for u in units}
 
 
 #: Pre-tokens of a text with a blank before it: a run of blanks with the word after it, or a line feed with the word after it.
 _UNITS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
-def _units(text: str) -> list[str]:
+def marked_words(text: str) -> list[str]:
     """Pre-tokens: a word without the one blank before it (further blanks stay), or "\n" and the first word of a line."""
     if not text:
         return []
@@ -85,7 +85,7 @@ class _Lengths(dict):
 
     def __init__(self, path: str, frequent: dict[str, int]):
         super().__init__(frequent)
-        self.library, self.base = _library(path), frequent
+        self.library, self.base = library(path), frequent
 
     def __missing__(self, key: str) -> int:
         n = _length(self.library, key)
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lengths = _Lengths(model_path, frequent.value)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_bytes": b.n_bytes, "n_tokens": [sum(map(lengths.__getitem__, _units(t))) for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "n_bytes": b.n_bytes, "n_tokens": [sum(map(lengths.__getitem__, marked_words(t))) for t in b.text]})
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
@@ -124,7 +124,7 @@ def lookups(docs: DataFrame, model_path: str) -> DataFrame:
         lengths = _Lengths(model_path, frequent.value)
         for b in batches:
             n = Counter()
-            for u in (u for t in b.text for u in _units(t or "")):
+            for u in (u for t in b.text for u in marked_words(t or "")):
                 n["first" if u in lengths.base else "second" if u in lengths else "library"] += 1
                 lengths[u]
             yield pd.DataFrame({"units": [sum(n.values())], **{k: [n[k]] for k in ("first", "second", "library")}})
