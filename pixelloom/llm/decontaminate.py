@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_side, stored
+from .common import ascii_lower, free_name, small_side, stored
 
 WINDOW = 10
 #: Most windows that are broadcast: about 100 MB with their texts.
@@ -58,23 +58,21 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     places = rows.select("doc", "row", "w", F.explode(F.array(*map(F.lit, sorted(sizes) or [window]))).alias("n"))
     places = places.select("doc", "row", "w", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - F.col("n") + 1, F.lit(0)))).alias("i"))
     cut = F.slice("w", F.greatest(F.col("i"), F.lit(1)), F.col("n"))
+    # place 0 has a hash that deals it out like any other, but meets nothing
     keyed = places.select("doc", "row", F.size("w").cast("long").alias("n_words"), "n", "i", cut.alias("cut")).withColumn(
-        "hash", F.when(F.col("i") > 0, F.xxhash64("cut"))
+        "hash", F.when(F.col("i") > 0, F.xxhash64("cut")).otherwise(F.xxhash64("row"))
     )
     g = grams.select(F.col("n").alias("g_n"), F.col("hash").alias("g_hash"), "gram", "items")
 
-    def met(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(right, (left["hash"] == right["g_hash"]) & (left["n"] == right["g_n"]) & (F.array_join("cut", " ") == right["gram"]), how)
-
     if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        found = met(keyed, F.broadcast(g), "left").filter((F.col("i") == 0) | F.col("gram").isNotNull())
+        g = F.broadcast(g)
     else:
         bits = min(max((16 * sum(sizes.values())).bit_length(), MAP_BITS[0]), MAP_BITS[1])
         mapped = stored(_bit_map(grams, bits), "window-bits")
-        own = keyed.filter("i = 0").withColumns({"gram": F.lit(None).cast("string"), "items": F.lit(None).cast("array<string>")})
-        likely = keyed.filter("i > 0").withColumn("map", mapped.scalar())
-        likely = likely.filter(_is_set(F.col("map"), F.col("hash"), bits, 0) & _is_set(F.col("map"), F.col("hash"), bits, 32)).drop("map")
-        found = own.unionByName(met(likely, g, "inner").drop("g_n", "g_hash"))
+        keyed = keyed.withColumn("map", mapped.scalar())
+        keyed = keyed.filter((F.col("i") == 0) | _is_set(F.col("map"), F.col("hash"), bits, 0) & _is_set(F.col("map"), F.col("hash"), bits, 32)).drop("map")
+    same = (keyed["hash"] == g["g_hash"]) & (keyed["n"] == g["g_n"]) & (F.col("i") > 0) & (F.array_join("cut", " ") == g["gram"])
+    found = keyed.join(g, same, "left").filter((F.col("i") == 0) | F.col("gram").isNotNull())
     span = F.when(F.col("i") > 0, F.struct((F.col("i") - 1).alias("at"), F.col("n").alias("len")))
     return found.groupBy("row").agg(
         F.first("doc").alias("doc"),
@@ -134,18 +132,19 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     Texts without hits, null ones too, stay as they are; n_chars follows the text if it is there.
     """
     f = find_hits(docs.select("doc_id", "text", F.xxhash64("text").alias("__text")), benchmark, window)
+    id_, hash_, hit = (free_name(docs, n) for n in ("id_of", "hash_of", "hit"))
     bad = f.filter(F.size("spans") > 0).select(
-        F.col("doc.doc_id").alias("__id"), F.col("doc.__text").alias("__hash"), hit_words(F.col("spans")).alias("__hit")
-    ).dropDuplicates(["__id", "__hash"])
-    same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"])
+        F.col("doc.doc_id").alias(id_), F.col("doc.__text").alias(hash_), hit_words(F.col("spans")).alias(hit)
+    ).dropDuplicates([id_, hash_])
+    same = docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"]) == bad[hash_])
     joined = docs.join(bad, same, "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     parts = F.regexp_extract_all(F.col("text"), F.lit(f"(?s)({word})([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"), F.lit(0))
     lead = F.regexp_extract("text", r"(?s)^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__hit"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(hit))
     rest = F.concat(lead, F.array_join(F.transform(left, lambda i: F.get(parts, i)), ""))
-    text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(rest)
+    text = F.when(F.col(hit).isNull(), F.col("text")).otherwise(rest)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hit").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(hit).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -48,6 +48,8 @@ IMPLIED = {
 WALLS = frozenset("table td th caption button object template".split())
 #: Lines of a cell are broken between words at this width, so that columns stay aligned and layout tables don't blow up.
 WIDEST = 120
+#: Most columns and rows that a cell may span (fixed by the HTML standard).
+MOST_SPANNED = {"colspan": 1000, "rowspan": 65534}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
@@ -326,7 +328,7 @@ class _Flow:
 
 def _span(x: Node, name: str) -> int:
     value = x.attributes.get(name, "1").strip()
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
+    return min(max(int(value), 1), MOST_SPANNED[name]) if value.isascii() and value.isdigit() else 1
 
 
 def _broken(line: str, widest: int) -> list[str]:

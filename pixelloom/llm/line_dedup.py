@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, shared_dir, stored
+from .common import BLANKS, ascii_lower, free_name, shared_dir, stored
 
 LEAST = 10
 BATCHES = 4
@@ -141,16 +141,18 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, batches: int = BATCHES, fan
     one document; rows without id are one too, the last. n_chars follows the text if it is there. Columns
     named n_lines and n_dropped are replaced by the counts.
     """
-    lost = dropped_lines(docs, least, batches, fanout).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("at").alias("__gone"))
+    lost = dropped_lines(docs, least, batches, fanout)
+    own, whole, id_, hash_, gone = (free_name(docs, n) for n in ("own_id", "own_hash", "id_of", "hash_of", "gone"))
+    lost = lost.groupBy(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set("at").alias(gone))
     text = F.coalesce("text", F.lit(""))
-    keyed = (docs.drop("n_lines", "n_dropped") if counts else docs).withColumns({"__own": F.col("doc_id").cast("long"), "__text": F.xxhash64(text)})
-    joined = keyed.join(lost, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
+    keyed = (docs.drop("n_lines", "n_dropped") if counts else docs).withColumns({own: F.col("doc_id").cast("long"), whole: F.xxhash64(text)})
+    joined = keyed.join(lost, F.col(own).eqNullSafe(F.col(id_)) & (F.col(whole) == F.col(hash_)), "left")
     lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     new = {"text": kept}
     if counts:
-        new |= {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+        new |= {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     out = joined.withColumns(new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name, stored
+
 HALF = 2048
 #: The hashed features, and last the share of words that repeat the one before.
 WIDTH = 2 * HALF + 1
@@ -106,20 +108,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     """Model from at most ``sample`` labelled rows that aren't held out.
 
     They are those with the least hash of the id within each label, half of either label where there
-    are enough. Only their features, as half floats, come to the driver. Without labelled rows all scores are 0.5.
+    are enough; then, as an id may have several rows, those with the least hash of id and text. Equal rows
+    count once. Only their features, as half floats, come to the driver. Without labelled rows all scores are 0.5.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for q in (0, 1)]
-    picked = F.broadcast(chosen[0].union(chosen[1]).select(F.col("doc_id").alias("__id"), "quality"))
+    labelled = chosen[0].union(chosen[1]).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    distinct = stored(keyed.select("doc_id", "key").join(F.broadcast(labelled), F.col("doc_id") == F.col("id")).select("id", "label", "key").distinct(), "labelled-texts")
+    rows_of = [distinct.filter(F.col("label") == q).orderBy("key", "id").limit(sample // 2) for q in (0, 1)]
+    picked = F.broadcast(rows_of[0].union(rows_of[1]).select("id", "label", F.col("key").alias("id_key")))
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"quality": b.quality, "doc_id": b.doc_id, "f": [features(t).astype(np.float16).tobytes() for t in b.text]})
+            yield pd.DataFrame({"quality": b.label, "key": b.key, "f": [features(t).astype(np.float16).tobytes() for t in b.text]})
 
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    joined = found.join(picked, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text")
-    rows = joined.mapInPandas(compute, "quality int, doc_id long, f binary").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample).toPandas()
+    joined = keyed.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("id_key"))).groupBy("label", "key").agg(F.first("text").alias("text"))
+    rows = joined.mapInPandas(compute, "quality int, key long, f binary").orderBy("key", "quality").toPandas()
     label = rows.quality.to_numpy(np.float32)
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
@@ -159,4 +166,5 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score ``threshold`` or more, all columns as they were."""
-    return score(docs, fit(docs, labels), "__score").filter(F.col("__score") >= threshold).drop("__score")
+    name = free_name(docs, "score")
+    return score(docs, fit(docs, labels), name).filter(F.col(name) >= threshold).drop(name)

@@ -35,6 +35,8 @@ CODES = 128
 RECUR = 3
 #: Share of held-out random samples that may fall below the threshold, and of ordinary ones at or above it.
 MISSED, FALSE = 0.02, 0.001
+#: Matches whose places are added up in one list.
+CHUNK = 128
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 #: Labelled sample: words that ordinary identifiers, paths and slugs are made of, whatever the corpus.
@@ -52,7 +54,8 @@ WORDS = (
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Structs (start, kind, end, value) of all matches, in code points.
 
-    Starts are running sums over what lies between the matches and the matches themselves.
+    Starts are running sums over what lies between the matches and the matches themselves: first within
+    chunks of CHUNK matches, then over the chunks, as a list is copied for each one that is added to it.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -64,7 +67,21 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         one = F.struct(first.alias("start"), F.lit(kind).alias("kind"), (first + s["n"]).alias("end"), s["m"].alias("value"))
         return F.struct((first + s["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def after(acc: Column, chunk: Column) -> Column:
+        return F.struct((acc["at"] + chunk["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def moved(chunk: Column, by: Column) -> Column:
+        return F.transform(chunk["out"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def joined(chunks: Column) -> Column:
+        first = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), after, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, first, moved))
+
+    firsts = F.sequence(F.lit(1), F.size(steps), F.lit(CHUNK))
+    chunked = F.transform(firsts, lambda i: F.aggregate(F.slice(steps, i, F.lit(CHUNK)), start, step))
+    # the lambda sees each list as a value, not as the expression that makes it
+    many = F.get(F.transform(F.array(chunked), joined), F.lit(0))
+    return F.when(F.size(found) > CHUNK, many).otherwise(F.aggregate(steps, start, step, lambda acc: acc["out"]))
 
 
 def _at_least(n: int):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, free_name, stored
 
 #: (host, path, verdict); a rule fits its host and all subdomains and paths that start with its own.
 RULES = (
@@ -115,14 +115,10 @@ def model_of(counts: DataFrame) -> DataFrame:
 
 def with_score(pages: DataFrame, model: DataFrame, url: str = "url", score: str = "score") -> DataFrame:
     """Adds the log-likelihood difference per character; positive: as accepted URLs are."""
-    cells = _cells(F.col("__symbols"))
-    total = F.aggregate(cells, F.lit(0.0), lambda acc, i: acc + F.get(F.col("__model"), i))
-    return (
-        pages.withColumn("__model", model.scalar())
-        .withColumn("__symbols", _symbols(F.col(url)))
-        .withColumn(score, total / F.size(cells))
-        .drop("__model", "__symbols")
-    )
+    ratios, symbols = free_name(pages, "model"), free_name(pages, "symbols")
+    cells = _cells(F.col(symbols))
+    total = F.aggregate(cells, F.lit(0.0), lambda acc, i: acc + F.get(F.col(ratios), i))
+    return pages.withColumn(ratios, model.scalar()).withColumn(symbols, _symbols(F.col(url))).withColumn(score, total / F.size(cells)).drop(ratios, symbols)
 
 
 def calibrate(scored: DataFrame, bins: int = 2000, width: float = 0.005) -> DataFrame:
@@ -156,12 +152,13 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """
     parts = with_parts(pages.drop("host", "path", "rule", "verdict", "score"), url)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumns({"rule": rule, "__verdict": verdict})
+    by_rule = free_name(parts, "by_rule")
+    ruled = parts.withColumns({"rule": rule, by_rule: verdict})
     held = (F.pmod(F.xxhash64(F.lit("held out"), F.col(url)), F.lit(4)) == 0).alias("held")
-    labelled = ruled.filter("__verdict IS NOT NULL").select(F.col(url).alias("url"), (F.col("__verdict") == "allow").alias("accepted"), held)
+    labelled = ruled.filter(F.col(by_rule).isNotNull()).select(F.col(url).alias("url"), (F.col(by_rule) == "allow").alias("accepted"), held)
     counts = stored(cell_counts(labelled, "held"), "url-counts")
     model = stored(model_of(counts.groupBy("accepted", "cell").agg(F.sum("n").alias("n"))), "url-model")
     others = stored(model_of(counts.filter("NOT held").drop("held")), "url-model")
     threshold = stored(calibrate(with_score(labelled.filter("held"), others)), "url-threshold")
     by_score = F.when(F.col("score") >= threshold.scalar(), "allow").otherwise("block")
-    return with_score(ruled, model, url).withColumn("verdict", F.coalesce("__verdict", by_score)).drop("__verdict")
+    return with_score(ruled, model, url).withColumn("verdict", F.coalesce(by_rule, by_score)).drop(by_rule)

@@ -79,3 +79,10 @@ def test_nothing_is_left_after_a_failure(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_columns_of_the_names_within(spark):
+    names = ["own_id", "own_hash", "id_of", "hash_of", "gone", "id", "at", "__own", "__gone"]
+    df = spark.createDataFrame([(1, "a line of both", *names), (2, "a line of both\nown", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = L.dedup_lines(df, counts=False)
+    assert out.columns == df.columns and {(r.doc_id, r.text, *r[2:]) for r in out.collect()} == {(1, "a line of both", *names), (2, "own", *names)}

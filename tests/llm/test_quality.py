@@ -74,3 +74,14 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in Q.score(docs, Q.fit(docs, none)).collect()} == {0.5}
     assert Q.score(docs.limit(0), Q.fit(docs.limit(0), none)).count() == 0
+
+
+def test_an_id_of_many_rows_does_not_fill_the_sample(spark):
+    docs = [(i, f"The quiet river number {i} runs along the old valley.", "s") for i in range(300)] + [(1000 + i, f"BUY!! {i}$$$ now### now###", "s") for i in range(300)]
+    docs += [(7, docs[7][1], "s")] * 5000 + [(9, f"row {i} of one id", "s") for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, *_ in docs[:600]], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = Q.fit(df, labels, sample=200)
+    assert (model.labels == 1).sum() == 100 and (model.labels == 0).sum() == 100
+    kept = Q.keep_good(df, labels)
+    assert kept.columns == df.columns and {r.score for r in kept.collect()} == {"s"}

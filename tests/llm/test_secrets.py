@@ -150,3 +150,16 @@ def test_span_list_and_redaction(spark):
 
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    parts = [f"{'é' * (i % 5)} {i:016x}{'a' * (i % 3)} " for i in range(10_000)]
+    at, want = 0, []
+    for i, p in enumerate(parts):
+        start = at + i % 5 + 1
+        want.append((start, start + 16 + i % 3))
+        at += len(p)
+    for n in (1, S.CHUNK, S.CHUNK + 1, 10_000):
+        df = spark.createDataFrame([(1, "".join(parts[:n]))], "doc_id long, text string")
+        found = S.with_base(df).first().base
+        assert [(s.start, s.end) for s in found] == want[:n] and all(s.value == parts[k].strip(" é") for k, s in enumerate(found))

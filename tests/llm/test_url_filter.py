@@ -76,3 +76,11 @@ def test_ratio_tells_the_classes_apart(spark):
 
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_columns_of_the_names_within(spark):
+    names = ["model", "symbols", "by_rule", "__model", "__verdict", "held", "accepted"]
+    df = spark.createDataFrame([(i, u, *names) for i, u in enumerate(URLS)], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    rows = U.filter_urls(df).collect()
+    plain = {r.page_id: (r.rule, r.verdict, r.score) for r in U.filter_urls(df.select("page_id", "url")).collect()}
+    assert {r.page_id: (r.rule, r.verdict, r.score) for r in rows} == plain and all(tuple(r[2 : 2 + len(names)]) == tuple(names) for r in rows)
