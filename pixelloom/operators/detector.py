@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import gaussian_filter
-from ..plans.loops import cut
+from .flooding import watershed
 
 
 def smooth(pixels: DataFrame, nx: int, ny: int, sigma: float = 2.0, reach: int = 2) -> DataFrame:
@@ -57,34 +57,6 @@ def percentile_mask(pixels: DataFrame, percent: float = 80.0) -> DataFrame:
     return pixels.join(F.broadcast(cut_at), "image_id").withColumn("mask", F.col("v") > F.col("cut")).drop("cut")
 
 
-def watershed(pixels: DataFrame, markers: DataFrame) -> DataFrame:
-    """Adds ``label``: markers (image_id, y, x, label) flood the pixels between them, from low values to high ones.
-
-    A pixel takes the label of the neighbour (of four) from which the flood reaches it first: at the lowest level,
-    then by the fewest steps at that level, then by the least label; null where no flood comes. By rounds in which all
-    unmarked pixels look at their neighbours anew, until none changes; each round is a join and a grouping.
-    """
-    keys = ["image_id", "y", "x"]
-    base = pixels.select(*keys, "v")
-    spot = markers.groupBy(*keys).agg(F.max("label").alias("label"))
-    marked = cut(base.join(spot, keys).select(*keys, F.struct(F.col("v").alias("level"), F.lit(0).alias("steps"), "label").alias("c")))
-    dry = cut(base.join(marked, keys, "left_anti").withColumn("c", F.lit(None).cast(marked.schema["c"].dataType)))
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))))).alias("s")
-    while not dry.isEmpty():
-        wet = marked.unionByName(dry.filter("c IS NOT NULL").select(*keys, "c"))
-        sent = wet.select("image_id", "y", "x", "c", steps).select("image_id", (F.col("y") + F.col("s.j")).alias("y"), (F.col("x") + F.col("s.i")).alias("x"), "c")
-        higher = F.col("v") > F.col("c.level")
-        told = F.struct(F.greatest("v", "c.level").alias("level"), F.when(higher, 0).otherwise(F.col("c.steps") + 1).alias("steps"), F.col("c.label").alias("label"))
-        first = sent.join(dry.select(*keys, "v"), keys).groupBy(*keys).agg(F.min(told).alias("new"))
-        moved = dry.join(first, keys, "left").select(*keys, "v", F.col("new").alias("c"), (~F.col("c").eqNullSafe(F.col("new"))).alias("moved"))
-        moved = cut(moved)
-        dry = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            break
-    labels = marked.unionByName(dry.select(*keys, "c")).select(*keys, F.col("c.label").alias("label"))
-    return pixels.join(labels, keys, "left")
-
-
 def watershed_mask(pixels: DataFrame, percent: float = 80.0) -> DataFrame:
     """The part flooded from above a percentile of each image, against that from below it."""
     cut_at = pixels.groupBy("image_id").agg(F.percentile("v", percent / 100).alias("cut"))

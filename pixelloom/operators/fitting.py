@@ -95,7 +95,7 @@ def linear_heights(pixels: DataFrame, params: DataFrame, reach: float, rounds: i
         ah = a.join(state.select("image_id", F.col("i").alias("j"), "h"), ["image_id", "j"]).groupBy("image_id", "i").agg(F.sum(F.col("a") * F.col("h")).alias("ah"))
         moved = F.greatest(F.lit(0.0), F.col("h") + (F.col("b") - F.col("ah")) / F.col("w"))
         new = state.join(ah, ["image_id", "i"]).withColumns({"move": F.abs(moved - F.col("h")), "h": moved}).drop("ah")
-        state = cut(new, k, 5)
+        state = cut(new)
         if k % 10 == 9:
             move, top = state.agg(F.max("move"), F.max("h")).first()
             if move is None or move <= tolerance * top:
@@ -155,7 +155,7 @@ def fit_adam(
     state, pixels = adam_start(params), pixels.persist()
     last = loss(pixels, params, reach)
     for k in range(1, rounds + 1):
-        state = cut(adam_round(pixels, state, reach, k, rates, None if chosen is None else chosen(k)), k - 1, look)
+        state = cut(adam_round(pixels, state, reach, k, rates, None if chosen is None else chosen(k)))
         if k % look == 0:
             now = loss(pixels, state, reach)
             if abs(last - now) <= tolerance * last:
@@ -294,7 +294,7 @@ def refine_com_step(pixels: DataFrame, peaks: DataFrame, radius: float) -> DataF
 def refine_com(pixels: DataFrame, peaks: DataFrame, radius: float, rounds: int = 10, least: float = 1.0) -> DataFrame:
     """Steps until the mean move is below ``least`` pixels."""
     for k in range(rounds):
-        new = cut(refine_com_step(pixels, peaks, radius), k)
+        new = cut(refine_com_step(pixels, peaks, radius))
         old = peaks.select("image_id", "peak_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
         move = new.join(old, ["image_id", "peak_id"]).agg(F.avg((F.abs(F.col("x") - F.col("ox")) + F.abs(F.col("y") - F.col("oy"))) / 2)).first()[0]
         peaks = new

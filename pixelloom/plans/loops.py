@@ -7,6 +7,7 @@ import logging
 import shutil
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -33,28 +34,24 @@ def timed(f: Callable) -> Callable:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors see; a local session without one gets its own."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if root := spark.conf.get("spark.checkpoint.dir", None):
-            return root.rstrip("/")
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="pixelloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        context.setCheckpointDir(root)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame, k: int = 0, every: int = 1) -> DataFrame:
-    """``df`` to go on with in a loop: kept, and on each ``every``-th round checkpointed.
-
-    A checkpoint needs the folder that ``spark.checkpoint.dir`` names (shared by all executors);
-    without one the lineage stays, so that lost partitions are computed again, but a local session,
-    where plans of many rounds would only grow, gets a temporary folder.
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="pixelloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` to go on with in a loop: written as a Parquet table in the shared folder and read back.
+
+    That cuts the lineage, is computed once and outlives executors. A checkpoint would hand on the estimated
+    size of the plan that it comes from, which grows from round to round; here it comes from the files.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and context.master.startswith("local["):
-        shared_dir(df.sparkSession)
-    if context.getCheckpointDir() and k % every == every - 1:
-        return df.checkpoint()
-    return df.persist()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,12 +4,14 @@ import heapq
 import io
 import math
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pixelloom.functions import grids, models, optics
-from pixelloom.operators import crystal, detector, fitting, joins, mixture, sets, windows
+from pixelloom.operators import crystal, detector, fitting, flooding, joins, mixture, sets, windows
+from pixelloom.plans import loops
 from pixelloom.sources import binary, text
 from pyspark.sql import functions as F
 
@@ -276,26 +278,60 @@ def test_guess_radius_of_far_peaks(spark):
 
 
 def plain_watershed(a, markers):
-    label, heap = {}, [(a[p], 0, m, p) for p, m in markers.items()]
-    heapq.heapify(heap)
-    while heap:
-        level, steps, m, p = heapq.heappop(heap)
-        if p in label:
-            continue
-        label[p] = m
+    """The forest grown from the markers by a heap of edges, in the order that the operator states."""
+    label, heap = dict(markers), []
+
+    def push(p):
         for q in ((p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)):
-            if q not in label and q not in markers and 0 <= q[0] < a.shape[0] and 0 <= q[1] < a.shape[1]:
-                heapq.heappush(heap, (a[q], 0, m, q) if a[q] > level else (level, steps + 1, m, q))
+            if 0 <= q[0] < a.shape[0] and 0 <= q[1] < a.shape[1] and q not in label:
+                u, v = sorted((p, q))
+                heapq.heappush(heap, (max(a[p], a[q]), min(a[p], a[q]), *u, v[1] - u[1], p, q))
+
+    for p in markers:
+        push(p)
+    while heap:
+        *_, p, q = heapq.heappop(heap)
+        if q not in label:
+            label[q] = label[p]
+            push(q)
     return label
 
 
-def test_watershed_against_a_heap(spark):
-    rng = np.random.default_rng(8)
+@pytest.mark.parametrize("seed", [8, 9])
+def test_watershed_against_a_heap(spark, seed):
+    rng = np.random.default_rng(seed)
     a = np.round(rng.normal(0, 1, (14, 17)).cumsum(0).cumsum(1) / 4).astype(float)  # with plateaus
-    markers = {(2, 3): 5, (9, 12): 2, (12, 2): 9, (3, 14): 7}
-    spots = spark.createDataFrame([(1, y, x, m) for (y, x), m in markers.items()], "image_id int, y int, x int, label int")
-    got = {(r.y, r.x): r.label for r in detector.watershed(image(spark, a), spots).collect()}
-    assert got == plain_watershed(a, markers) and len(set(got.values())) == 4
+    markers = {(2, 3): 5, (9, 12): 2, (12, 2): 9, (3, 14): 7, (3, 15): 7, (13, 16): 7}
+    spots = spark.createDataFrame([(1, y, x, m) for (y, x), m in [*markers.items(), ((2, 3), 1)]], "image_id int, y int, x int, label int")
+    both = image(spark, a).unionByName(image(spark, np.zeros((3, 3)), 2))  # nothing is marked in the second
+    got = {(r.image_id, r.y, r.x): r.label for r in flooding.watershed(both, spots).collect()}
+    assert {k[1:]: m for k, m in got.items() if k[0] == 1} == plain_watershed(a, markers) and len({m for k, m in got.items() if k[0] == 1}) == 4
+    assert sum(k[0] == 2 and m is None for k, m in got.items()) == 9
+
+
+def test_watershed_of_a_spiral_valley(spark):
+    a, p, d, steps = np.full((31, 31), 1e6), (0, 0), (0, 1), []
+    while len(steps) < 250:  # a valley that winds inwards and rises, with a wall between its turns
+        steps.append(p)
+        a[p] = len(steps)
+        ahead, wall = ((p[0] + k * d[0], p[1] + k * d[1]) for k in (1, 2))
+        inside = lambda q: 0 <= q[0] < 31 and 0 <= q[1] < 31
+        if not inside(ahead) or (inside(wall) and a[wall] < 1e6):
+            d = (d[1], -d[0])
+        p = (p[0] + d[0], p[1] + d[1])
+    spots = spark.createDataFrame([(1, 0, 0, 1), (1, 15, 15, 2)], "image_id int, y int, x int, label int")
+    began = time.perf_counter()
+    got = {(r.y, r.x): r.label for r in flooding.watershed(image(spark, a), spots).collect()}
+    assert all(got[p] == 1 for p in steps if p != (15, 15)) and time.perf_counter() - began < 60
+
+
+def test_size_estimates_do_not_grow_with_rounds(spark):
+    df = spark.range(100).withColumn("v", F.rand(1))
+    sizes = []
+    for _ in range(6):
+        df = loops.cut(df.join(df.withColumnRenamed("v", "u"), "id").select("id", ((F.col("u") + F.col("v")) / 2).alias("v")))
+        sizes.append(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert max(sizes) < 10 * sizes[0]
 
 
 def test_watershed_parts_touching_columns(spark):
