@@ -22,6 +22,7 @@ from ..plans.loops import NotConverged, cut
 from ..plans.spatial import near_pairs
 from .aggregates import voronoi_integrate
 from .joins import label_pixels
+from .refinement import fit_blocks
 
 #: Means up to which a Poisson draw goes term by term.
 NORMAL = 60.0
@@ -88,9 +89,9 @@ def linear_heights(pixels: DataFrame, params: DataFrame, reach: float, rounds: i
     when none moves a height by more than ``tolerance`` of the largest; it is looked at every tenth round.
     """
     a, b = normal_equations(pixels, params, reach)
-    a = a.persist()
+    a = cut(a)
     rows = a.groupBy("image_id", "i").agg(F.sum(F.abs("a")).alias("w"))
-    state = b.join(rows, ["image_id", "i"]).withColumn("h", F.lit(0.0)).persist()
+    state = b.join(rows, ["image_id", "i"]).withColumn("h", F.lit(0.0))
     for k in range(rounds):
         ah = a.join(state.select("image_id", F.col("i").alias("j"), "h"), ["image_id", "j"]).groupBy("image_id", "i").agg(F.sum(F.col("a") * F.col("h")).alias("ah"))
         moved = F.greatest(F.lit(0.0), F.col("h") + (F.col("b") - F.col("ah")) / F.col("w"))
@@ -145,17 +146,15 @@ def adam_start(params: DataFrame) -> DataFrame:
     return params.withColumns({f"{m}_{c}": F.lit(0.0) for c in RATES for m in "ms"})
 
 
-def fit_adam(
-    pixels: DataFrame, params: DataFrame, reach: float, rounds: int = 50, rates: dict[str, float] | None = None, chosen: Callable[[int], Column] | None = None, tolerance: float = 1e-3, look: int = 5
-) -> DataFrame:
-    """Adam on x, y, height and sigma of all peaks; ``chosen`` (round -> condition) limits a round to a batch of them.
+def fit_adam(pixels: DataFrame, params: DataFrame, reach: float, rounds: int = 1000, rates: dict[str, float] | None = None, tolerance: float = 1e-3, look: int = 5) -> DataFrame:
+    """Adam on x, y, height and sigma of all peaks.
 
     It ends when ``look`` rounds change the squared residual by less than ``tolerance`` of it, or else warns.
     """
     state, pixels = adam_start(params), pixels.persist()
     last = loss(pixels, params, reach)
     for k in range(1, rounds + 1):
-        state = cut(adam_round(pixels, state, reach, k, rates, None if chosen is None else chosen(k)))
+        state = cut(adam_round(pixels, state, reach, k, rates))
         if k % look == 0:
             now = loss(pixels, state, reach)
             if abs(last - now) <= tolerance * last:
@@ -167,27 +166,21 @@ def fit_adam(
     return state.select(*params.columns)
 
 
-def fit_random_batches(pixels: DataFrame, params: DataFrame, reach: float, batches: int = 4, epochs: int = 10, **how) -> DataFrame:
-    """Adam where each round moves one random batch of peaks; a batch is a seeded hash of the id, dealt anew each epoch.
-    The residual is looked at after each epoch."""
-    batch = lambda k: F.pmod(F.xxhash64(F.lit((k - 1) // batches), "peak_id"), F.lit(batches)) == (k - 1) % batches
-    return fit_adam(pixels, params, reach, batches * epochs, chosen=batch, look=batches, **how)
-
-
-def refine_benchmark(pixels: DataFrame, peaks: DataFrame, atom_size: float = 0.7, dx: float = 1.0, batches: int = 4, epochs: int = 10, **how) -> DataFrame:
+def refine_benchmark(pixels: DataFrame, peaks: DataFrame, atom_size: float = 0.7, dx: float = 1.0, **how) -> DataFrame:
     """Peaks (places in units of length, ``dx`` a pixel) fitted to an image: x, y (pixels), height, sigma, background, the
-    fitted cross-section ``scs`` and the Voronoi sum ``scs_voronoi`` above the background, both in squared units of length.
+    fitted cross-section ``scs`` and the Voronoi sum ``scs_voronoi`` above the background, both in squared units of length,
+    and whether the peak has settled.
 
-    From start values of the width ``atom_size`` by batches of Adam. Cells reach as far as five widths.
+    From start values of the width ``atom_size`` by blocks until the residual settles. Cells reach as far as five widths.
     """
     sigma = atom_size / dx
     start = init_params(pixels, peaks.withColumns({"x": F.col("x") / dx, "y": F.col("y") / dx}), sigma)
-    fitted = fit_random_batches(pixels, start, 3 * sigma, batches, epochs, **how)
+    fitted = fit_blocks(pixels, start, 3 * sigma, **how)
     flat = pixels.join(F.broadcast(pixels.groupBy("image_id").agg(F.min("v").alias("background"))), "image_id")
     cells = voronoi_integrate(flat.withColumn("v", F.col("v") - F.col("background")).drop("background"), fitted, 5 * sigma)
     scs = volume("gaussian", F.col("height"), F.col("sigma"), F.col("gamma"), F.col("ratio"), dx)
     voronoi = cells.select("image_id", "peak_id", (F.col("total") * dx * dx).alias("scs_voronoi"))
-    return fitted.join(voronoi, ["image_id", "peak_id"]).select("image_id", "peak_id", "x", "y", "height", "sigma", "background", scs.alias("scs"), "scs_voronoi")
+    return fitted.join(voronoi, ["image_id", "peak_id"]).select("image_id", "peak_id", "x", "y", "height", "sigma", "background", scs.alias("scs"), "scs_voronoi", "converged")
 
 
 def solve(model: Callable[[np.ndarray], np.ndarray], start: np.ndarray, data: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, bool]:
@@ -291,8 +284,8 @@ def refine_com_step(pixels: DataFrame, peaks: DataFrame, radius: float) -> DataF
     return out.withColumns({"x": F.coalesce("cx", "x"), "y": F.coalesce("cy", "y")}).select(*peaks.columns)
 
 
-def refine_com(pixels: DataFrame, peaks: DataFrame, radius: float, rounds: int = 10, least: float = 1.0) -> DataFrame:
-    """Steps until the mean move is below ``least`` pixels."""
+def refine_com(pixels: DataFrame, peaks: DataFrame, radius: float, rounds: int = 100, least: float = 1.0) -> DataFrame:
+    """Steps until the mean move is below ``least`` pixels, or else a warning."""
     for k in range(rounds):
         new = cut(refine_com_step(pixels, peaks, radius))
         old = peaks.select("image_id", "peak_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
@@ -300,28 +293,11 @@ def refine_com(pixels: DataFrame, peaks: DataFrame, radius: float, rounds: int =
         peaks = new
         if move is None or move < least:
             break
+    else:
+        warnings.warn(f"peaks still move after {rounds} rounds", NotConverged, stacklevel=2)
     return peaks
 
 
-def fit_rotated(pixels: DataFrame, start: dict[str, float]) -> DataFrame:
-    """One rotated elliptical Gaussian for each (small) image: a, x0, y0, sx, sy, theta, offset, and whether the fit has settled."""
-    names = ["a", "x0", "y0", "sx", "sy", "theta", "offset"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", "v"))
-
-        def model(p: np.ndarray) -> np.ndarray:
-            c, s = np.cos(p[5]), np.sin(p[5])
-            a, b = (x - p[1]) * c + (y - p[2]) * s, (y - p[2]) * c - (x - p[1]) * s
-            return p[6] + p[0] * np.exp(-(a**2 / (2 * p[3] ** 2) + b**2 / (2 * p[4] ** 2)))
-
-        guess = {"a": v.max() - v.min(), "offset": v.min()} | start
-        p, settled = solve(model, np.array([guess[n] for n in names]), v, 200)
-        return pd.DataFrame([[int(pdf.image_id.iloc[0]), *p, settled]], columns=["image_id", *names, "converged"])
-
-    return pixels.groupBy("image_id").applyInPandas(fit, "image_id int, " + ", ".join(f"{n} double" for n in names) + ", converged boolean")
-
-
 def calibrate(vectors: DataFrame, a: float, b: float) -> DataFrame:
     """Pixel size from lattice vectors in pixels and the cell's lengths: the mean of both ratios."""
     la = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay"))

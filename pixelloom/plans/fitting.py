@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fitting as O
+from ..operators import refinement as R
 from .base import peaks, pixels, register, rounded, sql, table
 
 
@@ -108,12 +109,12 @@ def fit_global_round(spark, d):
 
 @register("fit_global")
 def fit_global(spark, d):
-    return rounded(O.fit_adam(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
+    return rounded(R.fit_all(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "x", "y", "height", "sigma"), 2)
 
 
 @register("fit_random_batch")
 def fit_random_batch(spark, d):
-    return rounded(O.fit_random_batches(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "x", "y", "height", "sigma"), 4)
+    return rounded(R.fit_blocks(pixels(spark, d), _params(spark, d), 4.0).select("image_id", "peak_id", "x", "y", "height", "sigma", "converged"), 2)
 
 
 @register("fit_region_patch")
@@ -129,7 +130,7 @@ def fit_voronoi(spark, d):
 @register("benchmark_refine")
 def benchmark_refine(spark, d):
     """Start values, fit, cross-sections and Voronoi sums in one; a test recovers known peaks."""
-    return rounded(O.refine_benchmark(pixels(spark, d), peaks(spark, d), 1.5), 3)
+    return rounded(O.refine_benchmark(pixels(spark, d), peaks(spark, d), 1.5), 2)
 
 
 @register(
@@ -150,7 +151,7 @@ def refine_com(spark, d):
 
 @register("fit_gaussian")
 def fit_gaussian(spark, d):
-    return rounded(O.fit_rotated(pixels(spark, d), {"x0": 32.0, "y0": 24.0, "sx": 10.0, "sy": 8.0, "theta": 0.1}), 2)
+    return rounded(R.fit_rotated(pixels(spark, d), {"x0": 32.0, "y0": 24.0, "sx": 10.0, "sy": 8.0, "theta": 0.1}), 2)
 
 
 @register("calibrate", "SELECT p_partkey, round((3.9 / sqrt(power(p_size + 1, 2) + 4) + 5.5 / sqrt(9 + power(p_size + 2, 2))) / 2, 6) AS dx FROM part")
