@@ -1,11 +1,13 @@
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pixelloom.llm import queries
-from pixelloom.llm.sentence_pieces import _decoded, _packed, _unpacked, decode, encode, numbered
+from pixelloom.llm.sentence_pieces import _coded, _decoded, _decoded_numbers, _packed, _unpacked, decode, encode, numbered, segmented
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -38,15 +40,41 @@ def test_ids_of_any_kind_are_decoded_as_the_library_does(lib):
 
 def test_each_word_is_listed_once_in_a_block(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b  c"), (3, None)], "doc_id long, text string").coalesce(1)
-    rows = numbered(docs).collect()
-    assert [_unpacked(bytes(r.numbers)).tolist() for r in rows] == [[0, 1, 0], [1, 2], []]
-    assert [r.words for r in rows] == [None, None, ["a", "b", " c"]] and len({r.block for r in rows}) == 1
+    rows = numbered(docs, buckets=2).collect()
+    (texts,) = [r for r in rows if r.bucket is None]
+    assert texts.ids == [1, 2, 3] and _unpacked(bytes(texts.sizes)).tolist() == [3, 2, 0]
+    assert _decoded_numbers(_unpacked(bytes(texts.numbers)), texts.first).tolist() == [0, 1, 0, 1, 2]
+    listed = {}
+    for r in rows:
+        if r.bucket is not None:
+            words = zlib.decompress(bytes(r.words)).split(b"\xff")
+            assert all(zlib.crc32(w) % 2 == r.bucket for w in words)
+            listed |= dict(zip(_unpacked(bytes(r.numbers)).cumsum().tolist(), words, strict=True))
+    assert listed == {0: b"a", 1: b"b", 2: b" c"} and len({r.block for r in rows}) == 1
     assert len({r.block for r in numbered(docs, 1).collect()}) == 3
 
 
-def test_packing_of_numbers():
-    import numpy as np
+def test_coded_numbers():
+    rng = random.Random(2)
+    words, first = {}, 0
+    for _ in range(50):
+        own = [words.setdefault(rng.randrange(200), len(words)) for _ in range(rng.randint(0, 20))]
+        coded = _coded(np.array(own, np.int64), first)
+        assert _decoded_numbers(coded, first).tolist() == own and (coded == 0).sum() == len(words) - first
+        first = len(words)
+
+
+def test_a_full_table_is_emptied(spark, lib):
+    words = [f"w{i}x{i % 7}" for i in range(50)]
+    rows = [(k, _packed(np.arange(50)), zlib.compress(b"\xff".join(w.encode() for w in words))) for k in range(3)]
+    got = segmented(spark.createDataFrame(rows, "of long, numbers binary, words binary").coalesce(1), PATH, table=60).collect()
+    for r in got:
+        ends = _unpacked(bytes(r.counts)).cumsum()[:-1]
+        assert [x.tolist() for x in np.split(_unpacked(bytes(r.ids)), ends)] == [lib.encode(w) for w in words]
+    assert [r.of for r in got] == [0, 1, 2]
 
+
+def test_packing_of_numbers():
     for x in ([], [0], [1, 2**32 - 1, 65536, 7]):
         assert _unpacked(_packed(np.array(x, np.uint32))).tolist() == x
 
