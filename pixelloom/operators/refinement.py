@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import gaussian, lorentzian_squared, voigt
@@ -87,7 +87,7 @@ def _fitted(w: _Window, target: np.ndarray, p: dict[str, np.ndarray], names: tup
         gain = r @ r - off @ off
         p, damp = new, max(damp / 10, 1e-9)
         f, jac = w.model(p, names)
-        settled, r = gain <= 1e-7 * (r @ r), off
+        settled, r = gain <= 1e-4 * (r @ r), off
         if settled:
             break
     return p
@@ -118,7 +118,9 @@ def _sweep(state: DataFrame, kind: str, names: tuple[str, ...], reach: float, ro
             if not len(own) or not len(lit):
                 return pdf
             own = own[np.lexsort((pdf.peak_id.to_numpy()[own], np.floor(px[own] / reach), np.floor(py[own] / reach)))]
-            box, r = (x0 - slack, x0 + core + slack, y0 - slack, y0 + core + slack), pdf.r.to_numpy(float).copy()
+            # no farther than the model may reach, and not out of the image
+            box = (max(x0 - slack, px[lit].min()), min(x0 + core + slack, px[lit].max()), max(y0 - slack, py[lit].min()), min(y0 + core + slack, py[lit].max()))
+            r = pdf.r.to_numpy(float).copy()
             values = {n: pdf[n].to_numpy(float).copy() for n in (*NAMES, "moved")}
             for at in range(0, len(own), TOGETHER):
                 some = own[at : at + TOGETHER]
@@ -137,11 +139,11 @@ def _sweep(state: DataFrame, kind: str, names: tuple[str, ...], reach: float, ro
             return pdf.assign(r=r, **values)
 
         tiles = ["image_id", _tile("x", wide, ox + sx).alias("tx"), _tile("y", wide, oy + sy).alias("ty")]
-        return cut(state.groupBy(*tiles).applyInPandas(fit, state.schema))
+        return state.groupBy(*tiles).applyInPandas(fit, state.schema)
 
     for sx, sy in rng.sample([(0.0, 0.0), (core, 0.0), (0.0, core), (core, core)], 4):
         state = one_pass(sx, sy)
-    return state
+    return cut(state)
 
 
 def _model(kind: str, suffix: str = "_r") -> Column:
@@ -163,7 +165,7 @@ def _levelled(state: DataFrame) -> DataFrame:
     mean = state.filter("NOT peak").groupBy("image_id").agg(F.avg("r").alias("mean"))
     out = state.join(mean, "image_id", "left")
     shift = F.coalesce("mean", F.lit(0.0))
-    return cut(out.withColumns({"r": F.col("r") - shift, "background": F.col("background") + shift, "moved": F.lit(0.0)}).drop("mean"))
+    return out.withColumns({"r": F.col("r") - shift, "background": F.col("background") + shift}).select(*state.columns)
 
 
 def fit_blocks(
@@ -185,8 +187,7 @@ def fit_blocks(
     sums = lambda: state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     last = sums()
     for k in range(epochs):
-        if background:
-            state = _levelled(state)
+        state = (_levelled(state) if background else state).withColumn("moved", F.lit(0.0))
         state = _sweep(state, kind, MOVED[kind], reach, rounds, seed + k)
         now = sums()
         if last - now <= tolerance * last:
@@ -230,8 +231,8 @@ def normal_sums(pixels: DataFrame, params: DataFrame, reach: float, kind: str =
     f, slopes = _slopes(kind)
     names = MOVED[kind]
     pairs = near_pairs(pixels, params, reach, box=True).withColumn("f", f + 1e-12)
-    at = pairs.groupBy("image_id", "y", "x").agg(F.sum(F.col("height_r") * F.col("f")).alias("model"), F.sum("f").alias("whole"))
-    joined = pairs.join(at, ["image_id", "y", "x"])
+    at = Window.partitionBy("image_id", "y", "x")
+    joined = pairs.withColumns({"model": F.sum(F.col("height_r") * F.col("f")).over(at), "whole": F.sum("f").over(at)})
     joined = joined.withColumns({f"d_{n}": slopes[n] for n in names} | {"off": F.col("model") + F.col("background_r") - F.col("v"), "share": F.col("f") / F.col("whole")})
     d = [F.col(f"d_{n}") for n in names]
     sums = [F.sum(F.col("off") * x) for x in d]
@@ -241,8 +242,8 @@ def normal_sums(pixels: DataFrame, params: DataFrame, reach: float, kind: str =
     return params.join(each, ["image_id", "peak_id"], "left")
 
 
-def _stepped(state: DataFrame, kind: str, damp: float, reach: float, columns: list[str]) -> DataFrame:
-    """Parameters after a damped Gauss-Newton step of each peak, at most a pixel far."""
+def _stepped(state: DataFrame, kind: str, length: float, reach: float, columns: list[str]) -> DataFrame:
+    """Parameters after a Gauss-Newton step of each peak, ``length`` times as far but at most a pixel."""
     names = MOVED[kind]
     schema = state.select(*columns).schema
 
@@ -253,8 +254,8 @@ def _stepped(state: DataFrame, kind: str, damp: float, reach: float, columns: li
                 a = np.stack(b.a[has]).reshape(-1, len(names), len(names))
                 g = np.stack(b.g[has])
                 diagonal = np.einsum("kii->ki", a)
-                diagonal += damp * diagonal + 1e-9
-                move = -np.linalg.solve(a, g[:, :, None])[:, :, 0]
+                diagonal += 1e-3 * diagonal + 1e-9
+                move = -length * np.linalg.solve(a, g[:, :, None])[:, :, 0]
                 far = np.abs(move[:, :2]).max(axis=1, keepdims=True)
                 move /= np.maximum(far, 1.0)
                 p = {n: b.loc[has, n].to_numpy(float) + move[:, i] for i, n in enumerate(names)}
@@ -265,28 +266,28 @@ def _stepped(state: DataFrame, kind: str, damp: float, reach: float, columns: li
     return state.mapInPandas(step, schema)
 
 
-def fit_all(pixels: DataFrame, params: DataFrame, reach: float, kind: str = "gaussian", rounds: int = 1000, tolerance: float = 1e-3, look: int = 5) -> DataFrame:
-    """All parameters of all peaks at once, by Gauss-Newton steps with a common damping; the background stays.
+def fit_all(pixels: DataFrame, params: DataFrame, reach: float, kind: str = "gaussian", rounds: int = 1000, tolerance: float = 1e-3, look: int = 2) -> DataFrame:
+    """All parameters of all peaks at once, by Gauss-Newton steps of a common length; the background stays.
 
-    A step that doesn't lessen the squared residual is taken back and damped more. It ends when ``look`` rounds
-    lessen it by less than ``tolerance`` of it, or else warns.
+    Steps grow while they lessen the squared residual; one that doesn't is taken back and halved. It ends when
+    ``look`` rounds lessen it by less than ``tolerance`` of it, or else warns.
     """
     columns = params.columns
     params = params.select(*(F.col(c).cast("double").alias(c) if c in NAMES else F.col(c) for c in columns))
-    best, damp, past = None, 1e-3, []
+    best, length, past, pixels = None, 1.0, [], cut(pixels)
     for _ in range(rounds):
         new = cut(normal_sums(pixels, params, reach, kind))
         loss = new.agg(F.sum("loss")).first()[0] or 0.0
         if best is None or loss < past[-1]:
-            best, damp = new, max(damp / 3, 1e-6)
+            best, length = new, 1.3 * length
             past.append(loss)
             if len(past) > look and past[-1 - look] - loss <= tolerance * past[-1 - look]:
                 break
         else:
-            damp *= 10
-            if damp > 1e6:
+            length /= 2
+            if length < 1e-6:
                 break
-        params = _stepped(best, kind, damp, reach, columns)
+        params = _stepped(best, kind, length, reach, columns)
     else:
         warnings.warn(f"the residual still falls after {rounds} rounds", NotConverged, stacklevel=2)
     return best.select(*columns)
@@ -319,29 +320,36 @@ def fit_rotated(pixels: DataFrame, start: dict[str, float], rounds: int = 200) -
     """One rotated elliptical Gaussian for each image, of any size: a, x0, y0, sx, sy, theta, offset, and whether the fit has settled.
 
     ``start`` has the parameters to start from; the amplitude and the offset come from the image unless they are given.
+    The centre stays within the image, and the widths below its size.
     A round is one grouped sum over all pixels and a system of seven equations for each image.
     """
+    pixels = cut(pixels.select("image_id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("v").cast("double").alias("v")))
     guess = {"a": F.max("v") - F.min("v"), "offset": F.min("v")} | {n: F.lit(float(v)) for n, v in start.items()}
-    first = pixels.groupBy("image_id").agg(F.array(*(guess[n].cast("double") for n in ROTATED)).alias("trial"))
-    state = first.select("image_id", F.col("trial").alias("p"), "trial", F.lit(math.inf).alias("loss"), F.lit(1e-2).alias("damp"), *(F.lit(None).cast("array<double>").alias(c) for c in "gm"), F.lit(False).alias("converged"))
+    ends = F.struct(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))))
+    first = pixels.groupBy("image_id").agg(F.array(*(guess[n].cast("double") for n in ROTATED)).alias("trial"), ends.alias("ends"))
+    state = first.select("image_id", "ends", F.col("trial").alias("p"), "trial", F.lit(math.inf).alias("loss"), F.lit(1e-2).alias("damp"), *(F.lit(None).cast("array<double>").alias(c) for c in "gm"), F.lit(False).alias("converged"))
     schema = state.schema
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                p, trial, loss, damp, g, m, done = r.p, r.trial, r.loss, r.damp, r.g, r.m, bool(r.converged)
+                e0, p, trial, loss, damp, g, m, done = r.ends, r.p, r.trial, r.loss, r.damp, r.g, r.m, bool(r.converged)
                 if not done and r.now is not None and not np.isnan(r.now):
                     moved = np.abs(np.asarray(trial) - np.asarray(p)).max()
                     if r.now < loss:
-                        done = bool(math.isfinite(loss) and loss - r.now <= 1e-10 * loss)
+                        done = bool(math.isfinite(loss) and loss - r.now <= 1e-4 * loss)
                         p, loss, damp, g, m = trial, r.now, damp / 10, r.new_g, r.new_m
                     else:
                         damp *= 10
                         done = bool(damp > 1e10 or 0 < moved < 1e-10)
                     a = np.asarray(m, float).reshape(7, 7)
                     trial = np.asarray(p) - np.linalg.lstsq(a + np.diag(damp * np.diag(a) + 1e-12), np.asarray(g, float), rcond=None)[0]
-                out.append((r.image_id, p, trial, loss, damp, g, m, done))
+                    e = r.ends
+                    size = max(e["high_x"] - e["low_x"], e["high_y"] - e["low_y"], 1.0)
+                    widths = np.sign(trial[3:5]) * np.clip(np.abs(trial[3:5]), NARROWEST, size)
+                    trial = np.concatenate((trial[:1], np.clip(trial[1:3], (e["low_x"], e["low_y"]), (e["high_x"], e["high_y"])), widths, trial[5:]))
+                out.append((r.image_id, e0, p, trial, loss, damp, g, m, done))
             yield pd.DataFrame(out, columns=schema.names)
 
     state = cut(state)
