@@ -8,14 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def frequency(i: Column, n: int, size: float) -> Column:
-    """Frequency of sample i of n: the second half is negative."""
-    return F.when(i < (n + 1) // 2, i).otherwise(i - n) / F.lit(float(size))
-
-
-def q_grid(spark, nx: int, ny: int, size_x: float, size_y: float) -> DataFrame:
-    cells = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
-    return cells.select("x", "y", frequency(F.col("x"), nx, size_x).alias("qx"), frequency(F.col("y"), ny, size_y).alias("qy"))
+def q_grid(pixels: DataFrame, dx: float, dy: float) -> DataFrame:
+    """(image_id, y, x, qx, qy): the frequencies of each image's samples, whose pixels are ``dx`` by ``dy``."""
+    along = lambda c, n, step: F.when(F.col(c) < F.floor((F.col(n) + 1) / 2), F.col(c)).otherwise(F.col(c) - F.col(n)) / (F.col(n) * F.lit(float(step)))
+    return _sized(pixels).select("image_id", "y", "x", along("x", "nx", dx).alias("qx"), along("y", "ny", dy).alias("qy"))
 
 
 def rotate(x: Column, y: Column, z: Column, axis: tuple[float, float, float], angle: float) -> tuple[Column, Column, Column]:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed values of physics: electron rest energy in eV, and Planck's constant times light speed in eV Angstrom.
 REST_ENERGY = 510998.9461
@@ -85,15 +84,11 @@ def defocus_density(df: Column, cc: float, spread: float, energy: float) -> Colu
     return F.exp(-df * df / (2 * width * width)) / (width * math.sqrt(2 * math.pi))
 
 
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    return p.map(NormalDist().inv_cdf)
-
-
-def quadrature(spark, n: int, cc: float, spread: float, energy: float) -> DataFrame:
-    """n defocus values of equal probability: the middle quantile of each n-th part."""
-    return spark.range(n).select("id", (F.pandas_udf(_normal_quantile, T.DoubleType())((F.col("id") + 0.5) / n) * (cc * spread / energy)).alias("df"))
+def quadrature(rows: DataFrame, n: int, cc: float, spread: Column, energy: Column) -> DataFrame:
+    """Each row n times, with ``node`` (from 0) and ``df``: defocus values of equal probability, the middle quantile of each n-th part."""
+    points = F.array(*(F.lit(NormalDist().inv_cdf((k + 0.5) / n)) for k in range(n)))
+    out = rows.select("*", F.posexplode(points).alias("node", "df"))
+    return out.withColumn("df", F.col("df") * (F.lit(float(cc)) * spread / energy))
 
 
 def tilt(value: Column, units: str, wavelength: Column, size: Column, to: str) -> Column:

@@ -319,15 +319,17 @@ def fisher_information(pixels: DataFrame, params: DataFrame, reach: float) -> Da
 
 
 def cramer_rao(info: DataFrame) -> DataFrame:
-    """Least standard errors (sx, sy, sh) of each peak: roots of the diagonal of the pseudo-inverse."""
+    """Least standard errors (sx, sy, sh) of each peak: roots of the diagonal of the pseudo-inverse; and whether the image
+    determines all three (the determinant isn't nothing against the product of the diagonal)."""
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((3, 3))
         m[pdf.p, pdf.q] = pdf["info"]
         s = np.sqrt(np.maximum(np.diag(np.linalg.pinv(m)), 0))
-        return pd.DataFrame([[pdf.image_id.iloc[0], pdf.peak_id.iloc[0], *s]], columns=["image_id", "peak_id", "sx", "sy", "sh"])
+        determined = bool(np.linalg.det(m) > 1e-9 * np.prod(np.diag(m)))
+        return pd.DataFrame([[pdf.image_id.iloc[0], pdf.peak_id.iloc[0], *s, determined]], columns=["image_id", "peak_id", "sx", "sy", "sh", "determined"])
 
-    return info.groupBy("image_id", "peak_id").applyInPandas(bound, "image_id int, peak_id long, sx double, sy double, sh double")
+    return info.groupBy("image_id", "peak_id").applyInPandas(bound, "image_id int, peak_id long, sx double, sy double, sh double, determined boolean")
 
 
 def poisson_llh(pixels: DataFrame) -> DataFrame:

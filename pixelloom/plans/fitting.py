@@ -177,9 +177,20 @@ def joint_probability(spark, d):
     return rounded(O.poisson_llh(pixels(spark, d).withColumn("model", (1 + F.col("x") + F.col("y")).cast("double"))), 4)
 
 
-@register("crb")
+@register(
+    "crb",
+    sql(
+        _INFO + """, m AS (SELECT image_id, i, sum(d0 * d0 / f) AS a, sum(d0 * d1 / f) AS b, sum(d0 * d2 / f) AS c, sum(d1 * d1 / f) AS d, sum(d1 * d2 / f) AS e, sum(d2 * d2 / f) AS g FROM d GROUP BY 1, 2),
+        n AS (SELECT *, a * (d * g - e * e) - b * (b * g - c * e) + c * (b * e - c * d) AS det FROM m)
+        SELECT image_id, i AS peak_id, det > 1e-9 * a * d * g AS determined, CASE WHEN det > 1e-9 * a * d * g THEN round(sqrt((d * g - e * e) / det), 4) END AS sx,
+          CASE WHEN det > 1e-9 * a * d * g THEN round(sqrt((a * g - c * c) / det), 4) END AS sy, CASE WHEN det > 1e-9 * a * d * g THEN round(sqrt((a * d - b * b) / det), 4) END AS sh FROM n""",
+        "pixels", "peaks",
+    ),
+)
 def crb(spark, d):
-    return rounded(O.cramer_rao(O.fisher_information(pixels(spark, d), _params(spark, d), 4.0)))
+    """Errors of the peaks that the image determines."""
+    bounds = O.cramer_rao(O.fisher_information(pixels(spark, d), _params(spark, d), 4.0))
+    return rounded(bounds.withColumns({c: F.when(F.col("determined"), F.col(c)) for c in ("sx", "sy", "sh")}), 4)
 
 
 @register("udf_cc", "SELECT p_partkey, round((cos(p_size * -8.0) + cos(p_size * -2.0) + cos(p_size * 2.0) + cos(p_size * 8.0)) / 4, 6) + 0.0 AS mean FROM part")

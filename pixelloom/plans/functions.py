@@ -174,10 +174,16 @@ def chromatic(spark, d):
     return samples(spark, d).select("id", F.round(E.defocus_density(F.col("v"), 13e6, spread, 300000), 8).alias("p"))
 
 
-@register("chromatic_quadrature")
+# The quantiles of the normal distribution at 1/14, 3/14 ... 13/14.
+_QUANTILES = "(0, -1.4652337926855226), (1, -0.7916386077433746), (2, -0.36610635680056963), (3, 0.0), (4, 0.36610635680056963), (5, 0.7916386077433746), (6, 1.4652337926855226)"
+
+
+@register("chromatic_quadrature", f"SELECT p_partkey, node, round(q * 13e6 * (0.3 + p_size / 100.0) / (100000 + 1000 * p_size), 6) + 0.0 AS df FROM part, (VALUES {_QUANTILES}) t(node, q)")
 def chromatic_quadrature(spark, d):
-    """The inverse error function is beyond SQL; a test holds the points against a numerical one."""
-    return rounded(E.quadrature(spark, 7, 13e6, 0.34, 300000))
+    """A beam for each part: its size tells the energy and the spread."""
+    size = F.col("p_size").cast("double")
+    beams = E.quadrature(table(spark, d, "part"), 7, 13e6, 0.3 + size / 100, 100000 + 1000 * size)
+    return rounded(beams.select("p_partkey", "node", "df"))
 
 
 @register("tilt_convert", "SELECT p_partkey, round(p_size * 1e-3 / 0.025, 6) AS inv, round(p_size * 1e-3 / 0.025 * 20) AS px FROM part")
@@ -200,11 +206,6 @@ def aberration_phase(spark, d):
     return out.withColumn("contrast", F.round("contrast", 6) + F.lit(0.0))
 
 
-@register("q_grid", "SELECT x, y, CASE WHEN x < 32 THEN x ELSE x - 64 END / 10.0 AS qx, CASE WHEN y < 24 THEN y ELSE y - 48 END / 8.0 AS qy FROM (SELECT CAST(unnest(range(64)) AS INTEGER) AS x) a, (SELECT CAST(unnest(range(48)) AS INTEGER) AS y) b")
-def q_grid(spark, d):
-    return G.q_grid(spark, NX, NY, 10.0, 8.0)
-
-
 @register("rotate_vector", sql("SELECT image_id, peak_id, round(x * cos(0.4) - y * sin(0.4), 6) AS rx, round(x * sin(0.4) + y * cos(0.4), 6) AS ry, CAST(atom_type AS DOUBLE) AS rz FROM peaks", "peaks"))
 def rotate_vector(spark, d):
     r = G.rotate(F.col("x"), F.col("y"), F.col("atom_type").cast("double"), (0, 0, 2), 0.4)
@@ -214,6 +215,15 @@ def rotate_vector(spark, d):
 _SIZES = """, z AS (SELECT image_id, max(x) + 1 AS nx, max(y) + 1 AS ny FROM pixels GROUP BY image_id)"""
 
 
+@register(
+    "q_grid",
+    sql(_SIZES + """ SELECT p.image_id, y, x, round(CASE WHEN 2 * x < nx THEN x ELSE x - nx END / (nx * 0.25), 6) + 0.0 AS qx, round(CASE WHEN 2 * y < ny THEN y ELSE y - ny END / (ny * 0.5), 6) + 0.0 AS qy
+      FROM pixels p JOIN z ON p.image_id = z.image_id""", "pixels"),
+)
+def q_grid(spark, d):
+    return rounded(G.q_grid(pixels(spark, d), 0.25, 0.5))
+
+
 @register(
     "fft2",
     sql(
@@ -229,9 +239,31 @@ def fft2(spark, d):
     return rounded(G.fft2(pixels(spark, d)), 3)
 
 
-@register("band_pass")
+_PHASE = "2 * pi() * ((({0} - n{2} // 2) * ({1} - n{2} // 2)) % n{2}) / n{2}"
+
+
+def _pass(made: str, source: str, axis: str, to: str, other: str, count: int, sign: str) -> str:
+    """SQL of a direct transform along one axis of the table ``source`` (re, im)."""
+    angle = _PHASE.format(to, axis, axis[0] if axis in "xy" else {"u": "x", "w": "y"}[axis])
+    size = f"n{axis}" if axis in "xy" else {"u": "nx", "w": "ny"}[axis]
+    return f"""{made} AS (SELECT s.image_id, {other}, {to}, sum(re * cos({angle}) {sign} im * sin({angle})) AS re, sum(im * cos({angle}) {"-" if sign == "+" else "+"} re * sin({angle})) AS im
+      FROM {source} s JOIN z ON s.image_id = z.image_id, (SELECT unnest(range({count})) AS {to}) t WHERE {to} < {size} GROUP BY 1, 2, 3)"""
+
+
+@register(
+    "band_pass",
+    sql(
+        _SIZES + ", w0 AS (SELECT image_id, y, x, v AS re, 0.0 AS im FROM pixels), "
+        + ", ".join((_pass("f1", "w0", "x", "u", "y", 64, "+"), _pass("f2", "f1", "y", "w", "u", 48, "+")))
+        + """, k AS (SELECT f.image_id, w, u, re, im FROM f2 f JOIN z ON f.image_id = z.image_id WHERE sqrt(power((u - nx // 2)::DOUBLE / nx, 2) + power((w - ny // 2)::DOUBLE / ny, 2)) >= 0.05
+            AND sqrt(power((u - nx // 2)::DOUBLE / nx, 2) + power((w - ny // 2)::DOUBLE / ny, 2)) < 0.3), """
+        + ", ".join((_pass("b1", "k", "u", "x", "w", 64, "-"), _pass("b2", "b1", "w", "y", "x", 48, "-")))
+        + " SELECT b.image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(re / (nx * ny), 4) + 0.0 AS v FROM b2 b JOIN z ON b.image_id = z.image_id",
+        "pixels",
+    ),
+)
 def band_pass(spark, d):
-    return rounded(G.band_pass(pixels(spark, d), 0.05, 0.3))
+    return rounded(G.band_pass(pixels(spark, d), 0.05, 0.3), 4)
 
 
 @register(

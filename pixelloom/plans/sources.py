@@ -64,8 +64,8 @@ def register_coordinates(spark, d):
 
 
 def _arrays(spark, d):
-    """Arrays (path, key, shape, values) with names of an old vintage: one file for each nation, of its customers' columns."""
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("path"))
+    """Arrays (path, key, shape, values) with names of an old vintage: files of the columns of a hundred customers of a nation at most."""
+    c = table(spark, d, "customer").groupBy(F.concat_ws("/", "c_nationkey", F.floor(F.col("c_custkey") / 100)).alias("path"))
     files = c.agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_acctbal"))).alias("a")).withColumn("shape", F.array(F.size("a"), F.lit(1)))
     column = lambda k, f: F.struct(F.lit(k).alias("key"), F.transform("a", f).alias("values"))
     parts = F.array(
@@ -75,7 +75,7 @@ def _arrays(spark, d):
     return files.select("path", "shape", F.explode(parts).alias("p")).select("path", "p.key", "shape", "p.values")
 
 
-_ROW = "CAST(c_nationkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS peak_id"
+_ROW = "c_nationkey || '/' || (c_custkey // 100) AS path, CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 100 ORDER BY c_custkey) - 1 AS INTEGER) AS peak_id"
 
 
 @register("resolve_schema", f"SELECT {_ROW}, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer")
@@ -127,13 +127,16 @@ def dm_codecs(spark, d):
     return tags.filter(F.col("key").isin(keys)).select(F.col("path").cast("int").alias("image_id"), "key", "text")
 
 
-@register("scan_dispatch", "SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS row, 0 AS col, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey - (SELECT min(p_partkey) FROM part), 1, CAST(p_partkey AS DOUBLE) FROM part")
+_LINE = "(SELECT row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS row, p_size, p_partkey FROM part) t"
+
+
+@register("scan_dispatch", f"SELECT row, 0 AS col, CAST(p_size AS DOUBLE) AS value FROM {_LINE} UNION ALL SELECT row, 1, CAST(p_partkey AS DOUBLE) FROM {_LINE}")
 def scan_dispatch(spark, d):
-    """One .csv file, written by Spark and read by the reader that its name asks for."""
+    """A .csv folder of files of five hundred parts at most, written by Spark and read by the reader that its name asks for."""
     path = f"{shared_dir(spark)}/dispatch-{uuid.uuid4().hex}.csv"
-    part = table(spark, d, "part")
-    lines = part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda x: F.format_string("%d, %d", x["p_size"], x["p_partkey"])), "\n").alias("value"))
-    lines.write.text(path)
+    files = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("rows"))
+    lines = F.array_join(F.transform("rows", lambda x: F.format_string("%d, %d", x["p_size"], x["p_partkey"])), "\n")
+    files.select("file", lines.alias("value")).write.partitionBy("file").text(path)
     return text.read_any(spark, path).select(F.col("row").cast("long").alias("row"), "col", "value")
 
 

@@ -228,7 +228,8 @@ def test_fourier(spark):
 
 
 def test_quadrature(spark):
-    got = sorted(r.df for r in optics.quadrature(spark, 5, 1e7, 0.3, 3e5).collect())
+    beam = spark.createDataFrame([(0.3, 3e5)], "spread double, energy double")
+    got = sorted(r.df for r in optics.quadrature(beam, 5, 1e7, F.col("spread"), F.col("energy")).collect())
     width = 1e7 * 0.3 / 3e5
     assert np.allclose([0.5 * (1 + math.erf(x / width / math.sqrt(2))) for x in got], [0.1, 0.3, 0.5, 0.7, 0.9])
 
