@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import count
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut
+from ..plans.loops import cut, shared_dir
 from ..plans.spatial import near_pairs
 from .aggregates import column_extreme
 
@@ -133,32 +134,51 @@ def line_defect(pixels: DataFrame) -> DataFrame:
     return out.withColumn("v", F.when((F.abs(F.col("x") - F.col("b")) <= 1) & F.col("mean").isNotNull(), F.col("mean")).otherwise(F.col("v"))).drop("b", "mean", "n")
 
 
+def _rings(a: np.ndarray, b: np.ndarray, reach: int) -> list[tuple[int, int, int]]:
+    """(i, j, ring) of the lattice cells up to ``reach``: a cell's ring comes after those of its neighbours that are nearer to the
+    origin (or as near and of a lesser number)."""
+    cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    ring: dict[tuple[int, int], int] = {}
+    for i, j in sorted(cells, key=lambda c: (round(float(np.hypot(*(c[0] * a + c[1] * b))), 9), c)):
+        ring[i, j] = 1 + max((ring[n] for n in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if n in ring), default=-1)
+    return [(i, j, r) for (i, j), r in ring.items()]
+
+
 def adaptive_origins(peaks: DataFrame, origin: tuple[float, float], a: tuple[float, float], b: tuple[float, float], reach: int) -> DataFrame:
     """Lattice origins of each image: perfect ones, and adaptive ones that follow the peaks.
 
-    Cells are walked by growing distance from the origin. A cell's place is predicted by the mean of
-    what its placed neighbours say, and snaps to a peak within half the shorter vector. One image is
-    one group: its peaks are a bounded set, and the walk can't be split.
+    A cell's place is predicted by the mean of what its placed neighbours say, and snaps to the nearest peak (of equals that of
+    the least id) within half the shorter vector. Cells are placed in rings outwards from the origin, those of all images at
+    once: a ring is a join with what is placed and a distance join on buckets. Cells outside the peaks' box give no row.
     """
-    va, vb, o = np.array(a), np.array(b), np.array(origin)
-    half = min(np.hypot(*va), np.hypot(*vb)) / 2
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf[["x", "y"]].to_numpy()
-        low, high = points.min(axis=0) - half, points.max(axis=0) + half
-        cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-        perfect = {c: o + c[0] * va + c[1] * vb for c in cells}
-        inside = sorted((c for c in cells if (perfect[c] >= low).all() and (perfect[c] <= high).all()), key=lambda c: (round(float(np.hypot(*(perfect[c] - o))), 9), c))
-        placed: dict[tuple[int, int], np.ndarray] = {}
-        for i, j in inside:
-            told = [placed[n] + (i - n[0]) * va + (j - n[1]) * vb for n in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if n in placed]
-            at = np.mean(told, axis=0) if told else perfect[i, j]
-            d = np.hypot(*(points - at).T)
-            placed[i, j] = points[d.argmin()] if d.min() < half else at
-        rows = [(int(pdf.image_id.iloc[0]), i, j, *perfect[i, j], *placed[i, j]) for i, j in inside]
-        return pd.DataFrame(rows, columns=["image_id", "a", "b", "perfect_x", "perfect_y", "x", "y"])
-
-    return peaks.select("image_id", "peak_id", "x", "y").groupBy("image_id").applyInPandas(walk, "image_id int, a int, b int, perfect_x double, perfect_y double, x double, y double")
+    spark, va, vb = peaks.sparkSession, np.array(a, float), np.array(b, float)
+    half = float(min(np.hypot(*va), np.hypot(*vb)) / 2)
+    kind = peaks.schema["image_id"].dataType.simpleString()
+    rings = _rings(va, vb, reach)
+    peaks = cut(peaks.select("image_id", "peak_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    box = peaks.groupBy("image_id").agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))))
+    numbers = F.sequence(F.lit(-reach), F.lit(reach))
+    cells = box.withColumn("a", F.explode(numbers)).withColumn("b", F.explode(numbers))
+    perfect = {f"perfect_{c}": F.lit(float(o)) + F.col("a") * float(p) + F.col("b") * float(q) for c, o, p, q in zip("xy", origin, va, vb, strict=True)}
+    inside = F.lit(True)
+    for c in "xy":
+        inside = inside & (F.col(f"perfect_{c}") >= F.col(f"low_{c}") - half) & (F.col(f"perfect_{c}") <= F.col(f"high_{c}") + half)
+    ring = spark.createDataFrame(rings, "a int, b int, ring int")
+    cells = cut(cells.withColumns(perfect).filter(inside).join(ring, ["a", "b"]).select("image_id", "a", "b", "perfect_x", "perfect_y", "ring"))
+    path = f"{shared_dir(spark)}/origins-{uuid.uuid4().hex}"
+    schema = f"image_id {kind}, a int, b int, perfect_x double, perfect_y double, x double, y double"
+    cells.limit(0).withColumns({c: F.lit(0.0) for c in "xy"}).drop("ring").write.parquet(path)
+    for k in range(max(r for *_, r in rings) + 1):
+        placed = spark.read.schema(schema).parquet(path)
+        says = placed.withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))))))
+        says = says.select("image_id", (F.col("a") + F.col("s.i")).alias("a"), (F.col("b") + F.col("s.j")).alias("b"), *((F.col(c) + F.col("s.i") * float(p) + F.col("s.j") * float(q)).alias(c) for c, p, q in zip("xy", va, vb, strict=True)))
+        mean = says.groupBy("image_id", "a", "b").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+        told = cells.filter(F.col("ring") == k).drop("ring").join(mean, ["image_id", "a", "b"], "left").withColumns({c: F.coalesce(c, f"perfect_{c}") for c in "xy"})
+        best = F.min(F.when(F.col("d2").isNotNull(), F.struct("d2", "peak_id_r", "x_r", "y_r"))).alias("m")
+        kept = ["image_id", "a", "b", "perfect_x", "perfect_y", "x", "y"]
+        near = near_pairs(told, peaks, half, how="left").groupBy(*kept).agg(best)
+        near.select(*kept[:5], F.coalesce("m.x_r", "x").alias("x"), F.coalesce("m.y_r", "y").alias("y")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def ranked(rows: DataFrame, by: list[Column], *keys: str) -> DataFrame:

@@ -252,6 +252,38 @@ def test_adaptive_origins_follow_a_drift(spark):
     assert all(abs(at[i, j][0] - 10 - 6.3 * i) < 1e-9 and abs(at[i, j][1] - 10 - 6.2 * j) < 1e-9 for i in range(7) for j in range(7))
 
 
+def plain_walk(points, origin, va, vb, reach):
+    """Cells one by one, by growing distance from the origin."""
+    half = min(np.hypot(*va), np.hypot(*vb)) / 2
+    low, high = points.min(axis=0) - half, points.max(axis=0) + half
+    cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    perfect = {c: origin + c[0] * va + c[1] * vb for c in cells}
+    inside = sorted((c for c in cells if (perfect[c] >= low).all() and (perfect[c] <= high).all()), key=lambda c: (round(float(np.hypot(*(perfect[c] - origin))), 9), c))
+    placed = {}
+    for i, j in inside:
+        told = [placed[n] + (i - n[0]) * va + (j - n[1]) * vb for n in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if n in placed]
+        at = np.mean(told, axis=0) if told else perfect[i, j]
+        d = np.hypot(*(points - at).T)
+        placed[i, j] = points[d.argmin()] if d.min() < half else at
+    return placed
+
+
+@pytest.mark.parametrize("vectors", [((6.0, 1.0), (-1.0, 6.0)), ((6.0, 0.0), (3.0, 5.196152422706632))])
+def test_rings_of_origins_are_those_of_a_walk(spark, vectors):
+    rng = np.random.default_rng(2)
+    va, vb = map(np.array, vectors)
+    rows = []
+    for image_id in (1, 2):
+        spots = [20 + i * va * 1.03 + j * vb * 0.98 + rng.normal(0, 0.5, 2) for i in range(-3, 4) for j in range(-3, 3) if rng.random() < 0.85]
+        rows += [(image_id, k, *map(float, s)) for k, s in enumerate(spots)]
+    df = spark.createDataFrame(rows, "image_id int, peak_id long, x double, y double")
+    got = windows.adaptive_origins(df, (20.0, 20.0), *vectors, 4).collect()
+    for image_id in (1, 2):
+        want = plain_walk(np.array([r[2:] for r in rows if r[0] == image_id]), np.array([20.0, 20.0]), va, vb, 4)
+        mine = {(r.a, r.b): (r.x, r.y) for r in got if r.image_id == image_id}
+        assert mine.keys() == want.keys() and all(np.allclose(mine[c], want[c]) for c in want)
+
+
 def test_random_batches_cover_all(spark):
     got = windows.random_batches(spark.range(1000), 8, 1).groupBy("batch").count().collect()
     assert sum(r["count"] for r in got) == 1000 and len(got) == 8 and min(r["count"] for r in got) > 80
