@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import counting as C
-from ..operators import forest
-from .base import peaks, register, rounded, samples, sql, table
+from ..operators import forest, selection
+from .base import peaks, pixels, register, rounded, samples, sql, table
 
 _LIBRARY = "l AS (SELECT scs, min(t) AS t FROM (SELECT p_size AS t, sum(p_retailprice) / count(*) AS scs FROM part GROUP BY p_size) u GROUP BY scs)"
 
@@ -60,3 +61,17 @@ def hmm_counts(spark, d):
 def filter_outliers_forest(spark, d):
     """By an isolation forest; a test holds path lengths against plain recursion. ``filter_outliers_high`` goes by a percentile."""
     return forest.without_high_outliers(samples(spark, d)).select("id", "v")
+
+
+@register("model_selection")
+def model_selection(spark, d):
+    """Whether one, two or three peaks, from its brightest pixels on, explain a square of an image best; a test has known truth."""
+    tile = {"tx": F.floor(F.col("x") / 16).cast("int"), "ty": F.floor(F.col("y") / 16).cast("int")}
+    keys = ("image_id", "tx", "ty")
+    squares = pixels(spark, d).withColumns(tile)
+    bright = squares.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"), "y", "x"))).filter("nth <= 3")
+    floor = squares.groupBy(*keys).agg(F.min("v").alias("background"))
+    starts = bright.join(floor, list(keys)).withColumn("model", F.explode(F.sequence(F.col("nth"), F.lit(3))))
+    starts = starts.select(*keys, "model", "x", "y", (F.col("v") - F.col("background")).alias("height"), F.lit(1.5).alias("sigma"), "background")
+    found = selection.most_probable(selection.model_evidence(squares, starts, keys), keys)
+    return rounded(found.select(*keys, "model", "n_peaks", "log_evidence", "posterior", "chosen"), 2)

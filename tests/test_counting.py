@@ -4,8 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from pixelloom.operators import counting, forest
-from pyspark.sql import functions as F
+from pixelloom.operators import counting, forest, selection
 
 
 def test_library_is_matched_beyond_its_ends_and_at_ties(spark):
@@ -98,3 +97,17 @@ def test_high_outliers_go(spark):
     assert forest.without_high_outliers(df.limit(0)).count() == 0
     same = spark.createDataFrame([(i, 7.0) for i in range(50)], "id long, v double")
     assert forest.without_high_outliers(same).count() == 50
+
+
+def test_the_number_of_peaks_is_found(spark):
+    rng = np.random.default_rng(11)
+    y, x = np.indices((40, 40))
+    truth = [(10, 10, 1.0), (10, 28, 0.8), (27, 12, 1.2), (26, 29, 0.9)]
+    a = 0.2 + sum(h * np.exp(-((x - px) ** 2 + (y - py) ** 2) / (2 * 2.5**2)) for px, py, h in truth) + rng.normal(0, 0.05, x.shape)
+    pixels = spark.createDataFrame([(1, int(j), int(i), float(v)) for j, i, v in zip(y.ravel(), x.ravel(), a.ravel(), strict=True)], "image_id int, y int, x int, v double")
+    spots = [*truth, (20, 20, 0.1)]
+    rows = [(1, n, float(px + 0.4), float(py - 0.3), h, 2.2, 0.1) for n in (3, 4, 5) for px, py, h in spots[:n]]
+    starts = spark.createDataFrame(rows + [(2, 1, 5.0, 5.0, 1.0, 2.0, 0.0)], "image_id int, model int, x double, y double, height double, sigma double, background double")
+    got = {r.model: r for r in selection.most_probable(selection.model_evidence(pixels, starts)).collect()}
+    assert got.keys() == {3, 4, 5} and got[4].chosen and got[4].posterior > 0.9 and not got[3].chosen and not got[5].chosen
+    assert got[5].rss <= got[4].rss < got[3].rss and abs(sum(r.posterior for r in got.values()) - 1) < 1e-9
