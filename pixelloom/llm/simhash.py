@@ -38,7 +38,9 @@ SAMPLE, FREQUENT = 5000, 100_000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 4
 #: Most entries of a worker's table of word hashes.
-CACHE = 500_000
+CACHE = 250_000
+#: Documents whose shingles a worker holds at a time.
+HELD = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -327,6 +329,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), HELD):
+            yield b.iloc[at : at + HELD]
+
+
 class _Words(dict):
     """Word -> 64-bit hash, kept for the next texts and emptied when full."""
 
@@ -512,11 +520,11 @@ def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle:
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
-        for b in batches:
+        for b in _portions(batches):
             texts = [known.of(t) for t in b.text]
             sets = [_set(w, words) for w in texts]
             yield pd.DataFrame({
-                "doc_id": b.doc_id, "h1": b.h1, "h2": b.h2, "node": [_name(w, SEED) for w in texts], "twin": [_name(w, SEED + 1) for w in texts],
+                "doc_id": b.doc_id.to_numpy(), "h1": b.h1.to_numpy(), "h2": b.h2.to_numpy(), "node": [_name(w, SEED) for w in texts], "twin": [_name(w, SEED + 1) for w in texts],
                 "fp": np.array([_majority(_shingles(w, shingle)) for w in texts], np.uint64).view(np.int64),
                 "size": [len(s) for s in sets], "sketch": (sketches := [_sketch(s) for s in sets]), "short": list(map(_folded, sketches)),
                 "prefix": [_prefix(s, frequent, counts, similarity) for s in sets],
@@ -524,7 +532,7 @@ def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, shingle:
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
-        for b in batches:
+        for b in _portions(batches):
             texts = zip(b.node, map(known.of, b.text), strict=True)
             own = [(n, _set(w, words)) for n, w in texts if n == _name(w, SEED)]
             yield pd.DataFrame({"node": [n for n, _ in own], "s": [s for _, s in own]})
