@@ -28,8 +28,9 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 12
 SHARD, POSTINGS, RANGE, FAN = 8192, 4_000_000, 32, 16
 #: Up to so many terms are sent to all workers, to index no others; beyond, all terms are indexed and joined.
 SENT_TERMS = 500_000
-#: Items that are searched together, shards that an item opens in the first round, and how many times as many in each further one.
-ITEMS, FIRST, MORE = 256, 1, 8
+#: Items, and terms of theirs, that are searched together (about); shards that an item opens in the first round, and how many times as
+#: many in each further one.
+ITEMS, TERMS, FIRST, MORE = 256, 20_000, 1, 8
 #: Ranges that are opened together.
 OPENED = 8
 
@@ -39,7 +40,7 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item, item_id, block, term): distinct terms of each item_id (the rows of an id are one item), dealt into blocks of about ``ITEMS``."""
+    """(item, item_id, block, term): distinct terms of each item_id (the rows of an id are one item), dealt into blocks of about ``ITEMS`` of them or ``TERMS`` of their terms."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,12 +49,12 @@ def item_terms(items: DataFrame) -> DataFrame:
 
     kind = items.schema["item_id"].dataType.simpleString()
     texts = items.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    each = texts.mapInArrow(split, f"item_id {kind}, terms array<string>").select("item_id", F.explode("terms").alias("term"))
+    each = stored(texts.mapInArrow(split, f"item_id {kind}, terms array<string>").select("item_id", F.explode("terms").alias("term")).distinct(), "item-words")
     # stored, so that the numbers given here don't change
     named = stored(each.select("item_id").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
-    blocks = max(1, -(-named.count() // ITEMS))
+    blocks = max(1, -(-named.count() // ITEMS), -(-each.count() // TERMS))
     named = named.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
-    return stored(each.distinct().join(named, each["item_id"].eqNullSafe(named["item_id"])).select("item", named["item_id"], "block", "term"), "item-terms")
+    return stored(each.join(named, each["item_id"].eqNullSafe(named["item_id"])).select("item", named["item_id"], "block", "term"), "item-terms")
 
 
 def index(docs: DataFrame, wanted: DataFrame) -> DataFrame:
