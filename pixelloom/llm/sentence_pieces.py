@@ -25,13 +25,11 @@ from .common import shared_dir
 from .token_count import MARK, check_vocabulary, library, marked_words
 
 #: Characters after which a block of documents ends; a longer document is a block of its own.
-BLOCK = 16_000_000
+BLOCK = 10_000_000
 #: Documents in a row of the stored table.
 ROW = 256
 #: Most words of a bucket's table; a fuller one is emptied, and may segment a word anew.
-TABLE = 2_000_000
-#: Partitions of the input for each bucket, where there are more of them than partitions of a shuffle.
-INPUTS = 25
+TABLE = 500_000
 #: Stands between packed words; no byte of UTF-8.
 BETWEEN = b"\xff"
 
@@ -155,7 +153,7 @@ def encode(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     Null counts as empty: no ids. Repeated rows each give a row; other columns aren't carried.
     """
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // INPUTS)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = _by_block(numbered(docs, block, buckets), buckets)
     lists = coded.filter("bucket IS NOT NULL").select("bucket", F.col("block").alias("of"), "numbers", "words").repartition(buckets, "bucket")
     entries = segmented(lists, path)
