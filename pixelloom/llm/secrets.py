@@ -77,11 +77,14 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         first = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), after, lambda acc: acc["out"])
         return F.flatten(F.zip_with(chunks, first, moved))
 
-    firsts = F.sequence(F.lit(1), F.size(steps), F.lit(CHUNK))
-    chunked = F.transform(firsts, lambda i: F.aggregate(F.slice(steps, i, F.lit(CHUNK)), start, step))
-    # the lambda sees each list as a value, not as the expression that makes it
-    many = F.get(F.transform(F.array(chunked), joined), F.lit(0))
-    return F.when(F.size(found) > CHUNK, many).otherwise(F.aggregate(steps, start, step, lambda acc: acc["out"]))
+    def placed(steps: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(steps), F.lit(CHUNK))
+        chunked = F.transform(firsts, lambda i: F.aggregate(F.slice(steps, i, F.lit(CHUNK)), start, step))
+        many = F.get(F.transform(F.array(chunked), joined), F.lit(0))
+        return F.when(F.size(steps) > CHUNK, many).otherwise(F.aggregate(steps, start, step, lambda acc: acc["out"]))
+
+    # a lambda sees a list as a value, not as the expression that makes it
+    return F.get(F.transform(F.array(steps), placed), F.lit(0))
 
 
 def _at_least(n: int):
