@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from ..plans.loops import cut
 
 #: Most thicknesses of a library: its rows are ordered in one task.
 THICKEST = 100_000
+#: Rows of a series that are solved together at most.
+PIECE = 512
 
 
 def match_library(values: DataFrame, library: DataFrame, value: str = "v") -> DataFrame:
@@ -85,62 +90,121 @@ def _emission(v: np.ndarray, means: np.ndarray, spread: float) -> np.ndarray:
     return np.nan_to_num(-((v[:, None] - means) ** 2) / (2 * spread**2), nan=0.0)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], begins: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of the batches as tables of whole groups, with the groups' first rows: those where ``begins`` is true."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        at = np.flatnonzero(b.column(begins).to_numpy(zero_copy_only=False))
+        if len(at) and held:
+            held, b = [*held, b.slice(0, at[-1])], b.slice(at[-1])
+            yield _grouped(held, begins)
+            held = []
+        elif len(at) > 1:
+            yield _grouped([b.slice(0, at[-1])], begins)
+            b = b.slice(at[-1])
+        if b.num_rows:
+            held.append(b)
+    if held:
+        yield _grouped(held, begins)
+
+
+def _grouped(batches: list[pa.RecordBatch], begins: str) -> tuple[pa.Table, np.ndarray]:
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    return whole, np.flatnonzero(whole.column(begins).to_numpy())
+
+
+def _abreast(first: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The groups, longest first, and for each place within a group the rows there of those that are long enough."""
+    length = np.diff(first, append=rows)
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    return order, [first[: np.searchsorted(-length, -t)] + t for t in range(length[0])]
+
+
 def viterbi(series: DataFrame, means: list[float], spread: float, change: float, width: float, key: str = "user_id", at: str = "t", id_: str = "id", value: str = "v") -> DataFrame:
     """``series`` with ``state``, the most probable sequence of counts of each key in the order of ``at``, then ``id_``.
 
     A hidden Markov model: normal values about ``means`` (one for each count), counts that change by one with the
-    probability ``change``. A series is dealt into chunks of ``width`` in ``at``. Each chunk gives the best score from
-    every state before its first value to every state at its last; these matrices, combined in order, tell the states at the
-    chunks' ends; then every chunk is solved by itself between them. So no series is in one task.
+    probability ``change``. A series is dealt into chunks of ``width`` in ``at``, and these into pieces of ``PIECE`` rows. Each
+    piece gives the best score from every state before its first value to every state at its last; these matrices, combined in
+    order, tell the states at the pieces' ends; then every piece is solved by itself between them. So no series is in one
+    task, and the many short pieces (or series) of a batch of rows go abreast, value by value.
     """
     states, logs, centre = len(means), _step(len(means), change), np.array(means, float)
-    kinds, columns = dict(series.dtypes), series.columns
-    chunked = cut(series.withColumn("__chunk", F.floor(F.col(at) / F.lit(float(width))).cast("long")))
-
-    def forward(first: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Best scores (rows: what ``first`` has for each start) at every value."""
-        out = np.empty((len(e), *first.shape))
-        best = first
-        for t in range(len(e)):
-            best = (best[:, :, None] + logs).max(axis=1) + e[t]
-            out[t] = best
-        return out
-
+    stay, up, down = (np.diag(logs, k) for k in (0, 1, -1))
+    columns, schema, piece = series.columns, series.withColumn("state", F.lit(0)).schema, [key, "__chunk", "__piece"]
+    ordered = lambda *names: [F.col(c).asc_nulls_last() for c in names]
+    nth = F.row_number().over(Window.partitionBy(key, "__chunk").orderBy(*ordered(at, id_)))
+    chunked = series.withColumn("__chunk", F.floor(F.col(at) / F.lit(float(width))).cast("long")).withColumn("__nth", nth)
+    # stored, so that both passes see the same order
+    chunked = cut(chunked.withColumn("__piece", F.floor((F.col("__nth") - 1) / PIECE).cast("long")))
+    chunked = chunked.withColumns({"__value": F.col(value).cast("double"), "__begins": (F.col("__nth") - 1) % PIECE == 0})
     start = np.where(np.eye(states) > 0, 0.0, -np.inf)
 
-    def span(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, id_])
-        m = forward(start, _emission(pdf[value].to_numpy(float), centre, spread))[-1]
-        return pd.DataFrame({key: pdf[key].iloc[:1], "__chunk": pdf["__chunk"].iloc[:1], "m": [m.ravel()]})
-
-    spans = chunked.groupBy(key, "__chunk").applyInPandas(span, f"{key} {kinds[key]}, __chunk long, m array<double>")
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        scores, back = np.zeros(states), []
-        for m in pdf.m:
-            each = scores[:, None] + np.asarray(m).reshape(states, states)
-            back.append(each.argmax(axis=0))
-            scores = each.max(axis=0)
-        state, last, before = int(scores.argmax()), [], []
-        for b in reversed(back):
-            last.append(state)
-            state = int(b[state])
-            before.append(state)
-        return pd.DataFrame({"__key": pdf[key], "__of": pdf["__chunk"], "before": before[::-1], "last": last[::-1]})
-
-    # one matrix for each chunk of a series; stored, as both passes need it
-    joints = cut(spans.groupBy(key).applyInPandas(ends, f"__key {kinds[key]}, __of long, before int, last int"))
-    schema = series.withColumn("state", F.lit(0)).schema
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, id_])
-        first, last = int(pdf.before.iloc[0]), int(pdf["last"].iloc[0])
-        scores = forward(start[first : first + 1], _emission(pdf[value].to_numpy(float), centre, spread))[:, 0]
-        path = [last]
-        for t in range(len(pdf) - 1, 0, -1):
-            path.append(int((scores[t - 1] + logs[:, path[-1]]).argmax()))
-        return pdf[columns].assign(state=path[::-1])
-
-    whole = chunked.join(joints, chunked[key].eqNullSafe(joints["__key"]) & chunked["__chunk"].eqNullSafe(joints["__of"]))
-    return whole.select(*columns, "__chunk", "before", "last").groupBy(key, "__chunk").applyInPandas(inside, schema)
+    def moved(best: np.ndarray) -> np.ndarray:
+        """Best scores (last axis: counts) before the next value's density; a count comes from itself or one beside it."""
+        out = best + stay
+        np.maximum(out[..., 1:], best[..., :-1] + up, out=out[..., 1:])
+        np.maximum(out[..., :-1], best[..., 1:] + down, out=out[..., :-1])
+        return out
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _whole(batches, "__begins"):
+            e = _emission(t.column("__value").to_numpy(), centre, spread)
+            order, places = _abreast(first, len(e))
+            best = np.repeat(start[None], len(first), axis=0)
+            for rows in places:
+                n = len(rows)
+                best[:n] = moved(best[:n]) + e[rows][:, None]
+            m = np.empty_like(best)
+            m[order] = best
+            m = pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * states**2, m.ravel())
+            yield from t.select(piece).take(first).append_column("m", m).to_batches()
+
+    held = chunked.select(*piece, "__nth", "__begins", "__value").repartition(*piece).sortWithinPartitions(*ordered(*piece, "__nth"))
+    spans = held.mapInArrow(span, held.select(*piece).schema.add("m", ArrayType(DoubleType())))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _whole(batches, "__begins"):
+            m = t.column("m").combine_chunks().flatten().to_numpy().reshape(-1, states, states)
+            _, places = _abreast(first, len(m))
+            scores, back = np.zeros((len(first), states)), np.empty((len(m), states), np.int32)
+            for rows in places:
+                n = len(rows)
+                each = scores[:n, :, None] + m[rows]
+                back[rows], scores[:n] = each.argmax(axis=1), each.max(axis=1)
+            state, last, before = scores.argmax(axis=1).astype(np.int32), np.empty(len(m), np.int32), np.empty(len(m), np.int32)
+            for rows in reversed(places):
+                n = len(rows)
+                last[rows] = state[:n]
+                before[rows] = state[:n] = back[rows, state[:n]]
+            yield from t.select(piece).append_column("__before", pa.array(before)).append_column("__last", pa.array(last)).to_batches()
+
+    # one matrix for each piece of a series
+    follow = Window.partitionBy(key).orderBy(*ordered("__chunk", "__piece"))
+    lined = spans.withColumn("__begins", F.row_number().over(follow) == 1).sortWithinPartitions(*ordered(key, "__chunk", "__piece"))
+    joints = cut(lined.mapInArrow(ends, lined.select(*piece).schema.add("__before", IntegerType()).add("__last", IntegerType())))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _whole(batches, "__begins"):
+            e = _emission(t.column("__value").to_numpy(), centre, spread)
+            order, places = _abreast(first, len(e))
+            before, state = (t.column(c).take(first[order]).to_numpy().astype(np.int32) for c in ("__before", "__last"))
+            scores, path = np.empty_like(e), np.zeros(len(e), np.int32)
+            scores[places[0]] = start[before]
+            for rows in places[1:]:
+                scores[rows] = moved(scores[rows - 1]) + e[rows]
+            for k in range(len(places) - 1, 0, -1):
+                rows = places[k]
+                n = len(rows)
+                path[rows] = state[:n]
+                if k > 1:
+                    state[:n] = (scores[rows - 1] + logs.T[state[:n]]).argmax(axis=1)
+            values = ~t.column("__begins").to_numpy()
+            out = [pa.array(path) if c == "state" else t.column(c) for c in schema.names]
+            yield from pa.table(out, names=schema.names).filter(pa.array(values)).to_batches()
+
+    # the row of its ends goes before a piece's own
+    heads = joints.withColumns({"__begins": F.lit(True), "__nth": F.lit(0)})
+    whole = chunked.withColumn("__begins", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    return whole.repartition(*piece).sortWithinPartitions(*ordered(*piece, "__nth")).mapInArrow(inside, schema)

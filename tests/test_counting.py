@@ -67,6 +67,47 @@ def test_chunked_viterbi_is_that_of_whole_series(spark, width):
     assert got == want
 
 
+def test_short_series_are_solved_together(spark, monkeypatch):
+    """Calls of Python grow with the batches of rows, not with the series and their chunks."""
+    rng = np.random.default_rng(5)
+    means, users = [0.0, 10.0, 20.0], 1500
+    rows = [(u, 3 * u + k, float(k), float(rng.normal(10, 8))) for u in range(users) for k in range(3)]
+    calls, plain = spark.sparkContext.accumulator(0), counting._emission
+
+    def counted(*args):
+        calls.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(counting, "_emission", counted)
+    df = spark.createDataFrame(rows, "user_id long, id long, t double, value double")
+    got = {r.id: r.state for r in counting.viterbi(df, means, 6.0, 0.3, 2.0, value="value").collect()}
+    want = {}
+    for u in range(users):
+        want |= dict(zip(range(3 * u, 3 * u + 3), plain_viterbi([r[3] for r in rows[3 * u : 3 * u + 3]], means, 6.0, 0.3), strict=True))
+    assert got == want and 0 < calls.value < 100
+
+
+def test_a_chunk_of_any_length_is_cut_into_pieces(spark, monkeypatch):
+    """Pieces end anywhere in the batches; whole numbers beyond 2**53 and other columns stay as they are."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(counting, "PIECE", 16)
+    means, rows, want = [0.0, 10.0, 20.0, 30.0], [], {}
+    for user, n in ((2**60 + 1, 300), (None, 17), (2**60 + 2, 16), (3, 1)):
+        v = [float(x) for x in np.cumsum(rng.normal(0, 4, n)) + 15]
+        ids = range(2**55 + len(rows), 2**55 + len(rows) + n)
+        want |= dict(zip(ids, ((user, s) for s in plain_viterbi(v, means, 6.0, 0.3)), strict=True))
+        rows += [(user, i, float(k), x, [k]) for k, (i, x) in enumerate(zip(ids, v, strict=True))]
+    df = spark.createDataFrame(rows, "user_id long, id long, t double, value double, other array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = counting.viterbi(df, means, 6.0, 0.3, 1e9, value="value").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.id: (r.user_id, r.state) for r in got} == want and all(r.other == [int(r.t)] for r in got)
+    one = counting.viterbi(df, [5.0], 6.0, 0.3, 1e9, value="value")
+    assert one.filter("state = 0").count() == len(rows) and counting.viterbi(df.limit(0), means, 6.0, 0.3, 1.0, value="value").count() == 0
+
+
 def plain_path(x, tree, node=0, depth=0):
     if tree.children[node][0] == node:
         return tree.path[node]
