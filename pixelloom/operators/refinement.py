@@ -97,19 +97,34 @@ def _tile(c: str, edge: float, off: float) -> Column:
     return F.floor((F.col(c) - off) / edge).cast("long")
 
 
-def _sweep(state: DataFrame, kind: str, names: tuple[str, ...], reach: float, rounds: int, seed: int) -> DataFrame:
+def _core(reach: float) -> float:
+    """The width of a square's middle."""
+    return max(4 * reach, 8.0)
+
+
+def _spread(state: DataFrame, reach: float) -> int:
+    """Partitions for a pass over the squares of ``state``: one for each three squares' pixels, up to Spark's own number.
+    By the bytes, which are few for the work of a fit, Spark would put the squares of many images into one task."""
+    squares = state.count() / (2 * _core(reach)) ** 2
+    return max(1, min(math.ceil(squares / 3), int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _sweep(state: DataFrame, kind: str, names: tuple[str, ...], reach: float, rounds: int, seed: int, parts: int) -> DataFrame:
     """Every peak fitted once: four passes over squares that partition the images, each with the peaks of its middle.
 
     ``state`` has pixels with their residual ``r`` and peaks (``peak`` is true) in one table. A square is twice as wide
-    as its middle, and no peak's model reaches beyond the square, so all squares of a pass can be fitted at once.
+    as its middle, and no peak's model reaches beyond the square, so all squares of a pass can be fitted at once, in
+    ``parts`` partitions.
     """
-    core = max(4 * reach, 8.0)
+    core = _core(reach)
     wide, slack = 2 * core, core / 2 - reach
     rng = random.Random(seed)
     ox, oy = rng.uniform(0, wide), rng.uniform(0, wide)
 
     def one_pass(sx: float, sy: float) -> DataFrame:
         def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            # in one order, so that sums are the same however the rows came
+            pdf = pdf.drop(columns=["__tx", "__ty"]).sort_values(["peak", "peak_id", "y", "x"], ignore_index=True)
             x0, y0 = key[1] * wide + ox + sx + core / 2, key[2] * wide + oy + sy + core / 2
             peak = pdf.peak.to_numpy(bool)
             px, py = pdf.x.to_numpy(float), pdf.y.to_numpy(float)
@@ -138,8 +153,9 @@ def _sweep(state: DataFrame, kind: str, names: tuple[str, ...], reach: float, ro
                 values["moved"][some] = np.maximum(values["moved"][some], step)
             return pdf.assign(r=r, **values)
 
-        tiles = ["image_id", _tile("x", wide, ox + sx).alias("tx"), _tile("y", wide, oy + sy).alias("ty")]
-        return state.groupBy(*tiles).applyInPandas(fit, state.schema)
+        tiles = {"__tx": _tile("x", wide, ox + sx), "__ty": _tile("y", wide, oy + sy)}
+        dealt = state.withColumns(tiles).repartition(parts, "image_id", *tiles)
+        return dealt.groupBy("image_id", *tiles).applyInPandas(fit, state.schema)
 
     for sx, sy in rng.sample([(0.0, 0.0), (core, 0.0), (0.0, core), (core, core)], 4):
         state = one_pass(sx, sy)
@@ -179,16 +195,18 @@ def fit_blocks(
     an epoch lessens the squared residual by less than ``tolerance`` of it, or else warns.
     """
     kinds = dict(params.dtypes)
+    pixels, params = cut(pixels), cut(params)
     nothing = [F.lit(0.0).alias(n) for n in (*NAMES[2:], "background", "moved")]
     lit = residual(pixels, params, reach, kind).select("image_id", F.lit(False).alias("peak"), F.lit(0).cast("long").alias("peak_id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "r", *nothing)
     peaks = params.select("image_id", F.lit(True).alias("peak"), F.col("peak_id").cast("long").alias("peak_id"), *(F.col(n).cast("double").alias(n) for n in (*NAMES, "background")), F.lit(0.0).alias("r"), F.lit(0.0).alias("moved"))
     state = cut(lit.unionByName(peaks))
-    state = _sweep(state, kind, ("height",), reach, rounds, -1)
+    parts = _spread(state, reach)
+    state = _sweep(state, kind, ("height",), reach, rounds, -1, parts)
     sums = lambda: state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     last = sums()
     for k in range(epochs):
         state = (_levelled(state) if background else state).withColumn("moved", F.lit(0.0))
-        state = _sweep(state, kind, MOVED[kind], reach, rounds, seed + k)
+        state = _sweep(state, kind, MOVED[kind], reach, rounds, seed + k, parts)
         now = sums()
         if last - now <= tolerance * last:
             break
@@ -196,7 +214,7 @@ def fit_blocks(
     else:
         warnings.warn(f"the residual still falls after {epochs} epochs", NotConverged, stacklevel=2)
     moved = state.filter("peak").select("image_id", "peak_id", (F.col("moved") < 0.01).alias("converged"))
-    state = _sweep(state, kind, ("height",), reach, rounds, -2)
+    state = _sweep(state, kind, ("height",), reach, rounds, -2, parts)
     out = state.filter("peak").join(moved, ["image_id", "peak_id"])
     new = [F.col(n).cast(kinds[n]).alias(n) for n in (*NAMES, "background")]
     rest = params.drop(*NAMES, "background", "converged")

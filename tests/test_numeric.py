@@ -511,3 +511,24 @@ def test_dm_files_made_by_hand(spark, tmp_path, version):
     assert list(r.shape) == [2, 3] and list(r["values"]) == [1, 2, 3, 4, 5, -1]
     tags = {t.key: t.text for t in binary.read_dm_tags(spark, str(path)).collect()}
     assert tags["More/Note"] == "ok" and tags["More/Pair"] == "[7, -2]" and tags["ImageList/0/ImageData/Dimensions/1"] == "2"
+
+
+def test_squares_of_small_images_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
+    """A pass has few bytes and much work; the squares of many images don't end up in one task."""
+    from pixelloom.operators import refinement as R
+    from pyspark import TaskContext
+
+    plain, folder = R._fitted, str(tmp_path)
+
+    def noted(*args):
+        open(f"{folder}/{TaskContext.get().partitionId()}", "w").close()
+        return plain(*args)
+
+    monkeypatch.setattr(R, "_fitted", noted)
+    y, x = np.indices((48, 64))
+    v = 2 + 10 * np.exp(-((x - 30.2) ** 2 + (y - 20.4) ** 2) / 8)
+    pixels = spark.createDataFrame([(i, int(a), int(b), float(c)) for i in range(8) for a, b, c in zip(y.ravel(), x.ravel(), v.ravel(), strict=True)], "image_id int, y int, x int, v double")
+    params = spark.createDataFrame([(i, 1, 30.0, 20.0, 8.0, 1.8, 1.3, 0.9, 2.0) for i in range(8)], "image_id int, peak_id long, x double, y double, height double, sigma double, gamma double, ratio double, background double")
+    got = R.fit_blocks(pixels, params, 8.0, epochs=6).collect()
+    assert len(got) == 8 and all(abs(r.x - 30.2) < 0.01 and abs(r.y - 20.4) < 0.01 for r in got)
+    assert len(list(tmp_path.iterdir())) > 1
